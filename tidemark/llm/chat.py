@@ -195,15 +195,15 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n, role, text, loss_text: turns parsed from formatted conversations."""
+    """conv_id, formatted_chars, n, role, text, loss_text: turns parsed from formatted conversations."""
     pieces = F.slice(F.split("formatted", CLOSE), 1, F.size(F.split("formatted", CLOSE)) - 1)
-    rows = formatted.select("conv_id", F.posexplode(F.arrays_zip(pieces.alias("piece"), F.col("loss"))).alias("n", "z")).select(
-        "conv_id", "n", F.col("z.piece").alias("piece"), F.col("z.loss.start").alias("start"), F.col("z.loss.length").alias("length"))
+    rows = formatted.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), F.posexplode(F.arrays_zip(pieces.alias("piece"), F.col("loss"))).alias("n", "z")).select(
+        "conv_id", "formatted_chars", "n", F.col("z.piece").alias("piece"), F.col("z.loss.start").alias("start"), F.col("z.loss.length").alias("length"))
     before = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.char_length("piece") + len(CLOSE)).over(before), F.lit(0))
     cut = F.locate("\n", F.col("piece"))
     return rows.withColumns({"at": at, "cut": cut}).select(
-        "conv_id", "n",
+        "conv_id", "formatted_chars", "n",
         unescape(F.expr(f"substring(piece, {len(OPEN) + 1}, cut - {len(OPEN) + 1})"), ROLE_ESCAPES).alias("role"),
         unescape(F.expr("substring(piece, cut + 1)")).alias("text"),
         unescape(F.expr("substring(piece, cast(start - at + 1 as int), cast(length as int))")).alias("loss_text"))
@@ -215,6 +215,6 @@ def digests(formatted: DataFrame) -> DataFrame:
         F.count("*").alias("n_turns"),
         F.sort_array(F.collect_list(F.struct("n", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "loss_text"))).alias("p"),
         F.sum(F.char_length("loss_text")).cast("long").alias("loss_chars"),
-        F.sum(F.char_length(F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE)))).cast("long").alias("formatted_chars"))
+        F.max("formatted_chars").alias("formatted_chars"))
     return turns.select("conv_id", "n_turns", F.sha2(F.array_join("p.turn", ""), 256).alias("turns_sha256"),
                         "loss_chars", F.sha2(F.array_join("p.loss_text", ""), 256).alias("loss_sha256"), "formatted_chars")
