@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, simhash, topk
+from tidemark.llm import chat, langid, pieces, simhash, suffix, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(3, 1))
     model = langid.train(docs.where("lang is not null and not held_out").select("doc_id", "text", "lang"))
     return langid.predict(docs, model, "doc_id", "held_out")
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """The public vocabulary file named in the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), "doc_id")
+
+
+@_query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(_read(spark, sf_dir, "documents"))
