@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, pieces, simhash, suffix, topk
+from tidemark.llm import chat, decontaminate, langid, pieces, sharding, simhash, storage, suffix, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,29 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(_read(spark, sf_dir, "documents"))
+
+
+@_query("op7_sharding", """
+SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ShardStore(spark, storage.new_path(spark, "shards"))
+    store.append(_read(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("op8_decontaminate")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+#: The contract's rules.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@_query("op10_url_filter")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality").eqNullSafe(0) | F.col("toxic").eqNullSafe(1)).alias("blocked"))
+    return urls.judge(_read(spark, sf_dir, "pages"), labels, URL_RULES)

@@ -10,6 +10,9 @@ anchors within 4 (14 a half on average), and each anchor compares its home membe
 with all its members on all 64 bits. No link is lost, and copies of one
 fingerprint are compared once.
 
+A wider threshold, up to 11 bits, covers four quarters with the code of all points
+(radius 0) and replicates both sides of a pair to their midpoint, 68 times in all.
+
 Inside an anchor only a spanning forest of its links is kept (component id is all
 that is asked), so a dense group of K fingerprints gives K - 1 rows, not K^2.
 
@@ -117,24 +120,39 @@ class Anchors:
         return np.concatenate([row, np.repeat(np.arange(len(half)), 9)]), code, np.concatenate([k == 0, np.zeros(9 * len(half), bool)])
 
 
-def replicate(fps: DataFrame) -> DataFrame:
-    """anchor, fp, home: every distinct fingerprint at all its anchors."""
+class Midpoints:
+    """All points of a quarter (16 bits, radius 0): two within 2 bits share a point within 1 of both."""
+
+    def replicas(self, quarter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near = np.r_[0, 1 << np.arange(16)]
+        return np.repeat(np.arange(len(quarter)), 17), (quarter[:, None] ^ near).ravel(), np.ones(17 * len(quarter), bool)
+
+
+def replicate(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """anchor, fp, home: every distinct fingerprint at all its anchors.
+
+    Up to 3 bits two halves are covered by the Golay code; up to 11 bits, where a
+    pair differs in at most 2 bits of some quarter, four quarters by all points.
+    """
+    if threshold > 11:
+        raise ValueError("at most 11 differing bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Anchors()
+        code, parts = (Anchors(), 2) if threshold <= 3 else (Midpoints(), 4)
+        bits = 64 // parts
         for b in batches:
             all_fps = b.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(all_fps), 16384):
                 fp = all_fps[at : at + 16384]
-                for side in (0, 1):
-                    half = (fp.view(np.uint64) >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    row, anchor, home = code.replicas(half)
+                for side in range(parts):
+                    part = (fp.view(np.uint64) >> np.uint64(bits * side) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    row, anchor, home = code.replicas(part)
                     yield pa.RecordBatch.from_arrays([pa.array(anchor | side << 32), pa.array(fp[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
     return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
-def _forest(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each anchor; rows come sorted by anchor."""
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[start, len(anchor)])
@@ -146,19 +164,19 @@ def _forest(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.nd
         if not len(i):
             break
         j = i + step
-        linked = (home[i] | home[j]) & (np.bitwise_count(bits[i] ^ bits[j]) <= THRESHOLD)
+        linked = (home[i] | home[j]) & (np.bitwise_count(bits[i] ^ bits[j]) <= threshold)
         components.merge_labels(label, i[linked], j[linked])
     for a, n in zip(start[sizes > LINES].tolist(), sizes[sizes > LINES].tolist()):
         mine = a + np.flatnonzero(home[a : a + n])
         for k in range(0, len(mine), LINES):
             x = mine[k : k + LINES]
-            r, c = np.nonzero(np.bitwise_count(bits[x][:, None] ^ bits[a : a + n]) <= THRESHOLD)
+            r, c = np.nonzero(np.bitwise_count(bits[x][:, None] ^ bits[a : a + n]) <= threshold)
             components.merge_labels(label, x[r], a + c)
     child = np.flatnonzero(label != np.arange(len(label)))
     return fp[child], fp[label[child]]
 
 
-def links(fps: DataFrame, partitions: int | None = None) -> DataFrame:
+def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """a, b: pairs of distinct fingerprints that keep everything connected that links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +189,7 @@ def links(fps: DataFrame, partitions: int | None = None) -> DataFrame:
                 return
             anchor, fp, home = (np.concatenate(x) for x in zip(*kept))
             cut = len(anchor) if final else int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-            a, b = _forest(anchor[:cut], fp[:cut], home[:cut])
+            a, b = _forest(anchor[:cut], fp[:cut], home[:cut], threshold)
             kept, rows = [(anchor[cut:], fp[cut:], home[cut:])], len(anchor) - cut
             enough = max(200_000, 2 * rows)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -183,16 +201,14 @@ def links(fps: DataFrame, partitions: int | None = None) -> DataFrame:
                 yield from flush(False)
         yield from flush(True)
 
-    reps = replicate(fps)
-    dealt = reps.repartition(partitions, "anchor") if partitions else reps.repartition("anchor")
-    return dealt.sortWithinPartitions("anchor").mapInArrow(run, "a long, b long").distinct()
+    return replicate(fps, threshold).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
     each = storage.materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
     first = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components.connected_components(links(first))
+    roots = components.connected_components(links(first, threshold))
     of_fp = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = of_fp.join(of_fp.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
