@@ -141,15 +141,15 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     return Model(langs, tables)
 
 
-def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with lang_pred and score of each whole text."""
+def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep``, then the language and score of each whole text under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             said = [m.predict(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*keep, *names])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, f"{kinds}lang_pred string, score double")
+    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, f"{kinds}`{names[0]}` string, `{names[1]}` double")

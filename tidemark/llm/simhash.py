@@ -65,16 +65,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) for every document."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long) for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 class Anchors:
@@ -204,11 +204,29 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return replicate(fps, threshold).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, th, fp, root: ``root`` is one fingerprint of each component."""
+    each = storage.materialize(fingerprints(docs, size), "fingerprints")
+    distinct = each.select("fp").distinct()
+    roots = components.connected_components(links(distinct, threshold)).select(F.col("node").alias("fp"), "root")
+    of_fp = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return each.join(of_fp, "fp").select("doc_id", "th", "fp", "root")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
-    each = storage.materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    first = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components.connected_components(links(first, threshold))
-    of_fp = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = of_fp.join(of_fp.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    each = groups(docs, size, threshold)
+    named = each.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return each.join(named, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each component, with its columns as they were: the smallest non-null doc_id.
+
+    Of several texts with that id the one with the least hash stays, of repeated rows any one.
+    """
+    first = groups(docs, size, threshold).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__kept")).distinct()
+    keyed = docs.withColumn("__th", F.xxhash64("text"))
+    chosen = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__th"] == kept["__kept"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import storage
@@ -273,20 +273,26 @@ def covered(n: int, ats: list[int], length: int) -> list[tuple[int, int]]:
 
 
 def repeated(docs: DataFrame, *keep: str, length: int = LENGTH) -> DataFrame:
-    """The columns ``keep`` (doc_id and text among them if wanted) with ats: packed runs of repeated windows."""
-    keyed = docs.select(*dict.fromkeys(["doc_id", "text", *keep])).withColumn("th", F.hash("text"))  # the join below and the last one share its exchange
-    flags = classify(bucket_rows(keyed, length))
+    """The columns ``keep`` (doc_id and text among them if wanted) with __ats: packed runs of repeated windows."""
+    names = list(dict.fromkeys(["doc_id", "text", *keep]))
+    keyed = docs.select(*names).withColumn("__th", F.hash("text"))  # the join below and the last one share its exchange
+    plain = keyed.select("doc_id", F.col("__th").alias("th"), "text")
     of_doc = storage.materialize(
-        flags.groupBy("doc_id", "th").agg(
+        classify(bucket_rows(plain, length)).groupBy("doc_id", "th").agg(
             F.collect_list(F.when(F.col("full"), F.col("at"))).alias("full"),
             F.collect_list(F.when(F.col("probe"), F.struct("gram", "at", "large"))).alias("probes")), "repeats")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     probed = of_doc.where(F.size("probes") > 0)
-    joined = keyed.join(probed, same(keyed, probed)).select(keyed["doc_id"], keyed["th"], "text", "probes")
+    joined = keyed.join(probed, _same_row(keyed, probed)).select(keyed["doc_id"], "th", keyed["text"], probed["probes"])
     ends = probe_ends(joined, length).groupBy("doc_id", "th").agg(F.collect_set("at").alias("ends"))
     full = of_doc.select("doc_id", "th", "full")
-    ats = full.join(ends, same(full, ends), "left").select(full["doc_id"], full["th"], F.array_distinct(F.concat("full", F.coalesce("ends", F.array().cast("array<bigint>")))).alias("ats"))
-    return keyed.join(ats, same(keyed, ats), "left").select(*[keyed[c] for c in dict.fromkeys(["text", *keep])], F.coalesce("ats", F.array().cast("array<bigint>")).alias("ats"))
+    none = F.array().cast("array<bigint>")
+    ats = full.join(ends, full["doc_id"].eqNullSafe(ends["doc_id"]) & (full["th"] == ends["th"]), "left").select(
+        full["doc_id"], full["th"], F.array_distinct(F.concat("full", F.coalesce("ends", none))).alias("__ats"))
+    return keyed.join(ats, _same_row(keyed, ats), "left").select(*[keyed[c] for c in names if c in keep or c == "text"], F.coalesce(ats["__ats"], none).alias("__ats"))
+
+
+def _same_row(keyed: DataFrame, found: DataFrame) -> Column:
+    return keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["__th"] == found["th"])
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -307,7 +313,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return repeated(docs, "doc_id", length=length).select("doc_id", "text", "ats").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated(docs, "doc_id", length=length).select("doc_id", "text", "__ats").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -321,7 +327,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, ats in zip(b.column("text"), b.column("ats")):
+            for t, ats in zip(b.column("text"), b.column("__ats")):
                 text, at = t.as_py(), ats.as_py()
                 if at:
                     raw, kept, last = text.encode(), [], 0
@@ -332,4 +338,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return repeated(docs, *names, length=length).select(*names, "ats").mapInArrow(run, docs.schema)
+    return repeated(docs, *names, length=length).select(*names, "__ats").mapInArrow(run, docs.schema)
