@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, pieces, sharding, simhash, storage, suffix, topk, urls
+from tidemark.llm import chat, decontaminate, katz, langid, pieces, sharding, simhash, storage, suffix, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,8 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality").eqNullSafe(0) | F.col("toxic").eqNullSafe(1)).alias("blocked"))
     return urls.judge(_read(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+@_query("op5_katz")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_read(spark, sf_dir, "documents"), held_out(7, 2))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a fresh local one only where none is set (tests)."""
@@ -27,8 +29,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table is written: its shuffle files are not needed again
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before or "false")
     out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
     out.tidemark_path = path
     return out
