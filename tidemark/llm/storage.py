@@ -37,7 +37,7 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before or "false")
-    out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
     return out
 
