@@ -587,6 +587,25 @@ def _(spark, d):
     return _ran(spark, "latest", live.latest(_stream(spark, d), "symbol"), "complete").drop("event_id")
 
 
+@_query("stream_sampled_books", X.BOOKS_SQL, """SELECT * FROM (SELECT time_bucket(INTERVAL '1 second', timestamp) AS timestamp, exchange, symbol, arg_max(bid, (timestamp, event_id)) AS best_bid, arg_max(ask, (timestamp, event_id)) AS best_ask
+  FROM levels WHERE i = 1 GROUP BY 1, 2, 3) WHERE timestamp + INTERVAL 1 SECOND <= (SELECT max(timestamp) FROM trades) - INTERVAL 10 SECOND""")
+def _(spark, d):
+    out = _ran(spark, "books", live.sampled_books(_stream(spark, d).transform(X.books_from)), "append")
+    return select.best_quotes(out).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "exchange", "symbol", "best_bid", "best_ask")
+
+
+@_query("stream_book_state", X.L2_SQL, "SELECT exchange, symbol, side, price, arg_max(amount, (timestamp, event_id)) AS amount FROM changes GROUP BY 1, 2, 3, 4 HAVING arg_max(amount, (timestamp, event_id)) > 0")
+def _(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _ran(spark, "state", live.book_state(_stream(spark, d).transform(X.l2_from)), "update")
+
+
+@_query("stream_deduplicated", X.TRADES_SQL, "SELECT DISTINCT symbol, event_id // 2 AS pair FROM trades")
+def _(spark, d):
+    rows = _stream(spark, d).select("timestamp", "symbol", F.floor(F.col("event_id") / 2).cast("long").alias("pair"))
+    return _ran(spark, "dedup", live.deduplicated(rows, ["symbol", "pair"], "365 days"), "append").select("symbol", "pair")
+
+
 @_query("stream_ingest_ledger", X.TRADES_SQL, "SELECT 0::BIGINT AS txn_id, count(*) AS row_count, min(timestamp) AS min_ts, max(timestamp) AS max_ts FROM trades")
 def _(spark, d):
     path = _scratch(spark, "ingest")

@@ -56,19 +56,28 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades_from(events(spark, sf_dir))
 
 
-def orderbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def books_from(trades: DataFrame) -> DataFrame:
+    """One 20-level snapshot for each trade; works on batch and streaming trades."""
     i = F.sequence(F.lit(1), F.lit(20))
     volumes = F.transform(i, lambda x: ((F.col("event_id") * 31 + x * 17) % 190 + 10).cast("double") / 100.0)
     side = lambda sign: F.transform(i, lambda x: F.col("price") + F.col("price") * F.lit(0.0001) * x if sign > 0 else F.col("price") - F.col("price") * F.lit(0.0001) * x)
-    return trades(spark, sf_dir).select("timestamp", "exchange", "symbol", F.array(side(-1), volumes).alias("bids"), F.array(side(1), volumes).alias("asks"), "event_id")
+    return trades.select("timestamp", "exchange", "symbol", F.array(side(-1), volumes).alias("bids"), F.array(side(1), volumes).alias("asks"), "event_id")
 
 
-def l2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trades(spark, sf_dir).select(
+def orderbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books_from(trades(spark, sf_dir))
+
+
+def l2_from(trades: DataFrame) -> DataFrame:
+    return trades.select(
         "timestamp", "event_id", "exchange", "symbol", F.when(F.col("side") == "buy", "bid").otherwise("ask").alias("side"),
         F.floor("price").cast("double").alias("price"), F.when(F.col("size") < 0.2, 0.0).otherwise(F.col("size")).alias("amount"))
 
 
+def l2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l2_from(trades(spark, sf_dir))
+
+
 def l3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = (F.col("event_id") * 7919) % 1500
     market = (F.col("event_id") % 7 == 4) & (order % 10 == 0)
