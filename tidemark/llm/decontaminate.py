@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.suffix import gram_hashes
-
-Q = 8
+Q = 8  # one machine word of folded characters
 RATE = 0.1
 CHUNK_CHARS = 4_000_000
-FILTER_BITS = 21
+FILTER_BITS = 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(text: str | None) -> str:
@@ -41,12 +40,25 @@ def normal(text: str | None) -> str:
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def grams(chars: np.ndarray) -> np.ndarray:
+    """Every q-gram as one word of q folded characters; equal q-grams give equal words."""
+    folded = chars if chars.dtype == np.uint8 else (chars ^ chars >> np.uint32(8)).astype(np.uint8)
+    return np.ndarray((len(folded) - Q + 1,), "<u8", np.ascontiguousarray(folded), 0, (1,))
 
 
-def budget(m: int, rate: float = RATE, q: int = Q) -> int:
-    """Edits allowed to an item of m >= q characters."""
-    return max(0, min(int(rate * m), (m - q) // q))
+def _slot(words: np.ndarray) -> np.ndarray:
+    return words * _MIX >> np.uint64(64 - FILTER_BITS)
+
+
+def budget(m: int, rate: float = RATE) -> int:
+    """Edits allowed to an item of m >= Q characters."""
+    return max(0, min(int(rate * m), (m - Q) // Q))
 
 
 def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int]:
@@ -54,6 +66,10 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, lim
 
     ``limit + 1`` if there is none within ``limit``.
     """
+    whole = text.astype(np.uint32).tobytes()
+    exact = whole.find(item.astype(np.uint32).tobytes())
+    if exact >= 0 and exact % 4 == 0 and low <= exact // 4 <= high:
+        return 0, exact // 4 + len(item)
     width, far = high - low + 1, limit + 1
     diagonal = np.arange(low, high + 1)
     row = np.where((diagonal >= 0) & (diagonal <= len(text)), 0, far).astype(np.int64)  # a match may begin anywhere
@@ -78,53 +94,59 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, lim
 class Index:
     """q-grams of the items, with a bit filter before the exact search."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, q: int = Q) -> None:
-        self.q = q
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE) -> None:
         self.ids, self.text, self.k = [], [], []
         for item_id, text in items:
             chars = codes(normal(text))
-            if len(chars) >= q:
+            if len(chars) >= Q:
                 self.ids.append(item_id)
                 self.text.append(chars)
-                self.k.append(budget(len(chars), rate, q))
-        grams = [gram_hashes(t, q) for t in self.text]
-        self.least = np.array([len(g) - q * k for g, k in zip(grams, self.k)], np.int64)
+                self.k.append(budget(len(chars), rate))
+        own = [grams(t) for t in self.text]
+        self.least = np.array([len(g) - Q * k for g, k in zip(own, self.k)], np.int64)
         # bands of width 2^shift overlap by half; half is more than k, so any k + 1 diagonals lie in one
         self.shift = np.array([max(2, int(2 * k + 1).bit_length()) for k in self.k], np.int64)
-        g = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        g = np.concatenate(own) if own else np.empty(0, np.uint64)
         order = np.argsort(g, kind="stable")
         self.gram = g[order]
-        self.item = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[order] if grams else np.empty(0, np.int64)
-        self.pos = np.concatenate([np.arange(len(x)) for x in grams])[order] if grams else np.empty(0, np.int64)
+        self.item = np.repeat(np.arange(len(own)), [len(x) for x in own])[order] if own else np.empty(0, np.int64)
+        self.pos = np.concatenate([np.arange(len(x)) for x in own])[order] if own else np.empty(0, np.int64)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
-        self.seen[self.gram >> np.uint64(64 - FILTER_BITS)] = True
-
-    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every shared q-gram."""
-        if len(chars) < self.q or not len(self.gram):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        h = gram_hashes(chars, self.q)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - FILTER_BITS)])
-        h = h[at]
-        first = np.searchsorted(self.gram, h)
-        known = self.gram[np.minimum(first, len(self.gram) - 1)] == h
-        at, first, h = at[known], first[known], h[known]
-        n = np.searchsorted(self.gram, h, side="right") - first
+        self.seen[_slot(self.gram)] = True
+
+    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, position in it, diagonal) of every shared q-gram."""
+        if len(chars) < Q or not len(self.gram):
+            return (np.empty(0, np.int64),) * 3
+        words = grams(chars)
+        at = np.flatnonzero(self.seen[_slot(words)])
+        words = words[at]
+        first = np.searchsorted(self.gram, words)
+        known = self.gram[np.minimum(first, len(self.gram) - 1)] == words
+        at, first, words = at[known], first[known], words[known]
+        n = np.searchsorted(self.gram, words, side="right") - first
         k = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.item[k], np.repeat(at, n) - self.pos[k]
+        return self.item[k], self.pos[k], np.repeat(at, n) - self.pos[k]
 
     def matches(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item id, edits, end in the normalised text) of the best match of each item found."""
         chars = codes(normal(text))
-        item, diagonal = self.hits(chars)
+        item, pos, diagonal = self.hits(chars)
         if not len(item):
             return []
         plenty = np.bincount(item, minlength=len(self.ids))[item] >= self.least[item]
-        item, diagonal = item[plenty], diagonal[plenty]
+        item, pos, diagonal = item[plenty], pos[plenty], diagonal[plenty]
         band = diagonal >> self.shift[item] - 1
         key = np.concatenate([item << 40 | band + (1 << 32), item << 40 | band - 1 + (1 << 32)])  # band b: halves b and b + 1
-        key, n = np.unique(key, return_counts=True)
-        key = key[n >= self.least[key >> 40]]
+        known, n = np.unique(key, return_counts=True)
+        known = known[n >= self.least[known >> 40]]
+        if not len(known):
+            return []
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        full = known[at] == key
+        longest = max(map(len, self.text))
+        each = np.unique(at[full] * longest + np.concatenate([pos, pos])[full])  # a q-gram of the item counts once
+        key = known[np.bincount(each // longest, minlength=len(known)) >= self.least[known >> 40]]
         best: dict[int, tuple[int, int]] = {}
         for x in key.tolist():
             i, b = x >> 40, (x & (1 << 40) - 1) - (1 << 32)
@@ -132,6 +154,8 @@ class Index:
             high = low + (1 << int(self.shift[i])) - 1
             start = max(0, low - k)
             region = chars[start : high + k + len(self.text[i]) + 1]
+            if best.get(i, (k + 1,))[0] == 0:
+                continue
             edits, end = banded_distance(self.text[i], region, low - k - start, high + k - start, k)
             if edits <= k and (i not in best or (edits, end + start) < best[i]):
                 best[i] = (edits, end + start)
