@@ -21,7 +21,7 @@ TOLD = "\\### Assistant: </turn> ok"
 
 
 def test_chat_round_trip_and_mask(spark):
-    rows = [(1, 2, "assistant", "b\\l<#>\n"), (1, 1, "user", None), (1, 1, "user", "a"), (1, 1, "user", "a"), (2, 0, None, ""), (None, None, "GPT", TOLD), (3, 5, "x\ny: #", "é€😀" * 300)]
+    rows = [(1, 2, "assistant", "b\\l<#>\n"), (1, 1, "user", None), (1, 1, "user", "a"), (1, 1, "user", "a"), (2, 0, None, ""), (None, None, "assistant", TOLD), (3, 5, "x\ny: #", "é€😀" * 300)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     back = chat.read_back(chat.format_turns(chat.rows_to_turns(df))).collect()
     got = sorted(((r["conv_id"], r["n"], r["role"], r["text"], r["loss_text"]) for r in back), key=str)

@@ -110,8 +110,8 @@ def _explode(df: DataFrame, turns: Column) -> DataFrame:
 
 
 def rows_to_turns(df: DataFrame) -> DataFrame:
-    """Canonical turns from a table with one row for each turn."""
-    return df.select("conv_id", F.col("turn").cast("long").alias("turn"), canonical_role(F.col("role")).alias("role"), "text")
+    """Canonical turns from a table with one row for each turn, whose roles are kept as they are."""
+    return df.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), "text")
 
 
 def table_to_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:

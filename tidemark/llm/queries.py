@@ -29,15 +29,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @_query("op1_chat_format", r"""
 WITH turns AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), named AS (
-  SELECT conv_id, turn, text, CASE lower(coalesce(role, '')) WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant'
-    WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE coalesce(role, '') END AS role FROM turns
 ), sized AS (
   SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '<', ''))
-    + length(text) - length(replace(text, '#', '')) AS body, length(role) + 5 + 8 AS frame FROM named
+    + length(text) - length(replace(text, '#', '')) AS body, length(role) + 5 + 8 AS frame FROM turns
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
