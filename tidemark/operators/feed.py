@@ -103,24 +103,41 @@ def merge(feeds: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("exchange", F.lit(name)) for name, df in feeds.items()])
 
 
+CHUNK = 1_000_000
+
+
+def running_max(df: DataFrame, pair: str, order: str, values: dict[str, Column], then: tuple[str, ...] = (), inclusive: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Running maxima of ``values`` (name: column) over each pair's rows in ``order`` (a number).
+
+    A pair is cut into chunks of its order: windows stay inside a chunk and take what
+    came before from one row for each chunk, so one busy pair spreads over many tasks.
+    """
+    cut = df.withColumns({"__chunk": F.floor(F.col(order) / chunk), **{f"__v_{n}": v for n, v in values.items()}})
+    tops = cut.groupBy(pair, "__chunk").agg(*[F.max(f"__v_{n}").alias(n) for n in values])
+    before = Window.partitionBy(pair).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(pair, "__chunk", *[F.max(n).over(before).alias(f"__c_{n}") for n in values])
+    inside = Window.partitionBy(pair, "__chunk").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    out = cut.join(carried, [pair, "__chunk"]).withColumns({n: F.greatest(f"__c_{n}", F.max(f"__v_{n}").over(inside)) for n in values})
+    return out.drop("__chunk", *[f"__{k}_{n}" for n in values for k in "vc"])
+
+
 def in_sequence(feed: DataFrame, pair: str = "symbol", arrival: str = "event_id", seq: str = "seq", start: DataFrame | None = None) -> DataFrame:
     """Rows whose sequence exceeds every earlier one of the pair; with ``start`` (pair, start_seq) only after the snapshot."""
-    before = Window.partitionBy(pair).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     if start is not None:
         feed = feed.join(start, pair).where(F.col(seq) > F.col("start_seq")).drop("start_seq")
-    return feed.withColumn("__top", F.max(seq).over(before)).where(F.col("__top").isNull() | (F.col(seq) > F.col("__top"))).drop("__top")
+    return running_max(feed, pair, arrival, {"__top": F.col(seq)}).where(F.col("__top").isNull() | (F.col(seq) > F.col("__top"))).drop("__top")
 
 
 def gaps(clean: DataFrame, pair: str = "symbol", seq: str = "seq") -> DataFrame:
     """pair, seq, previous, missing: the first row after each hole; the pair is blank until a new snapshot."""
-    w = Window.partitionBy(pair).orderBy(seq)
-    return clean.withColumn("previous", F.lag(seq).over(w)).where(F.col(seq) - F.col("previous") > 1).select(pair, seq, "previous", (F.col(seq) - F.col("previous") - 1).alias("missing"))
+    before = running_max(clean.select(pair, seq), pair, seq, {"previous": F.col(seq)})
+    return before.where(F.col(seq) - F.col("previous") > 1).select(pair, seq, "previous", (F.col(seq) - F.col("previous") - 1).alias("missing"))
 
 
 def usable_rows(clean: DataFrame, gap_rows: DataFrame, snapshots: DataFrame, pair: str = "symbol", seq: str = "seq") -> DataFrame:
     """Rows not blanked by a gap: after each gap nothing counts until the pair's next snapshot (pair, snap_seq)."""
-    marks = gap_rows.select(pair, F.col(seq).alias("at"), F.lit(0).alias("good")).unionByName(snapshots.select(pair, F.col("snap_seq").alias("at"), F.lit(1).alias("good")))
-    both = clean.select(pair, seq, F.lit(None).cast("int").alias("good")).unionByName(marks.select(pair, F.col("at").alias(seq), "good"))
-    w = Window.partitionBy(pair).orderBy(seq, F.coalesce("good", F.lit(2))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = F.last("good", ignorenulls=True).over(w)
-    return both.withColumn("state", state).where("good is null and coalesce(state, 1) = 1").select(pair, seq)
+    of = lambda df, at, kind: df.select(pair, F.col(at).alias(seq), F.lit(kind).alias("kind"))
+    rows = of(clean, seq, 2).unionByName(of(gap_rows, seq, 0)).unionByName(of(snapshots, "snap_seq", 1))
+    at = lambda kind: F.when(F.col("kind") == kind, F.col(seq))
+    told = running_max(rows, pair, seq, {"gap": at(0), "snapshot": at(1)}, ("kind",), inclusive=True)
+    return told.where("kind = 2 and (gap is null or coalesce(snapshot >= gap, false))").select(pair, seq)
