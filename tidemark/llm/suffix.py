@@ -99,7 +99,12 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def bucket_rows(docs: DataFrame, length: int) -> DataFrame:
-    """gram, stretch (hashes), doc_id, th, at: one row for each run of each document."""
+    """gram, stretch (hashes), n, known, doc_id, th, at: one row for each run of each document.
+
+    A stretch that a task meets again in the rows at hand is known to repeat: its first
+    row counts them all (n), the others are dealt by a hash of their own, so that a
+    stretch that fills a third of the corpus does not meet in one task.
+    """
     q = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +129,27 @@ def bucket_rows(docs: DataFrame, length: int) -> DataFrame:
             held.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), *ids.columns, part.column(3)], names=["gram", "stretch", "doc_id", "th", "at"]))
             rows += part.num_rows
             if rows > 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                yield _counted(held)
                 held, rows = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield _counted(held)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "th", "text").mapInArrow(whole, f"gram long, stretch long, doc_id {kind}, th int, at long")
+    return docs.select("doc_id", "th", "text").mapInArrow(whole, f"gram long, stretch long, n long, known boolean, doc_id {kind}, th int, at long")
+
+
+def _counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows with n and known: repeats of a stretch stand apart from its first row, which counts them."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    stretch, at, th = (t.column(c).to_numpy() for c in ("stretch", "at", "th"))
+    _, first, inverse, n = np.unique(stretch, return_index=True, return_inverse=True, return_counts=True)
+    known = np.ones(len(stretch), bool)
+    known[first] = False
+    own = (stretch.view(np.uint64) ^ at.view(np.uint64) * np.uint64(_BASE)) + th.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    gram = np.where(known, (own ^ own >> np.uint64(31)).view(np.int64), t.column("gram").to_numpy())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(gram), pa.array(stretch), pa.array(np.where(known, 0, n[inverse])), pa.array(known), *[t.column(c).combine_chunks() for c in ("doc_id", "th", "at")]],
+        names=["gram", "stretch", "n", "known", "doc_id", "th", "at"])
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -139,13 +158,13 @@ def classify(rows: DataFrame) -> DataFrame:
     of_gram = Window.partitionBy("gram")
     return (
         rows.repartition("gram")
-        .withColumns({"same": F.count(F.lit(1)).over(of_stretch.orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        .withColumns({"same": F.sum("n").over(of_stretch.orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
                       "nth": F.row_number().over(of_stretch.orderBy("doc_id", "at"))})
-        .withColumns({"members": F.count(F.lit(1)).over(of_gram), "least": F.min("same").over(of_gram),
+        .withColumns({"members": F.sum("n").over(of_gram), "least": F.min("same").over(of_gram),
                       "distinct": F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(of_gram)})
-        .where("members > 1 and (same > 1 or least = 1)")
-        .select("gram", "doc_id", "th", "at", (F.col("same") > 1).alias("full"),
-                ((F.col("nth") == 1) & (F.col("least") == 1) & (F.col("distinct") > 1)).alias("probe"), (F.col("distinct") > LARGE).alias("large"))
+        .where("known or members > 1 and (same > 1 or least = 1)")
+        .select("gram", "doc_id", "th", "at", (F.col("known") | (F.col("same") > 1)).alias("full"),
+                (~F.col("known") & (F.col("nth") == 1) & (F.col("least") == 1) & (F.col("distinct") > 1)).alias("probe"), (F.col("distinct") > LARGE).alias("large"))
         .where("full or probe")
     )
 
@@ -282,7 +301,7 @@ def repeated(docs: DataFrame, *keep: str, length: int = LENGTH) -> DataFrame:
             F.collect_list(F.when(F.col("full"), F.col("at"))).alias("full"),
             F.collect_list(F.when(F.col("probe"), F.struct("gram", "at", "large"))).alias("probes")), "repeats")
     probed = of_doc.where(F.size("probes") > 0)
-    joined = keyed.join(probed, _same_row(keyed, probed)).select(keyed["doc_id"], "th", keyed["text"], probed["probes"])
+    joined = keyed.join(probed, _same_row(keyed, probed)).select(keyed["doc_id"], probed["th"], keyed["text"], probed["probes"])
     ends = probe_ends(joined, length).groupBy("doc_id", "th").agg(F.collect_set("at").alias("ends"))
     full = of_doc.select("doc_id", "th", "full")
     none = F.array().cast("array<bigint>")
