@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import storage
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 PART_BYTES = 10_000_000
 MAX_HOT = 100_000
 GT_MAX = 5  # counts up to this are discounted
@@ -125,32 +125,54 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, pa.Table.from_batches(held)
 
 
-def _flat(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def pack(values: np.ndarray, delta: bool = False) -> bytes:
+    """8-byte values (sorted ones as steps), bytes of equal weight together, compressed."""
+    v = np.diff(values, prepend=values.dtype.type(0)) if delta else values
+    planes = np.ascontiguousarray(np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8).T)
+    return len(v).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True) if len(v) else b"")
 
 
-def _sizes(t: pa.Table, name: str) -> np.ndarray:
-    col = t.column(name).combine_chunks()
-    return np.nan_to_num(col.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+def unpack(data: bytes, delta: bool = False, dtype: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.empty(0, dtype)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], decompressed_size=8 * n, asbytes=True), np.uint8).reshape(8, n)
+    v = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(v) if delta else v
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """values[cuts[i]:cuts[i + 1]] as lists."""
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
+def _all(t: pa.Table, name: str, delta: bool = False) -> list[np.ndarray]:
+    return [unpack(x, delta) for x in t.column(name).to_pylist() if x is not None]
 
 
-def _split(of: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """The distinct keys in ``of``, and each array's values as one list for each key, in order."""
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def _binary(parts: list[bytes]) -> pa.Array:
+    return pa.array(parts, pa.binary())
+
+
+def _split(of: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys in ``of`` and the places of each, in order."""
     order = np.argsort(of, kind="stable")
     keys, first = np.unique(of[order], return_index=True)
-    cuts = np.r_[first, len(of)]
-    return keys, [_lists(v[order], cuts) for v in values]
+    return keys, np.split(order, first[1:]) if len(keys) else []
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _word_places(hashes: np.ndarray, word_parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The word parts of a block's sorted hashes, and the places of each: the order in which ids come back."""
+    return _split((hashes % np.uint64(word_parts)).astype(np.int32))
+
+
 def _block_words(word_parts: int):
     """word_part, block, hashes, counts: each block's words with their training counts."""
 
@@ -161,33 +183,51 @@ def _block_words(word_parts: int):
             for train, text in zip(t.column("train"), t.column("text")):
                 (counts if train.as_py() else other).update(words_of(text.as_py()))
             words = [*counts, *(other - counts.keys())]
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             n = np.zeros(len(words), np.int64)
             n[: len(counts)] = np.fromiter(counts.values(), np.int64, len(counts))
-            keys, (hashes, ns) = _split((h % np.uint64(word_parts)).astype(np.int32), h.view(np.int64), n)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block, np.int32)), hashes, ns], names=["word_part", "block", "hashes", "counts"])
+            h, inverse = np.unique(_hashes(words), return_inverse=True)
+            n = np.bincount(inverse, weights=n, minlength=len(h)).astype(np.int64)
+            keys, places = _word_places(h, word_parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int32()), pa.array(np.full(len(keys), block, np.int32)), _binary([pack(h[at]) for at in places]), _binary([pack(n[at]) for at in places])],
+                names=["word_part", "block", "hashes", "counts"])
 
     return run
 
 
 def _word_ids(word_parts: int):
-    """block, hashes, ids, totals for each block; block -1 has a part's types, tokens and counts of counts."""
+    """block, word_part, ids, totals, in the order of the block's hashes; block -1 has hist: a part's types, tokens and counts of counts.
+
+    Frequent words get small ids, which pack better.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in _groups(batches, "word_part"):
-            h, n = _flat(t, "hashes"), _flat(t, "counts")
+            hashes = _all(t, "hashes")
+            h, n = _joined(hashes), _joined(_all(t, "counts"))
             known, inverse = np.unique(h, return_inverse=True)
             total = np.bincount(inverse, weights=n, minlength=len(known)).astype(np.int64)
-            ids = 2 + part + np.arange(len(known), dtype=np.int64) * word_parts
-            if len(ids) and ids[-1] >= 1 << 31:
+            ids = np.empty(len(known), np.int64)
+            ids[np.argsort(-total, kind="stable")] = 2 + part + np.arange(len(known)) * word_parts
+            if ids.max(initial=0) >= 1 << 31:
                 raise OverflowError("more than 2^31 word ids")
-            block = np.repeat(t.column("block").to_numpy(), _sizes(t, "hashes"))
-            keys, (hashes, of, totals) = _split(block, h, ids[inverse], total[inverse])
-            hist = np.array([(total > 0).sum(), total.sum(), *[(total == r).sum() for r in range(1, GT_MAX + 2)]], np.int64)
-            none = _lists(np.empty(0, np.int64), np.array([0, 0]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), hashes, of, totals], names=["block", "hashes", "ids", "totals"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([-1], np.int32)), none, none, _lists(hist, np.array([0, len(hist)]))], names=["block", "hashes", "ids", "totals"])
+            keys, places = _split(np.repeat(t.column("block").to_numpy(), [len(x) for x in hashes]))
+            hist = [int((total > 0).sum()), int(total.sum()), *[int((total == r).sum()) for r in range(1, GT_MAX + 2)]]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([*keys.tolist(), -1], pa.int32()), pa.array([part] * (len(keys) + 1), pa.int32()), _binary([*[pack(ids[inverse[at]]) for at in places], None]),
+                _binary([*[pack(total[inverse[at]]) for at in places], None]), pa.array([*[None] * len(keys), hist], pa.list_(pa.int64()))], names=["block", "word_part", "ids", "totals", "hist"])
+
+    return run
+
+
+def _often(least: float):
+    """ids of the words counted more than ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            ids = _joined(_all(t, "ids"))[_joined(_all(t, "totals")) > least]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids))], names=["id"])
 
     return run
 
@@ -201,23 +241,31 @@ def _part_of(pairs: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
     return ((key ^ key >> np.uint64(29)) * _MIX >> np.uint64(33)).astype(np.int64) % parts
 
 
-def _encode(total: int, types: int, n_train: int, hot: np.ndarray, parts: int):
+def _encode(total: int, types: int, n_train: int, hot: np.ndarray, parts: int, word_parts: int):
     """Documents as word ids (out 0), and each block's bigrams by part (out 1)."""
     names = ["out", "block", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids", "part", "pairs", "counts", "word_counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in _groups(batches, "block"):
-            h, ids, totals = _flat(t, "hashes"), _flat(t, "ids"), _flat(t, "totals")
-            at_hash = dict(zip(h.view(np.uint64).tolist(), range(len(h))))
-            at_word: dict[bytes, int] = {}
+            docs = t.filter(pa.compute.equal(t.column("kind"), 1))
+            distinct: set[bytes] = set()
+            for text in docs.column("text"):
+                distinct.update(words_of(text.as_py()))
+            words = list(distinct)
+            hashes = _hashes(words)
+            h = np.unique(hashes)
+            at_word = dict(zip(words, np.searchsorted(h, hashes).tolist()))
+            told = t.filter(pa.compute.equal(t.column("kind"), 0))
+            told = {p: (unpack(x), unpack(y)) for p, x, y in zip(told.column("word_part").to_pylist(), told.column("ids").to_pylist(), told.column("totals").to_pylist())}
+            ids, totals = np.empty((2, len(h)), np.int64)
+            for part, at in zip(*_word_places(h, word_parts)):
+                ids[at], totals[at] = told[int(part)]
             log = np.log10((totals + 1) / (total + types + 1))
             end_log, end_known = math.log10((n_train + 1) / (total + types + 1)), int(n_train > 0)
-            docs = t.filter(pa.compute.equal(t.column("kind"), 1))
+            del distinct, words, hashes, t
             coded, base, known, pairs, train_pairs = [], [], [], [], []
             for text, held in zip(docs.column("text"), docs.column("held_out")):
                 words = words_of(text.as_py())
-                for w in set(words).difference(at_word):
-                    at_word[w] = at_hash[xxhash.xxh3_64_intdigest(w)]
                 at = np.fromiter(map(at_word.__getitem__, words), np.int64, len(words))
                 base.append(float(log[at].sum()) + end_log)
                 known.append(int((totals[at] > 0).sum()) + end_known)
@@ -229,16 +277,11 @@ def _encode(total: int, types: int, n_train: int, hot: np.ndarray, parts: int):
             if not coded:
                 continue
             n = len(coded)
-            lengths = np.array([len(c) for c in coded])
-            for k in range(0, n, 2000):
-                some = slice(k, k + 2000)
-                cuts = np.r_[0, np.cumsum(lengths[some])]
-                m = len(cuts) - 1
-                null = lambda kind: pa.nulls(m, kind)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, block, np.int32)), docs.column("doc_id").combine_chunks()[some], docs.column("held_out").combine_chunks()[some],
-                    pa.array(lengths[some] - 1), pa.array(known[some], pa.int64()), pa.array(base[some], pa.float64()), _lists(np.concatenate(coded[some]).astype(np.int32), cuts),
-                    null(pa.int32()), null(pa.list_(pa.int64())), null(pa.list_(pa.int64())), null(pa.list_(pa.int64()))], names=names)
+            null = lambda kind, m: pa.nulls(m, kind)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block, np.int32)), docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(),
+                pa.array([len(c) - 1 for c in coded], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), _binary([pack(c) for c in coded]),
+                null(pa.int32(), n), null(pa.binary(), n), null(pa.binary(), n), null(pa.binary(), n)], names=names)
             unique = np.unique(np.concatenate(pairs))
             count = np.zeros(len(unique), np.int64)
             if train_pairs:
@@ -247,25 +290,28 @@ def _encode(total: int, types: int, n_train: int, hot: np.ndarray, parts: int):
             by_id = np.argsort(ids)
             w = unique & 0xFFFFFFFF
             word_count = np.where(w == END, n_train, totals[by_id][np.minimum(np.searchsorted(ids[by_id], w), max(0, len(ids) - 1))] if len(ids) else 0)
-            keys, (p, c, wc) = _split(_part_of(unique, hot, parts), unique, count, word_count)
+            keys, places = _split(_part_of(unique, hot, parts))
             m = len(keys)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block, np.int32)), pa.nulls(m, docs.schema.field("doc_id").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                pa.nulls(m, pa.float64()), pa.nulls(m, pa.list_(pa.int32())), pa.array(keys.astype(np.int32)), p, c, wc], names=names)
+                pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block, np.int32)), null(docs.schema.field("doc_id").type, m), null(pa.bool_(), m), null(pa.int64(), m), null(pa.int64(), m),
+                null(pa.float64(), m), null(pa.binary(), m), pa.array(keys, pa.int32()), _binary([pack(unique[at], True) for at in places]),
+                _binary([pack(count[at]) for at in places]), _binary([pack(word_count[at]) for at in places])], names=names)
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """part, pairs, counts, word_counts, hist: the model's bigram table, one row a part."""
+    """The model's bigram table, one row a part, with what each block asks of it (asked)."""
     for part, t in _groups(batches, "part"):
-        pairs, n, wc = _flat(t, "pairs"), _flat(t, "counts"), _flat(t, "word_counts")
+        pairs, n, wc = _joined(_all(t, "pairs", True)), _joined(_all(t, "counts")), _joined(_all(t, "word_counts"))
         pairs, n, wc = pairs[n > 0], n[n > 0], wc[n > 0]
         known, first, inverse = np.unique(pairs, return_index=True, return_inverse=True)
         total = np.bincount(inverse, weights=n, minlength=len(known)).astype(np.int64)
-        hist = np.array([(total == r).sum() for r in range(1, GT_MAX + 2)], np.int64)
-        one = lambda v: _lists(v, np.array([0, len(v)]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([part], np.int32)), one(known), one(total), one(wc[first]), one(hist)], names=["part", "pairs", "counts", "word_counts", "hist"])
+        hist = [int((total == r).sum()) for r in range(1, GT_MAX + 2)]
+        asked = t.select(["block", "pairs", "word_counts"]).to_pylist()
+        yield pa.RecordBatch.from_arrays([
+            pa.array([part], pa.int32()), _binary([pack(known, True)]), _binary([pack(total)]), _binary([pack(wc[first])]), pa.array([hist], pa.list_(pa.int64())),
+            pa.array([asked], pa.list_(pa.struct([("block", pa.int32()), ("pairs", pa.binary()), ("word_counts", pa.binary())])))], names=["part", "pairs", "counts", "word_counts", "hist", "asked"])
 
 
 def _contexts(pairs: np.ndarray, counts: np.ndarray, word_counts: np.ndarray, d: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
@@ -276,12 +322,16 @@ def _contexts(pairs: np.ndarray, counts: np.ndarray, word_counts: np.ndarray, d:
     return v[first], add(counts.astype(np.float64)), add(discounted(counts, d)), add(words.p(word_counts))
 
 
+def _table(row: pa.Table) -> tuple[np.ndarray, ...]:
+    return _joined(_all(row, "pairs", True)), _joined(_all(row, "counts")), _joined(_all(row, "word_counts"))
+
+
 def _hot_sums(hot: np.ndarray, d: np.ndarray, words: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 t = pa.Table.from_batches([b.slice(i, 1)])
-                v, n, mass, psum = _contexts(_flat(t, "pairs"), _flat(t, "counts"), _flat(t, "word_counts"), d, words)
+                v, n, mass, psum = _contexts(*_table(t), d, words)
                 k = np.isin(v, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(v[k]), pa.array(n[k]), pa.array(mass[k]), pa.array(psum[k])], names=["v", "n", "mass", "psum"])
 
@@ -289,59 +339,54 @@ def _hot_sums(hot: np.ndarray, d: np.ndarray, words: Words):
 
 
 def _answer(d: np.ndarray, words: Words, hot: tuple[np.ndarray, ...]):
-    """block, pairs, logs: every block's bigrams with log10 P(w | v)."""
+    """block, part, values, which: log10 P(w | v) of the block's bigrams in that part, in their order, as a table and places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _groups(batches, "part"):
-            table = t.filter(pa.compute.equal(t.column("kind"), 0))
-            pairs, counts = _flat(table, "pairs"), _flat(table, "counts")
-            v, n, mass, psum = _contexts(pairs, counts, _flat(table, "word_counts"), d, words)
-            at = np.searchsorted(v, hot[0])  # hot contexts are spread: their sums come from all parts
-            here = at < len(v)
-            here[here] = v[at[here]] == hot[0][here]
-            keep = np.ones(len(v), bool)
-            keep[at[here]] = False
-            order = np.argsort(np.r_[v[keep], hot[0]], kind="stable")
-            v, n, mass, psum = (np.r_[x[keep], y][order] for x, y in zip((v, n, mass, psum), hot))
-            scale, a = weights(n, mass, psum)
-            seen_p = discounted(counts, d)
-            asked = t.filter(pa.compute.equal(t.column("kind"), 1))
-            for i in range(asked.num_rows):
-                row = asked.slice(i, 1)
-                q, wc = _flat(row, "pairs"), _flat(row, "word_counts")
-                back, context, weight = words.p(wc), q >> 32, np.ones(len(q))
-                if len(v):
-                    j = np.minimum(np.searchsorted(v, context), len(v) - 1)
-                    has = v[j] == context
-                    weight[has] = a[j[has]]
-                p = weight * back
-                if len(pairs):
-                    k = np.minimum(np.searchsorted(pairs, q), len(pairs) - 1)
-                    hit = pairs[k] == q
-                    p[hit] = (scale[j] * seen_p[k] / n[j])[hit]
-                cuts = np.array([0, len(q)])
-                yield pa.RecordBatch.from_arrays([row.column("block").combine_chunks(), _lists(q, cuts), _lists(np.log10(p), cuts)], names=["block", "pairs", "logs"])
+        for b in batches:
+            for i in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(i, 1)])
+                pairs, counts, word_counts = _table(t)
+                v, n, mass, psum = _contexts(pairs, counts, word_counts, d, words)
+                keep = ~np.isin(v, hot[0])  # hot contexts are spread: their sums come from all parts
+                order = np.argsort(np.r_[v[keep], hot[0]], kind="stable")
+                v, n, mass, psum = (np.r_[x[keep], y][order] for x, y in zip((v, n, mass, psum), hot))
+                scale, a = weights(n, mass, psum)
+                seen_p = discounted(counts, d)
+                for asked in t.column("asked")[0]:
+                    q, wc = unpack(asked["pairs"].as_py(), True), unpack(asked["word_counts"].as_py())
+                    p = words.p(wc)
+                    if len(v):
+                        j = np.minimum(np.searchsorted(v, q >> 32), len(v) - 1)
+                        p = np.where(v[j] == q >> 32, a[j], 1.0) * p
+                    if len(pairs):
+                        k = np.minimum(np.searchsorted(pairs, q), len(pairs) - 1)
+                        hit = pairs[k] == q
+                        p[hit] = (scale[j] * seen_p[k] / n[j])[hit]
+                    values, which = np.unique(np.log10(p), return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([asked["block"].as_py()], pa.int32()), t.column("part").combine_chunks(), _binary([pack(values)]), _binary([pack(which)])], names=["block", "part", "values", "which"])
 
     return run
 
 
-def _score(total: int):
+def _score(total: int, hot: np.ndarray, parts: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _groups(batches, "block"):
-            pairs, logs = _flat(t, "pairs"), _flat(t, "logs")
-            order = np.argsort(pairs)
-            pairs, logs = pairs[order], logs[order]
             docs = t.filter(pa.compute.equal(t.column("kind"), 1))
-            scores = []
-            for ids in docs.column("ids"):
-                code = ids.values.to_numpy().astype(np.int64)
-                scores.append(float(logs[np.searchsorted(pairs, code[:-1] << 32 | code[1:])].sum()))
-            out = docs.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score"]).combine_chunks()
-            cols = {c: out.column(c).combine_chunks() for c in out.column_names} | {"train_tokens": pa.array(np.full(len(scores), total)), "score": pa.array(scores, pa.float64())}
-            if scores:
-                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+            codes = _all(docs, "ids")
+            if not codes:
+                continue
+            unique, inverse = np.unique(np.concatenate([c[:-1] << 32 | c[1:] for c in codes]), return_inverse=True)
+            places = dict(zip(*_split(_part_of(unique, hot, parts))))
+            logs = np.zeros(len(unique))
+            answers = t.filter(pa.compute.equal(t.column("kind"), 0)).select(["part", "values", "which"])
+            for part, values, which in zip(*(answers.column(c) for c in answers.column_names)):
+                logs[places[part.as_py()]] = unpack(values.as_py(), dtype=np.float64)[unpack(which.as_py())]
+            first = np.cumsum([0, *[len(c) - 1 for c in codes[:-1]]])
+            cols = {c: docs.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}
+            cols |= {"train_tokens": pa.array(np.full(len(codes), total)), "score": pa.array(np.add.reduceat(logs[inverse], first))}
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     return run
 
@@ -357,38 +402,42 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("n_train")).first()
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("n_train"), F.count("*").alias("n")).first()
     total_bytes, n_train = size["bytes"] or 0, size["n_train"]
     blocks, parts = -(-total_bytes // BLOCK_BYTES) or 1, -(-total_bytes // PART_BYTES) or 1
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    counted = _dealt(placed.select("block", (~F.col("held_out")).alias("train"), "text"), "block").mapInArrow(_block_words(parts), "word_part int, block int, hashes array<long>, counts array<long>")
-    words = storage.materialize(_dealt(counted, "word_part").mapInArrow(_word_ids(parts), "block int, hashes array<long>, ids array<long>, totals array<long>"), "words")
-    sums = [r["s"] for r in words.where("block = -1").select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).orderBy("i").collect()] or [0] * (GT_MAX + 3)
+    counted = _dealt(placed.select("block", (~F.col("held_out")).alias("train"), "text"), "block").mapInArrow(_block_words(parts), "word_part int, block int, hashes binary, counts binary")
+    words = storage.materialize(_dealt(counted, "word_part").mapInArrow(_word_ids(parts), "block int, word_part int, ids binary, totals binary, hist array<long>"), "words")
+    sums = _sums(words.where("block = -1")) or [0] * (GT_MAX + 3)
     types, total, hist = sums[0] + (n_train > 0), sums[1] + n_train, sums[2:]
     if 0 < n_train <= GT_MAX + 1:
         hist[n_train - 1] += 1  # the end token is a type as well
     unigram = Words.of(total, hist)
     often = total / min(4 * parts, MAX_HOT)
-    hot_rows = words.where(F.exists("totals", lambda x: x > often) & (F.col("block") >= 0)).select(F.explode(F.filter(F.arrays_zip("ids", "totals"), lambda z: z["totals"] > often)).alias("z")).select("z.ids").distinct().collect()
-    hot_ids = np.array(sorted([r["ids"] for r in hot_rows] + [START] * (n_train > often)), np.int64)
+    hot_rows = words.where("block >= 0").select("ids", "totals").mapInArrow(_often(often), "id long").distinct().collect()
+    hot_ids = np.array(sorted([r["id"] for r in hot_rows] + [START] * (n_train > often)), np.int64)
 
-    told = words.where("block >= 0").select("block", F.lit(0).alias("kind"), "hashes", "ids", "totals")
+    told = words.where("block >= 0").select("block", F.lit(0).alias("kind"), "word_part", "ids", "totals")
     both = told.unionByName(placed.select("block", F.lit(1).alias("kind"), "doc_id", "held_out", "text"), allowMissingColumns=True)
-    encoded = storage.materialize(
-        _dealt(both, "block", "kind").mapInArrow(_encode(total, types, n_train, hot_ids, parts), f"out int, block int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids array<int>, part int, pairs array<long>, counts array<long>, word_counts array<long>"),
-        "encoded", "out")
-    asked = encoded.where("out = 1")
-    table = storage.materialize(_dealt(asked.select("part", "pairs", "counts", "word_counts"), "part").mapInArrow(_merge, "part int, pairs array<long>, counts array<long>, word_counts array<long>, hist array<long>"), "bigrams")
-    n_r = [r["s"] for r in table.select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).orderBy("i").collect()] or [0] * (GT_MAX + 1)
-    d = discounts(n_r)
+    schema = f"out int, block int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids binary, part int, pairs binary, counts binary, word_counts binary"
+    encoded = storage.materialize(_dealt(both, "block", "kind").mapInArrow(_encode(total, types, n_train, hot_ids, parts, parts), schema), "encoded", "out")
+    storage.drop(words)
+    counts = _dealt(encoded.where("out = 1").select("part", "block", "pairs", "counts", "word_counts"), "part")
+    table = storage.materialize(counts.mapInArrow(_merge, "part int, pairs binary, counts binary, word_counts binary, hist array<long>, asked array<struct<block:int,pairs:binary,word_counts:binary>>"), "bigrams")
+    storage.delete(spark, f"{encoded.tidemark_path}/out=1")
+    d = discounts(_sums(table) or [0] * (GT_MAX + 1))
     found = table.select("pairs", "counts", "word_counts").mapInArrow(_hot_sums(hot_ids, d, unigram), "v long, n double, mass double, psum double").groupBy("v").agg(*[F.sum(c).alias(c) for c in ("n", "mass", "psum")]).orderBy("v").collect()
     hot = tuple(np.array([r[c] for r in found], np.int64 if c == "v" else np.float64) for c in ("v", "n", "mass", "psum"))
 
-    model = table.select("part", F.lit(0).alias("kind"), "pairs", "counts", "word_counts")
-    requests = asked.select("part", F.lit(1).alias("kind"), "block", "pairs", "word_counts")
-    answers = _dealt(model.unionByName(requests, allowMissingColumns=True), "part", "kind").mapInArrow(_answer(d, unigram, hot), "block int, pairs array<long>, logs array<double>")
-    coded = encoded.where("out = 0").select("block", F.lit(1).alias("kind"), "doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids")
+    answers = table.select("part", "pairs", "counts", "word_counts", "asked").mapInArrow(_answer(d, unigram, hot), "block int, part int, values binary, which binary")
+    coded = spark.read.schema(encoded.select("block", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids").schema).parquet(f"{encoded.tidemark_path}/out=0") if size["n"] else encoded
+    coded = coded.select("block", F.lit(1).alias("kind"), "doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids")
     joined = answers.withColumn("kind", F.lit(0)).unionByName(coded, allowMissingColumns=True)
-    return _dealt(joined, "block", "kind").mapInArrow(_score(total), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _dealt(joined, "block", "kind").mapInArrow(_score(total, hot_ids, parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _sums(rows: DataFrame) -> list[int]:
+    """The position-wise sums of the arrays in ``hist``."""
+    return [r["s"] for r in rows.select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).orderBy("i").collect()]
