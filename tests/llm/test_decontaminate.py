@@ -53,3 +53,12 @@ def test_tables(spark):
     assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [2, 3, 4]
     assert D.clean(docs, bench).columns == docs.columns
     assert D.find(docs.limit(0), bench).collect() == [] and D.find(docs, bench.limit(0)).collect() == []
+
+
+def test_clean_judges_each_row_by_its_own_text(spark):
+    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again and again"), (2, "pack my box with five dozen liquor jugs before the evening")], "item_id long, text string")
+    leak, other = "x THE quick brown fox jumped over the lazy dog again and again", "pack my box with five dozen liquor jugs before the evening y"
+    rows = [(None, leak), (None, "clean one"), (None, "clean two"), (7, other), (7, "clean three"), (7, None), (8, "kept"), (8, "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chars in (D.CHUNK_CHARS, 60):
+        assert sorted((tuple(r) for r in D.clean(docs, bench, chunk_chars=chars).collect()), key=str) == sorted([x for x in rows if x[1] not in (leak, other)], key=str)

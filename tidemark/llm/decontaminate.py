@@ -193,7 +193,15 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_chars:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all other rows as they were."""
-    bad = find(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark item; all other rows as they were."""
+    for items in _chunks(benchmark, chunk_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by chunk_chars
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, rate)
+            for b in batches:
+                yield b.filter(pa.array([not index.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
