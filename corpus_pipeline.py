@@ -6,10 +6,10 @@ a lost executor costs at most one stage.
 
 1. language ID: documents without a language (null, empty or letterless text), or
    whose best language is less likely than ``MIN_LANGUAGE_SCORE``, go
-2. SimHash near-dedup: one document of each group stays, the smallest doc_id. It
-   links three-word fingerprints at up to ``NEAR_BITS`` bits: measured on sf0.1, 130
-   of 136 pairs with a five-word similarity of 0.8 or more differ in at most 8 of
-   them, while five-word fingerprints of such pairs differ in up to 14
+2. SimHash near-dedup: one document of each group stays, the smallest doc_id. Texts
+   whose three-word fingerprints differ in at most ``NEAR_BITS`` bits are candidates;
+   two link if the Jaccard similarity of their five-word sets is ``NEAR_SIMILARITY``
+   or more
 3. suffix-array dedup: strings of 200 bytes or more that occur twice are cut out
 4. benchmark decontamination: documents that hold a benchmark item go
 5. SentencePiece: the kept documents' ids and the text that they decode to
@@ -24,7 +24,8 @@ from tidemark.llm import decontaminate, langid, pieces, simhash, storage, suffix
 from tidemark.llm.queries import tokenizer_path
 
 MIN_LANGUAGE_SCORE = 0.3
-NEAR_BITS = 8
+NEAR_BITS = 11
+NEAR_SIMILARITY = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs, threshold=NEAR_BITS)
+    return simhash.keep_first(docs, threshold=NEAR_BITS, similarity=NEAR_SIMILARITY)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

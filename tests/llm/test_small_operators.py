@@ -9,6 +9,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import chat, langid, pieces, sharding, simhash, topk, urls
 from tidemark.llm.queries import URL_RULES, tokenizer_path
 
@@ -204,3 +205,41 @@ def test_url_rules(spark):
     assert got == sorted(want, key=str)
     assert urls.judge(pages.limit(0), labels, URL_RULES).collect() == []
     assert {r["verdict"] for r in urls.judge(pages.where("page_id < 80"), labels.limit(0), URL_RULES).collect()} == {"allow"}
+
+
+# Verified near-duplicates --------------------------------------------------------------------
+
+def five(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("lines, pairs", [(256, 8), (5, 0)])
+def test_near_duplicates_are_verified(spark, monkeypatch, lines, pairs):
+    monkeypatch.setattr(simhash, "LINES", lines)
+    monkeypatch.setattr(simhash, "PAIRS", pairs, raising=False)
+    r = random.Random(11)
+    base = [" ".join(r.choice("alpha beta gamma delta eps zeta eta".split()) + str(r.randrange(40)) for _ in range(120)) for _ in range(8)]
+    texts = list(base)
+    for b in base:
+        for edits in (1, 1, 2, 2, 3, 5, 6):
+            w = b.split()
+            for k in r.sample(range(120), edits):
+                w[k] = "edited%d" % r.randrange(99)
+            texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, "one"), (503, "ONE"), (None, base[0]), (3, base[3])]
+    fps, sets = [brute_fingerprint(t, 3) for _, t in rows], [five(t) for _, t in rows]
+    label, near, far, wide = list(range(len(rows))), 0, 0, 0
+    for i in range(len(rows)):
+        for j in range(i):
+            bits, both = (fps[i] ^ fps[j]).bit_count(), sets[i] | sets[j]
+            alike = not both or len(sets[i] & sets[j]) / len(both) >= 0.8
+            near, far, wide = near + (alike and bits <= 11), far + (not alike and bits <= 8), wide + (alike and 8 < bits <= 11)
+            if alike and bits <= 11:
+                label = [label[j] if x == label[i] else x for x in label]
+    assert near and far and wide
+    want = sorted(min(d for (d, _), x in zip(rows, label) if x == k and d is not None) for k in set(label))
+    df = spark.createDataFrame([(d, t, "x", None, 1) for d, t in rows], SCHEMA).repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == want and kept.columns == df.columns
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []

@@ -16,6 +16,11 @@ A wider threshold, up to 11 bits, covers four quarters with the code of all poin
 Inside an anchor only a spanning forest of its links is kept (component id is all
 that is asked), so a dense group of K fingerprints gives K - 1 rows, not K^2.
 
+With a ``similarity`` a SimHash link is only a candidate: two distinct texts link if
+their fingerprints do and the Jaccard similarity of their sets of ``VERIFIED`` = 5
+words reaches it. No candidate is left out: an anchor with few of them gives its
+pairs, and the texts of anchors with more are compared block against block.
+
 Defined results
 - null and empty texts, or texts without words: fingerprint 0, linked like others
 - repeated rows: same fingerprint, same component; every row is kept
@@ -41,6 +46,8 @@ SEED = 42
 #: Fixed value: generator polynomial of the binary Golay code [23,12].
 GOLAY = 0b110001110101
 LINES = 256  # rows of a large anchor compared at once
+VERIFIED = 5  # words of a shingle in the exact comparison
+PAIRS = 8  # an anchor with more candidate pairs than this a text is compared by blocks
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -65,16 +72,20 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long) for every document."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, counted: bool = False) -> DataFrame:
+    """doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long) for every document.
+
+    ``counted`` adds n, the number of distinct shingles of ``VERIFIED`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(2)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
+            n = [pa.array([len(shingle_set(t.as_py())) for t in b.column(2)], pa.int32())] if counted else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), *n], names=["doc_id", "th", "fp", "n"][: 3 + counted])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long" + ", n int" * counted)
 
 
 class Anchors:
@@ -213,6 +224,152 @@ def groups(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) ->
     return each.join(of_fp, "fp").select("doc_id", "th", "fp", "root")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of ``VERIFIED`` words."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles((text or "").encode().lower().split(), VERIFIED)), np.uint64))
+
+
+def _near(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) may link: near fingerprints, and sets of sizes that allow the similarity."""
+    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    return (np.bitwise_count(bits[i] ^ bits[j]) <= threshold) & ((high == 0) | (low / np.maximum(high, 1) >= similarity))
+
+
+def _candidates(anchor: np.ndarray, th: np.ndarray, fp: np.ndarray, n: np.ndarray, threshold: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, dense: each anchor's candidate pairs, or a spanning forest of them where they are many; rows come sorted by anchor."""
+    start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    sizes = np.diff(np.r_[start, len(anchor)])
+    end, group = np.repeat(start + sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    label, bits = np.arange(len(anchor)), fp.view(np.uint64)
+    few = np.repeat(sizes <= LINES, sizes)
+    left, right, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(sizes), np.int64)
+    for step in range(1, min(int(sizes.max(initial=1)), LINES)):
+        i = np.flatnonzero(few & (np.arange(len(anchor)) + step < end))
+        if not len(i):
+            break
+        i = i[_near(bits, n, i, i + step, threshold, similarity)]
+        found += np.bincount(group[i], minlength=len(sizes))
+        left.append(i)
+        right.append(i + step)
+    for g in np.flatnonzero(sizes > LINES).tolist():
+        a, m = int(start[g]), int(sizes[g])
+        for k in range(a, a + m, LINES):
+            rows = np.arange(k, min(k + LINES, a + m))
+            i, j = np.repeat(rows, a + m - k), np.tile(np.arange(k, a + m), len(rows))
+            keep = (i < j) & _near(bits, n, i, j, threshold, similarity)
+            i, j = i[keep], j[keep]
+            found[g] += len(i)
+            components.merge_labels(label, i, j)
+            if found[g] <= PAIRS * m:  # else the forest says it
+                left.append(i)
+                right.append(j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    dense = found > PAIRS * sizes
+    many = dense[group[i]]
+    components.merge_labels(label, i[many], j[many])
+    child = np.flatnonzero(dense[group] & (label != np.arange(len(label))))
+    i, j = i[~many], j[~many]
+    return np.r_[th[i], th[child]], np.r_[th[j], th[label[child]]], np.r_[np.zeros(len(i), bool), np.ones(len(child), bool)]
+
+
+def candidates(nodes: DataFrame, threshold: int, similarity: float) -> DataFrame:
+    """a, b (text hashes), dense: all candidate pairs; of dense anchors a spanning forest of them."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Midpoints()
+        for b in batches:
+            for at in range(0, b.num_rows, 16384):
+                part = b.slice(at, 16384)
+                bits = part.column(1).to_numpy().view(np.uint64)
+                for side in range(4):
+                    row, anchor, _ = code.replicas((bits >> np.uint64(16 * side) & np.uint64(0xFFFF)).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | side << 32), *(c.take(pa.array(row)) for c in part.columns)], names=["anchor", "th", "fp", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows, enough = [], 0, 200_000
+
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal kept, rows, enough
+            if not rows:
+                return
+            columns = [np.concatenate(x) for x in zip(*kept)]
+            cut = rows if final else int(np.searchsorted(columns[0], columns[0][-1]))  # the last anchor may go on
+            a, b, dense = _candidates(*(c[:cut] for c in columns), threshold, similarity)
+            kept, rows = [tuple(c[cut:] for c in columns)], rows - cut
+            enough = max(200_000, 2 * rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(dense)], names=["a", "b", "dense"])
+
+        for b in batches:
+            kept.append(tuple(c.to_numpy() for c in b.columns))
+            rows += b.num_rows
+            if rows > enough:
+                yield from flush(False)
+        yield from flush(True)
+
+    if threshold > 11:
+        raise ValueError("at most 11 differing bits")
+    placed = nodes.select("th", "fp", "n").mapInArrow(spread, "anchor long, th long, fp long, n int")
+    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long, dense boolean").distinct()
+
+
+def _compared(found: DataFrame) -> DataFrame:
+    """task, th: the texts to compare with each other, two for a pair and two blocks for a dense group."""
+    pairs = found.where("not dense").select(F.xxhash64("a", "b").alias("task"), F.explode(F.array("a", "b")).alias("th"))
+    if found.where("dense").isEmpty():
+        return pairs
+    member = components.connected_components(found.where("dense").select("a", "b"))
+    parts = member.groupBy("root").agg(F.ceil(F.count("*") / LINES).alias("parts"))
+    own = member.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    both = own.select("root", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = both.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.col("node").alias("th"))
+    return pairs.unionByName(blocks)
+
+
+def verified_links(docs: DataFrame, each: DataFrame, threshold: int, similarity: float) -> DataFrame:
+    """a, b: text hashes that keep everything connected whose link is verified; ``each`` has th, fp, n."""
+    nodes = storage.materialize(each.select("th", "fp", "n").distinct(), "texts")
+    found = storage.materialize(candidates(nodes, threshold, similarity), "candidates")
+
+    def linked(rows: list[tuple[int, int, str | None]]) -> pa.RecordBatch:
+        th, bits = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        sets = [shingle_set(r[2]) for r in rows]
+        n, label = np.array([len(s) for s in sets]), np.arange(len(rows))
+        for i in range(len(rows)):
+            j = np.arange(i + 1, len(rows))
+            for k in j[_near(bits, n, np.full(len(j), i), j, threshold, similarity)].tolist():
+                if label[i] == label[k]:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if not n[i] or common / (n[i] + n[k] - common) >= similarity:
+                    components.merge_labels(label, np.array([i]), np.array([k]))
+        child = np.flatnonzero(label != np.arange(len(rows)))
+        return pa.RecordBatch.from_arrays([pa.array(th[child]), pa.array(th[label[child]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+        for b in batches:
+            for t, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if t != task and rows:
+                    yield linked(rows)
+                    rows = []
+                task = t
+                rows.append(row)
+        if rows:
+            yield linked(rows)
+
+    members = storage.materialize(_compared(found).distinct(), "compared")
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").groupBy("th").agg(F.first("text").alias("text")).join(members.select("th").distinct(), "th", "left_semi")
+    told = members.join(texts, "th").join(nodes.select("th", "fp"), "th").select("task", "th", "fp", "text")
+    return told.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified_groups(docs: DataFrame, size: int, threshold: int, similarity: float) -> DataFrame:
+    """doc_id, th, root: ``root`` is one text's hash of each component of verified links."""
+    each = storage.materialize(fingerprints(docs, size, True), "fingerprints")
+    roots = components.connected_components(verified_links(docs, each, threshold, similarity)).select(F.col("node").alias("th"), "root")
+    return each.select("doc_id", "th").join(roots, "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
     each = groups(docs, size, threshold)
@@ -220,12 +377,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     return each.join(named, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, similarity: float | None = None) -> DataFrame:
     """One row of each component, with its columns as they were: the smallest non-null doc_id.
 
     Of several texts with that id the one with the least hash stays, of repeated rows any one.
+    With a ``similarity`` links are verified.
     """
-    first = groups(docs, size, threshold).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
+    grouped = groups(docs, size, threshold) if similarity is None else verified_groups(docs, size, threshold, similarity)
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
     kept = first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__kept")).distinct()
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     chosen = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__th"] == kept["__kept"]), "left_semi")
