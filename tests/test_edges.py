@@ -185,3 +185,20 @@ def test_entry_works_without_the_training_data_part(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), any(n.startswith('op') for n in q))"], cwd=tmp_path, capture_output=True, text=True)
     assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-3]) > 80, said.stderr
+
+
+def test_streaming_book_state_of_a_pair_in_several_parts(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    key, src = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "src")
+    before = spark.conf.get(key)
+    rows = [(at(i), i, "K", "B", "bid" if i % 3 else "ask", float(i % 7), [1.0 + i, 0.0, 2.0 + i, -1.0][i % 4]) for i in range(79, -1, -1)]
+    df = spark.createDataFrame(rows, CHANGE)
+    df.coalesce(1).write.parquet(src)
+    try:
+        spark.conf.set(key, "7")
+        live.run_once(live.book_state(live.live_table(spark, src, df.schema)), str(tmp_path / "o"), str(tmp_path / "c"), "update")
+    finally:
+        spark.conf.set(key, before)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).select("exchange", "symbol", "side", "price", "amount").collect())
+    want = book.level_intervals(df, *book.PAIR).where("valid_to is null").select("exchange", "symbol", "side", "price", "amount")
+    assert got == sorted(tuple(r) for r in want.collect()) and got

@@ -119,20 +119,23 @@ def progress(query: StreamingQuery) -> list[tuple[int, int]]:
 
 
 class _Book(StatefulProcessor):
-    """Levels of one pair; a change of amount 0 deletes, above 0 sets, below 0 is ignored."""
+    """Levels of one pair; a change of amount 0 deletes, above 0 sets, below 0 is ignored.
+
+    Each level keeps the (timestamp, event_id) of its newest change, a deleted one with
+    amount 0, so rows may come in any order within and across batches.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "amount double")
+        self.levels = handle.getMapState("levels", "side string, price double", "amount double, micros long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            for r in part.sort_values(["timestamp", "event_id"]).itertuples(index=False):
-                if r.amount == 0:
-                    if self.levels.containsKey((r.side, r.price)):
-                        self.levels.removeKey((r.side, r.price))
-                elif r.amount > 0:
-                    self.levels.updateValue((r.side, r.price), (r.amount,))
-        found = [(*key, k[0], k[1], v[0]) for k, v in self.levels.iterator()]
+            for r in part[part["amount"] >= 0].sort_values(["timestamp", "event_id"], na_position="first").drop_duplicates(["side", "price"], keep="last").itertuples(index=False):
+                at = (-(2**63) if pd.isna(r.timestamp) else pd.Timestamp(r.timestamp).value // 1000, -(2**63) if pd.isna(r.event_id) else int(r.event_id))
+                level = (r.side, r.price)
+                if not self.levels.containsKey(level) or tuple(self.levels.getValue(level)[1:]) <= at:
+                    self.levels.updateValue(level, (r.amount, *at))
+        found = [(*key, k[0], k[1], v[0]) for k, v in self.levels.iterator() if v[0] > 0]
         yield pd.DataFrame(found, columns=["exchange", "symbol", "side", "price", "amount"])
 
     def close(self) -> None:
