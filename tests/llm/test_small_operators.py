@@ -243,3 +243,12 @@ def test_near_duplicates_are_verified(spark, monkeypatch, lines, pairs):
     kept = corpus_pipeline.near_dedup(spark, df, "")
     assert sorted(x["doc_id"] for x in kept.collect()) == want and kept.columns == df.columns
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
+
+
+def test_url_rules_see_every_label_and_segment(spark):
+    rows = [(i, f"https://{'w' if i % 2 else 'm'}.{'spam-farm' if i < 12 else 'site%d' % (i % 5)}.example.org/a{i % 6}/x/b{i % 4}") for i in range(60)]
+    rows += [(i, f"https://s{i % 7}.example.org/a{i % 6}/{'offers' if i < 72 else 'notes'}/b{i % 4}") for i in range(60, 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 12 or 60 <= i < 72) for i, _ in rows if i % 3], "page_id long, blocked boolean")
+    got = {r["page_id"] for r in urls.judge(pages, labels, [("allow", "nowhere.test", "/")], 0.1, 0.9).where("verdict = 'block'").collect()}
+    assert got == {*range(12), *range(60, 72)}

@@ -6,9 +6,10 @@ sure. Matching is by inverted index: a rule is filed under one of its tokens (th
 rarest), each distinct token set looks its tokens up there, and the whole rule is
 then tested against the set.
 
-Tokens by construction (at most eight a URL): top-level domain, last two labels,
-first label, number of labels, first and last path segment, their shape, and
-whether there is a query.
+Tokens: every host label (top-level domain, first label, or a label between) and
+every path segment (first, last, or between), and besides the last two labels, the
+number of labels, the last segment's shape, and whether there is a query. Labels
+and segments between count wherever they stand.
 
 Defined results
 - null url, or no "://": host and path empty, no tokens, no rule, verdict allow
@@ -53,8 +54,10 @@ def tokens(url: Column) -> Column:
         F.concat(F.lit("labels="), F.least(F.size(labels), F.lit(9)).cast("string")),
         F.concat(F.lit("first="), first), F.concat(F.lit("last="), last), F.concat(F.lit("shape="), shape),
         F.concat(F.lit("query="), F.contains(url, F.lit("?")).cast("string")))
+    between = lambda name, all_of: F.transform(F.slice(all_of, F.lit(2), F.greatest(F.lit(0), F.size(all_of) - 2)), lambda x: F.concat(F.lit(f"{name}="), x))
+    every = F.concat(made, between("inner", labels), between("segment", segments))
     known = url.isNotNull() & F.contains(url, F.lit("://"))
-    return F.when(known, F.array_sort(F.array_distinct(made))).otherwise(F.array().cast("array<string>"))
+    return F.when(known, F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<string>"))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
