@@ -202,3 +202,11 @@ def test_streaming_book_state_of_a_pair_in_several_parts(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).select("exchange", "symbol", "side", "price", "amount").collect())
     want = book.level_intervals(df, *book.PAIR).where("valid_to is null").select("exchange", "symbol", "side", "price", "amount")
     assert got == sorted(tuple(r) for r in want.collect()) and got
+
+
+def test_series_json_in_chunks(spark):
+    from tidemark.operators import summary
+
+    df = spark.createDataFrame([("K", at(60 * i), float(i)) for i in range(30)], "exchange string, timestamp timestamp_ntz, price double")
+    rows = summary.series_json(summary.series_chunks(df, ["K"], 600)).orderBy("chunk").collect()
+    assert len(rows) >= 3 and sum(r["json"].count("time") for r in rows) == 30

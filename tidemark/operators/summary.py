@@ -38,6 +38,12 @@ def chart_series(trades: DataFrame, exchanges: list[str]) -> DataFrame:
     return chart_points(trades, exchanges).groupBy("exchange").agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("series"))
 
 
+def series_chunks(trades: DataFrame, exchanges: list[str], seconds: int = 60) -> DataFrame:
+    """exchange, chunk, series: like ``chart_series``, one row for each ``seconds`` of an exchange, so whole tables do."""
+    chunk = F.floor(F.col("time") / seconds).alias("chunk")
+    return chart_points(trades, exchanges).groupBy("exchange", chunk).agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("series"))
+
+
 def chart_stats(trades: DataFrame, exchanges: list[str]) -> DataFrame:
     """Points for each chosen exchange, 0 where it has none, beside the total and the exchanges with data."""
     chosen = F.explode(F.array(*[F.lit(e.upper()) for e in exchanges])).alias("exchange")
@@ -49,4 +55,4 @@ def chart_stats(trades: DataFrame, exchanges: list[str]) -> DataFrame:
 
 
 def series_json(series: DataFrame) -> DataFrame:
-    return series.select("exchange", F.to_json("series").alias("json"))
+    return series.select(*[c for c in series.columns if c != "series"], F.to_json("series").alias("json"))

@@ -548,8 +548,8 @@ def _(spark, d):
 
 @_query("series_json", X.TRADES_SQL, "SELECT exchange, count(*) AS points FROM trades GROUP BY 1")
 def _(spark, d):
-    text = summary.series_json(summary.chart_series(X.trades(spark, d).where("price is not null"), list(schemas.EXCHANGES)))
-    return text.select("exchange", F.size(F.from_json("json", "array<struct<time:double,value:double>>")).cast("long").alias("points"))
+    text = summary.series_json(summary.series_chunks(X.trades(spark, d).where("price is not null"), list(schemas.EXCHANGES)))
+    return text.groupBy("exchange").agg(F.sum(F.size(F.from_json("json", "array<struct<time:double,value:double>>"))).cast("long").alias("points"))
 
 
 # Streams (run over what is there, then read) ----------------------------------------------------------
