@@ -124,7 +124,8 @@ def test_tables_sinks_retention(spark, tmp_path):
     assert tables.export(page, 1).num_rows == 1
     books = spark.createDataFrame([(at(3_600 * h), "K", "B", [[1.0], [1.0]], [[2.0], [1.0]]) for h in range(4)], "timestamp timestamp_ntz, exchange string, symbol string, bids array<array<double>>, asks array<array<double>>")
     tables.append_books(books, str(tmp_path / "b"))
-    assert tables.drop_expired_hours(spark, str(tmp_path / "b"), "1h", at(3_600 * 3)).count() == 1
+    assert tables.drop_expired_hours(spark, str(tmp_path / "b"), "1h", at(3_600 * 3)) == 2
+    assert [r["hour"] for r in spark.read.parquet(str(tmp_path / "b")).collect()] == [3]
 
 
 def test_coerce_and_live_columns(spark):
@@ -159,7 +160,7 @@ def test_streams_grow_and_equal_batch(spark, tmp_path):
     assert live.next_size(log.withColumn("row_count", F.lit(None).cast("long")), 0, 25, lambda: 77) == 77
     whole = live.live_table(spark, src, kind, refreshing=False)
     q = live.run_once(live.candles(live.live_table(spark, src, kind), "5s"), str(tmp_path / "o"), str(tmp_path / "c2"))
-    assert sum(n for _, n in live.progress(q)) == 60
+    assert sum(p[1] for p in live.progress(q)) == 60 and live.progress(q)[-1][3] == 60
     closed = spark.read.parquet(str(tmp_path / "o")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     batch = sample.candles(whole, "5s")
     assert 0 < closed.count() < batch.count() and closed.select(*batch.columns).exceptAll(batch).count() == 0
@@ -167,16 +168,60 @@ def test_streams_grow_and_equal_batch(spark, tmp_path):
     assert spark.streams.active == []
 
 
-def test_streaming_book_state_equals_replay(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def test_streaming_book_state_over_many_batches(spark, tmp_path):
     src = str(tmp_path / "src")
     rows = [(at(i), i, "K", "B" if i % 2 else "E", "bid" if i % 3 else "ask", float(i % 7), [1.0, 0.0, 2.0, -1.0][i % 4]) for i in range(80)]
+    rows += [(at(100 + i), 100 + i, "K", "Z", "bid", 1.0, float(i)) for i in range(3)] + [(at(99), 99, "K", "G", "bid", 1.0, 5.0), (at(200), 200, "K", "G", "bid", 1.0, 0.0)]
     df = spark.createDataFrame(rows, CHANGE)
-    df.coalesce(1).write.parquet(src)
-    live.run_once(live.book_state(live.live_table(spark, src, df.schema)), str(tmp_path / "o"), str(tmp_path / "c"), "update")
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).select("exchange", "symbol", "side", "price", "amount").collect())
+    for part in ("event_id >= 60", "event_id < 25", "event_id between 25 and 59"):  # newest changes first
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
+    live.run_once(live.book_state(live.live_table(spark, src, df.schema, max_files=1)), str(tmp_path / "o"), str(tmp_path / "c"), "update")
+    written = spark.read.parquet(str(tmp_path / "o"))
+    assert written.select("batch").distinct().count() == 3
+    got = sorted(tuple(r) for r in live.standing(written).select("exchange", "symbol", "side", "price", "amount").collect())
     want = book.level_intervals(df, *book.PAIR).where("valid_to is null").select("exchange", "symbol", "side", "price", "amount")
-    assert got == sorted(tuple(r) for r in want.collect())
+    assert got == sorted(tuple(r) for r in want.collect()) and ("K", "Z", "bid", 1.0, 2.0) in got and not any(r[1] == "G" for r in got)
+
+
+def test_streaming_sequence_over_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = str(tmp_path / "src")
+    rows = [("B", i, s, s == 9) for i, s in enumerate([1, 2, 2, 3, 6, 5, 7, 9, 10, 12])]
+    df = spark.createDataFrame(rows, "symbol string, event_id long, seq long, snapshot boolean")
+    for part in ("event_id < 5", "event_id >= 5"):
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
+    live.run_once(live.sequenced(live.live_table(spark, src, df.schema, max_files=1)), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = [r["status"] for r in spark.read.parquet(str(tmp_path / "o")).orderBy("event_id").collect()]
+    assert got == ["ok", "ok", "stale", "ok", "gap", "stale", "blank", "ok", "ok", "gap"]
+
+
+def test_running_values_across_chunks(spark):
+    from tidemark.operators import running
+
+    rows = [(k, i, v) for k in ("a", None) for i, v in enumerate([3, None, 1, 5, 2, 9, 4])]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    for chunk in (1, 2, 100):
+        of = lambda d, c: {(r["k"], r["i"]): r[c] for r in d.collect()}  # noqa: B023, E731
+        tops = of(running.running_max(df, ("k",), ("i",), {"m": F.col("v")}, chunk=chunk), "m")
+        sums = of(running.running_sum(df, ("k",), ("i",), F.col("v"), "s", chunk), "s")
+        before = of(running.previous(df, ("k",), ("i",), "v", "p", chunk), "p")
+        for k in ("a", None):
+            assert [tops[k, i] for i in range(7)] == [None, 3, 3, 3, 5, 5, 9]
+            assert [sums[k, i] for i in range(7)] == [3, 3, 4, 9, 11, 20, 24]
+            assert [before[k, i] for i in range(7)] == [None, 3, None, 1, 5, 2, 9]
+        n = of(running.numbered(df, ("k",), ("i",), "n", chunk), "n")
+        assert all(v == i + 1 for (_, i), v in n.items())
+        assert sorted(r["n"] for r in running.numbered(df, (), ("i",), "n", chunk).collect()) == list(range(1, 15))
+    with pytest.raises(ValueError):
+        running.position(df, "k")
+
+
+def test_order_type_of_the_latest_earlier_message(spark):
+    t = spark.createDataFrame([(1, "x"), (5, "x"), (9, "x"), (9, None), (7, "y")], "sequence long, taker_order_id string")
+    said = [(2, "x", "limit"), (5, "x", "stop"), (6, "x", "stop"), (8, "x", None), (7, "y", "market"), (3, None, "limit")]
+    parsed = spark.createDataFrame([(s, o, k, "order", "received") for s, o, k in said], "sequence long, order_id string, order_type string, route string, type string")
+    got = sorted(((r["sequence"], r["taker_order_id"], r["order_type"]) for r in feed.enrich_order_type(t, parsed).collect()), key=str)
+    assert got == sorted([(1, "x", None), (5, "x", "limit"), (9, "x", None), (9, None, None), (7, "y", None)], key=str)
 
 
 def test_entry_works_without_the_training_data_part(tmp_path):
@@ -187,23 +232,6 @@ def test_entry_works_without_the_training_data_part(tmp_path):
     assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-3]) > 80, said.stderr
 
 
-def test_streaming_book_state_of_a_pair_in_several_parts(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    key, src = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "src")
-    before = spark.conf.get(key)
-    rows = [(at(i), i, "K", "B", "bid" if i % 3 else "ask", float(i % 7), [1.0 + i, 0.0, 2.0 + i, -1.0][i % 4]) for i in range(79, -1, -1)]
-    df = spark.createDataFrame(rows, CHANGE)
-    df.coalesce(1).write.parquet(src)
-    try:
-        spark.conf.set(key, "7")
-        live.run_once(live.book_state(live.live_table(spark, src, df.schema)), str(tmp_path / "o"), str(tmp_path / "c"), "update")
-    finally:
-        spark.conf.set(key, before)
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).select("exchange", "symbol", "side", "price", "amount").collect())
-    want = book.level_intervals(df, *book.PAIR).where("valid_to is null").select("exchange", "symbol", "side", "price", "amount")
-    assert got == sorted(tuple(r) for r in want.collect()) and got
-
-
 def test_series_json_in_chunks(spark):
     from tidemark.operators import summary
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import running
 
 PAIR = ("exchange", "symbol")
 
@@ -68,8 +69,7 @@ def replay_with_snapshots(changes: DataFrame, snapshots: DataFrame, every: str,
     marks = starts.select(*PAIR, "event_id", F.lit(1).alias("mark"))
     rows = changes.join(marks, [*PAIR, "event_id"], "left_anti").select(*PAIR, "event_id", "timestamp", "side", "price", "amount").unionByName(snapshots.select(*PAIR, "event_id", "timestamp", "side", "price", "amount"))
     marked = rows.join(marks.distinct(), [*PAIR, "event_id"], "left")
-    running = Window.partitionBy(*PAIR).orderBy("event_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    dated = marked.withColumn("from_id", F.max(F.when(F.col("mark") == 1, F.col("event_id"))).over(running)).where("from_id is not null").drop("mark")
+    dated = running.running_max(marked, PAIR, ("event_id",), {"from_id": F.when(F.col("mark") == 1, F.col("event_id"))}, inclusive=True).where("from_id is not null").drop("mark")
     live = level_intervals(dated, *PAIR, "from_id").join(epochs, [*PAIR, "from_id"])
     closed = live.withColumn("valid_to", F.least("valid_to", "closes")).drop("closes", "to_id")
     return top_levels(on_grid(closed, every, until), depth, "ts", *PAIR).drop("from_id")
@@ -127,6 +127,6 @@ def flatten(books: DataFrame, depth: int = 10) -> DataFrame:
 
 
 def thin(books: DataFrame, interval: int, *keys: str) -> DataFrame:
-    """Every ``interval``-th snapshot of each pair."""
-    n = F.row_number().over(Window.partitionBy(*(keys or PAIR)).orderBy("timestamp", "event_id"))
-    return books.withColumn("__n", n).where(F.col("__n") % interval == 0).drop("__n")
+    """Every ``interval``-th snapshot of each pair; a busy pair is numbered in chunks."""
+    chunk = S.duration_micros("10m")
+    return running.numbered(books, keys or PAIR, ("timestamp", "event_id"), "__n", chunk).where(F.col("__n") % interval == 0).drop("__n")

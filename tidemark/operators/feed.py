@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators.running import running_max
 
 DECIMAL = "decimal(28,12)"
 SCHEMA = (
@@ -19,11 +20,15 @@ IGNORED = ("activate", "subscriptions")
 
 
 def parse(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """One column for each known field, and ``route``: trade, ticker, book, order, ignored or invalid."""
-    m = messages.withColumn("m", F.from_json(raw, SCHEMA))
+    """One column for each known field, and ``route``: trade, ticker, book, order, ignored or invalid.
+
+    The route comes from the message's type alone, so a filter on it goes before the
+    parsing of all fields.
+    """
+    kind = F.get_json_object(raw, "$.type")
     routes = F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])
-    route = F.when(F.col("m.type").isin(*IGNORED), "ignored").otherwise(F.coalesce(F.try_element_at(routes, F.col("m.type")), F.lit("invalid")))
-    return m.select(*messages.columns, route.alias("route"), "m.*")
+    route = F.when(kind.isin(*IGNORED), "ignored").otherwise(F.coalesce(F.try_element_at(routes, kind), F.lit("invalid")))
+    return messages.select("*", route.alias("route"), F.from_json(raw, SCHEMA).alias("m")).select(*messages.columns, "route", "m.*")
 
 
 def rejects(messages: DataFrame, raw: str = "raw") -> DataFrame:
@@ -81,11 +86,15 @@ def deltas(updates: DataFrame) -> DataFrame:
 
 
 def enrich_order_type(trades: DataFrame, parsed: DataFrame) -> DataFrame:
-    """order_type of the taker's latest earlier ``received`` message; null if there is none."""
-    received = parsed.where("type = 'received'").select(F.col("order_id").alias("taker_order_id"), F.col("sequence").alias("r_seq"), "order_type")
-    t = trades.select("sequence", "taker_order_id")
-    found = t.join(received, (t["taker_order_id"] == received["taker_order_id"]) & (received["r_seq"] < t["sequence"])).groupBy(t["sequence"]).agg(F.max_by("order_type", "r_seq").alias("order_type"))
-    return trades.join(found, "sequence", "left")
+    """order_type of the taker's latest earlier ``received`` message; null if there is none.
+
+    One running value over trades and received messages together: no pair of them meets.
+    """
+    received = parsed.where("route = 'order' and type = 'received'").select(F.col("order_id").alias("taker_order_id"), "sequence", F.struct("sequence", "order_type").alias("__said"))
+    both = trades.withColumn("__said", F.lit(None).cast("struct<sequence:bigint,order_type:string>")).unionByName(received, allowMissingColumns=True).withColumn("__received", F.col("__said").isNotNull())  # a trade comes first at equal sequence
+    told = running_max(both, ("taker_order_id",), ("sequence", "__received"), {"__last": F.col("__said")}, inclusive=True)
+    known = F.when(F.col("taker_order_id").isNotNull(), F.col("__last.order_type"))
+    return told.where("not __received").select(*trades.columns, known.alias("order_type"))
 
 
 def normalise_symbols(df: DataFrame, symbols: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -103,34 +112,16 @@ def merge(feeds: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("exchange", F.lit(name)) for name, df in feeds.items()])
 
 
-CHUNK = 1_000_000
-
-
-def running_max(df: DataFrame, pair: str, order: str, values: dict[str, Column], then: tuple[str, ...] = (), inclusive: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """Running maxima of ``values`` (name: column) over each pair's rows in ``order`` (a number).
-
-    A pair is cut into chunks of its order: windows stay inside a chunk and take what
-    came before from one row for each chunk, so one busy pair spreads over many tasks.
-    """
-    cut = df.withColumns({"__chunk": F.floor(F.col(order) / chunk), **{f"__v_{n}": v for n, v in values.items()}})
-    tops = cut.groupBy(pair, "__chunk").agg(*[F.max(f"__v_{n}").alias(n) for n in values])
-    before = Window.partitionBy(pair).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(pair, "__chunk", *[F.max(n).over(before).alias(f"__c_{n}") for n in values])
-    inside = Window.partitionBy(pair, "__chunk").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    out = cut.join(carried, [pair, "__chunk"]).withColumns({n: F.greatest(f"__c_{n}", F.max(f"__v_{n}").over(inside)) for n in values})
-    return out.drop("__chunk", *[f"__{k}_{n}" for n in values for k in "vc"])
-
-
 def in_sequence(feed: DataFrame, pair: str = "symbol", arrival: str = "event_id", seq: str = "seq", start: DataFrame | None = None) -> DataFrame:
     """Rows whose sequence exceeds every earlier one of the pair; with ``start`` (pair, start_seq) only after the snapshot."""
     if start is not None:
         feed = feed.join(start, pair).where(F.col(seq) > F.col("start_seq")).drop("start_seq")
-    return running_max(feed, pair, arrival, {"__top": F.col(seq)}).where(F.col("__top").isNull() | (F.col(seq) > F.col("__top"))).drop("__top")
+    return running_max(feed, (pair,), (arrival,), {"__top": F.col(seq)}).where(F.col("__top").isNull() | (F.col(seq) > F.col("__top"))).drop("__top")
 
 
 def gaps(clean: DataFrame, pair: str = "symbol", seq: str = "seq") -> DataFrame:
     """pair, seq, previous, missing: the first row after each hole; the pair is blank until a new snapshot."""
-    before = running_max(clean.select(pair, seq), pair, seq, {"previous": F.col(seq)})
+    before = running_max(clean.select(pair, seq), (pair,), (seq,), {"previous": F.col(seq)})
     return before.where(F.col(seq) - F.col("previous") > 1).select(pair, seq, "previous", (F.col(seq) - F.col("previous") - 1).alias("missing"))
 
 
@@ -139,5 +130,5 @@ def usable_rows(clean: DataFrame, gap_rows: DataFrame, snapshots: DataFrame, pai
     of = lambda df, at, kind: df.select(pair, F.col(at).alias(seq), F.lit(kind).alias("kind"))
     rows = of(clean, seq, 2).unionByName(of(gap_rows, seq, 0)).unionByName(of(snapshots, "snap_seq", 1))
     at = lambda kind: F.when(F.col("kind") == kind, F.col(seq))
-    told = running_max(rows, pair, seq, {"gap": at(0), "snapshot": at(1)}, ("kind",), inclusive=True)
+    told = running_max(rows, (pair,), (seq, "kind"), {"gap": at(0), "snapshot": at(1)}, inclusive=True)
     return told.where("kind = 2 and (gap is null or coalesce(snapshot >= gap, false))").select(pair, seq)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalar as S
+from tidemark.operators import running
 
+SPLIT = 16
 ORDER = ("timestamp", "event_id")
 
 
@@ -37,18 +41,18 @@ def live_view(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str, name: str = "row_number") -> DataFrame:
-    """A global 1-based row number in ``order`` without a one-partition window.
+    """A global 1-based row number in ``order`` without a one-partition window over the rows.
 
-    Rows are range-partitioned, numbered inside each partition, and shifted by the
-    counts of the partitions before; those counts are one row for each partition.
+    The span of the first order column (a number or a timestamp) is cut into even
+    chunks, ``SPLIT`` for each shuffle partition; rows are numbered inside each chunk and
+    shifted by the counts of the chunks before. The chunks follow from the least and
+    greatest value alone, so counting and numbering always see the same ones.
     """
     order = order or ORDER
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    inside = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    counts = dealt.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    return inside.join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__n")).cast("long")).drop("__part", "__n", "__base")
+    at = running.position(df, order[0])
+    least, most = df.agg(F.min(at), F.max(at)).first()
+    chunks = SPLIT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return running.numbered(df, (), order, name, max(1, math.ceil(((most or 0) - (least or 0)) / chunks)))
 
 
 def positions(df: DataFrame, offset: int, max_rows: int, *order: str) -> DataFrame:

@@ -7,12 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scalar as S
-from tidemark.operators import book, feed, quality, sample, select, summary
+from tidemark.operators import book, feed, quality, running, sample, select, summary
 from tidemark.sources import fixtures as X
 from tidemark.sources import tables
 from tidemark.streaming import live
@@ -45,13 +45,19 @@ def _(spark, d):
 
 @_query("live_trades_view", X.TRADES_SQL, "SELECT timestamp, trade_id, price, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(timestamp)) / 1e6 AS latency_seconds FROM trades ORDER BY timestamp DESC LIMIT 1000")
 def _(spark, d):
-    view = select.live_view(live.live_table(spark, f"{d}/events.parquet", schemas.EVENTS, refreshing=False).transform(X.trades_from), _now())
+    view = _ran(spark, "live_trades", select.live_view(_growing(spark, d), _now()), "append")
     return select.newest_first(view).limit(1000).select("timestamp", "trade_id", "price", "latency_seconds")
 
 
 @_query("live_books_view", X.TRADES_SQL, "SELECT timestamp, event_id, exchange, symbol, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(timestamp)) / 1e6 AS latency_seconds FROM trades")
 def _(spark, d):
-    return select.live_view(X.orderbooks(spark, d), _now()).select("timestamp", "event_id", "exchange", "symbol", "latency_seconds")
+    view = _ran(spark, "live_books", select.live_view(X.books_from(_growing(spark, d)), _now()), "append")
+    return view.select("timestamp", "event_id", "exchange", "symbol", "latency_seconds")
+
+
+@_query("static_view", X.TRADES_SQL, "SELECT timestamp, trade_id, price FROM trades")
+def _(spark, d):
+    return live.live_table(spark, f"{d}/events.parquet", schemas.EVENTS, refreshing=False).transform(X.trades_from).select("timestamp", "trade_id", "price")
 
 
 _ROUTES = "CASE WHEN event_id % 20 < 10 THEN 'trade' WHEN event_id % 20 < 12 THEN 'ticker' WHEN event_id % 20 < 15 THEN 'book' WHEN event_id % 20 < 19 THEN 'order' WHEN event_id % 40 = 19 THEN 'ignored' ELSE 'invalid' END"
@@ -67,11 +73,48 @@ def _(spark, d):
     return feed.rejects(X.messages(spark, d)).select("receipt")
 
 
-@_query("retention_1h", X.TRADES_SQL, "SELECT timestamp, trade_id FROM trades WHERE timestamp > (SELECT max(timestamp) FROM trades) - INTERVAL 10 MINUTE")
+@_query("retention_1h", X.TRADES_SQL, "SELECT timestamp, trade_id FROM trades WHERE timestamp > (SELECT max(timestamp) FROM trades) - INTERVAL 1 HOUR")
+def _(spark, d):
+    return tables.retain(X.trades(spark, d), "1h").select("timestamp", "trade_id")
+
+
+@_query("retention_10m", X.TRADES_SQL, "SELECT timestamp, trade_id FROM trades WHERE timestamp > (SELECT max(timestamp) FROM trades) - INTERVAL 10 MINUTE")
 def _(spark, d):
     return tables.retain(X.trades(spark, d), "10m").select("timestamp", "trade_id")
 
 
+@_query("books_after_retention", X.TRADES_SQL, """SELECT timestamp, symbol, price AS mid FROM (SELECT date_trunc('microsecond', ts) AS timestamp, symbol, price FROM trades JOIN (SELECT event_id AS id, ts FROM events) ON id = event_id)
+  WHERE timestamp > (SELECT max(ts) FROM events) - INTERVAL 36 HOUR""")
+def _(spark, d):
+    at = X.events(spark, d).select(F.col("event_id"), F.col("ts").alias("timestamp"))
+    books = X.orderbooks(spark, d).drop("timestamp").join(at, "event_id")
+    path = _scratch(spark, "books")
+    tables.append_books(books, path)
+    tables.drop_expired_hours(spark, path, "36h", at.agg(F.max("timestamp")).first()[0])
+    kept = select.best_quotes(spark.read.parquet(path))
+    return kept.select("timestamp", "symbol", F.round((F.col("best_bid") + F.col("best_ask")) / 2, 6).alias("mid"))
+
+
+@_query("stored_tables", X.TRADES_SQL, """SELECT 'trades' AS table_name, 8::BIGINT AS columns, count(*) AS rows FROM trades
+  UNION ALL SELECT 'orderbooks', 7, 0""")
+def _(spark, d):
+    database = f"tm_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    tables.create_tables(spark, database)
+    tables.with_partitions(X.trades(spark, d).select(*schemas.TRADES.fieldNames())).write.mode("append").insertInto(f"{database}.trades")
+    columns = tables.describe(spark, database).groupBy(F.col("table").alias("table_name")).agg(F.count("*").alias("columns"))
+    counts = quality.table_counts({t: spark.table(f"{database}.{t}") for t in ("trades", "orderbooks")})
+    out = spark.createDataFrame(columns.join(counts, "table_name").collect(), "table_name string, columns long, rows long")  # two rows
+    tables.drop_tables(spark, database)
+    spark.sql(f"DROP DATABASE {database}")
+    return out
+
+
+@_query("any_rows", X.TRADES_SQL, "SELECT count(*) AS rows, count(*) FILTER (price IS NOT NULL) AS priced FROM (SELECT * FROM trades LIMIT 100)")
+def _(spark, d):
+    return X.trades(spark, d).limit(100).agg(F.count("*").alias("rows"), F.count("price").alias("priced"))
+
+
 # Projections and filters --------------------------------------------------------
 
 @_query("trade_columns", X.TRADES_SQL, "SELECT timestamp, exchange, symbol, price, size, side FROM trades")
@@ -309,8 +352,8 @@ def _(spark, d):
 
 @_query("sequence_steps", X.SEQ_SQL, "SELECT symbol, event_id, seq - lag(seq) OVER (PARTITION BY symbol ORDER BY event_id) AS step FROM feed")
 def _(spark, d):
-    step = F.col("seq") - F.lag("seq").over(Window.partitionBy("symbol").orderBy("event_id"))
-    return X.feed(spark, d).select("symbol", "event_id", step.alias("step"))
+    told = running.previous(X.feed(spark, d), ("symbol",), ("event_id",), "seq", "before")
+    return told.select("symbol", "event_id", (F.col("seq") - F.col("before")).alias("step"))
 
 
 # Feed normalisation -----------------------------------------------------------------------
@@ -556,14 +599,31 @@ def _(spark, d):
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: the checkpoint folder, or a local one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='tidemark-stream-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     return live.live_table(spark, d, schemas.EVENTS, pattern="events.parquet").transform(X.trades_from)
 
 
+def _in_parts(rows: DataFrame, order: str, path: str, parts: int = 4, newest_first: bool = False) -> None:
+    """Append ``rows`` to a growing folder in ``parts`` even spans of ``order``, one file after the other."""
+    top = (rows.agg(F.max(order)).first()[0] or 0) + 1
+    at = F.floor(F.col(order) * parts / top)
+    for k in reversed(range(parts)) if newest_first else range(parts):
+        rows.where(at == k).coalesce(1).write.mode("append").parquet(path)
+
+
+def _growing(spark: SparkSession, d: str, newest_first: bool = False) -> DataFrame:
+    """Trades as a stream of four micro-batches, from events that arrived in four files."""
+    path = _scratch(spark, "events")
+    _in_parts(X.events(spark, d), "event_id", path, newest_first=newest_first)
+    return live.live_table(spark, path, schemas.EVENTS, max_files=1).transform(X.trades_from)
+
+
 def _ran(spark: SparkSession, name: str, df: DataFrame, mode: str) -> DataFrame:
     path = _scratch(spark, name)
     live.run_once(df, f"{path}/out", f"{path}/checkpoint", mode)
@@ -595,9 +655,40 @@ def _(spark, d):
 
 
 @_query("stream_book_state", X.L2_SQL, "SELECT exchange, symbol, side, price, arg_max(amount, (timestamp, event_id)) AS amount FROM changes GROUP BY 1, 2, 3, 4 HAVING arg_max(amount, (timestamp, event_id)) > 0")
+def _(spark, d):
+    return live.standing(_ran(spark, "state", live.book_state(_growing(spark, d, newest_first=True).transform(X.l2_from)), "update"))
+
+
+@_query("stream_sequence", X.SEQ_SQL, """SELECT symbol, event_id, seq, CASE WHEN seq <= top THEN 'stale' WHEN seq % 40 = 0 THEN 'ok' WHEN seq > top + 1 THEN 'gap'
+  WHEN coalesce(max(CASE WHEN seq > top + 1 AND seq % 40 <> 0 THEN event_id END) OVER w > coalesce(max(CASE WHEN seq % 40 = 0 AND seq > coalesce(top, -1) THEN event_id END) OVER w, -1), false) THEN 'blank' ELSE 'ok' END AS status
+  FROM (SELECT *, max(seq) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM feed) WINDOW w AS (PARTITION BY symbol ORDER BY event_id)""")
 def _(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _ran(spark, "state", live.book_state(_stream(spark, d).transform(X.l2_from)), "update")
+    path = _scratch(spark, "feed")
+    rows = X.feed(spark, d).withColumn("snapshot", F.col("seq") % 40 == 0)
+    _in_parts(rows, "event_id", path)
+    return _ran(spark, "sequence", live.sequenced(live.live_table(spark, path, rows.schema, max_files=1)), "append")
+
+
+@_query("stream_late_rows", X.TRADES_SQL, """SELECT count(*) FILTER (timestamp <= m - INTERVAL 10 SECOND AND event_id < h) AS late, count(*) FILTER (NOT (timestamp <= m - INTERVAL 10 SECOND AND event_id < h)) AS kept
+  FROM trades, (SELECT (max(event_id) + 1) // 2 AS h, max(timestamp) FILTER (event_id % 2 = 0 AND event_id >= (SELECT (max(event_id) + 1) // 2 FROM trades)) AS m FROM trades)""")
+def _(spark, d):
+    rows, path = X.trades(spark, d).select("timestamp", "event_id"), _scratch(spark, "late")
+    half = (rows.agg(F.max("event_id")).first()[0] + 1) // 2
+    new, even = F.col("event_id") >= half, F.col("event_id") % 2 == 0
+    for part in (new & even, new & ~even, ~new):  # a watermark drops rows from the second batch after it on
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    out = _scratch(spark, "kept")
+    query = live.run_once(live.deduplicated(live.live_table(spark, path, rows.schema, max_files=1), ["event_id"]), f"{out}/out", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/out").agg(F.lit(live.late_rows(query)).cast("long").alias("late"), F.count("*").alias("kept"))
+
+
+@_query("stream_progress", X.TRADES_SQL, """SELECT part AS txn_id, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS old_size, sum(n) OVER (ORDER BY part)::BIGINT AS new_size
+  FROM (SELECT event_id * 4 // (SELECT max(event_id) + 1 FROM trades) AS part, count(*) AS n FROM trades GROUP BY 1)""")
+def _(spark, d):
+    path = _scratch(spark, "progress")
+    live.ingest(_growing(spark, d), f"{path}/table", f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
+    return live.size_steps(spark.read.schema(schemas.LEDGER).parquet(f"{path}/ledger"))
 
 
 @_query("stream_deduplicated", X.TRADES_SQL, "SELECT DISTINCT symbol, event_id // 2 AS pair FROM trades")

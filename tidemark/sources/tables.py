@@ -48,7 +48,7 @@ def append_trades(df: DataFrame, path: str) -> None:
 
 
 def append_books(df: DataFrame, path: str) -> None:
-    with_partitions(df.select(*schemas.ORDERBOOKS.fieldNames()), hourly=True).write.mode("append").partitionBy("dt", "hour").parquet(path)
+    with_partitions(df.select(*schemas.ORDERBOOKS.fieldNames()), hourly=True).repartition("dt", "hour", F.minute("timestamp")).write.mode("append").partitionBy("dt", "hour").parquet(path)
 
 
 def read_between(spark: SparkSession, path: str, schema: T.StructType, start: dt.datetime, end: dt.datetime) -> DataFrame:
@@ -68,11 +68,33 @@ def retain(df: DataFrame, keep: str, as_of: Column | None = None, ts: str = "tim
     return df.where(F.col(ts) > as_of - F.expr(f"interval {S.duration(keep)}"))
 
 
-def drop_expired_hours(spark: SparkSession, path: str, keep: str, as_of: dt.datetime) -> DataFrame:
-    """Rewrite only the hour partitions that ``keep`` cuts; whole expired hours are dropped by the overwrite."""
+def drop_expired_hours(spark: SparkSession, path: str, keep: str, as_of: dt.datetime) -> int:
+    """Delete the hours that ``keep`` before ``as_of`` leaves behind; the number of folders deleted.
+
+    Whole expired hours are deleted as folders, and the hour that the cut falls into is
+    rewritten: its kept rows are written beside it before the old files go.
+    """
     cut = as_of - dt.timedelta(microseconds=S.duration_micros(keep))
-    df = spark.read.parquet(path)
-    return df.where((F.col("dt") > F.lit(cut.date())) | ((F.col("dt") == F.lit(cut.date())) & (F.col("hour") >= cut.hour))).where(F.col("timestamp") > F.lit(cut).cast("timestamp_ntz"))
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for day in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "dt=*")):
+        date = dt.date.fromisoformat(day.getPath().getName()[3:])
+        for hour in fs.listStatus(day.getPath()):
+            of = hour.getPath().getName().removeprefix("hour=")
+            if date > cut.date() or not of.isdigit() or (date == cut.date() and int(of) > cut.hour):
+                continue
+            if (date, int(of)) == (cut.date(), cut.hour):
+                rows = spark.read.parquet(hour.getPath().toString())
+                old = [f.getPath() for f in fs.listStatus(hour.getPath())]
+                rows.where(F.col("timestamp") > F.lit(cut).cast("timestamp_ntz")).write.mode("append").parquet(hour.getPath().toString())
+                for f in old:
+                    fs.delete(f, False)
+            else:
+                fs.delete(hour.getPath(), True)
+                gone += 1
+    return gone
 
 
 def export(df: DataFrame, limit: int):

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators import sample
+from tidemark.operators import running, sample
 
 
 def live_table(spark: SparkSession, path: str, schema: T.StructType, refreshing: bool = True, max_files: int | None = None, pattern: str | None = None) -> DataFrame:
@@ -44,16 +44,28 @@ def latest(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop; append goes to Parquet, other modes keep the newest result there."""
+    """Process what is there and stop.
+
+    Append goes to Parquet. Complete mode keeps the newest result. Update mode keeps
+    every micro-batch under its id, which a repeated batch replaces; ``newest`` reads
+    the newest row of each key.
+    """
     writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
-    else:
+    elif mode == "complete":
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    else:
+        query = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")).start()
     query.awaitTermination()
     return query
 
 
+def newest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The newest row of each key among the micro-batches that update mode wrote."""
+    return sample.latest(updates, *keys, order=F.col("batch")).drop("batch")
+
+
 def ingest(df: DataFrame, table: str, ledger: str, checkpoint: str, ts: str = "timestamp", trigger: dict | None = None) -> StreamingQuery:
     """Append a stream to ``table`` and one ledger row for each micro-batch to ``ledger``.
 
@@ -84,10 +96,15 @@ def newest_with_total(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.max("txn_id").alias("txn_id"), F.max_by("row_count", "txn_id").alias("row_count"), F.sum("row_count").alias("total_rows"))
 
 
-def incremental_size(ledger: DataFrame) -> DataFrame:
+def incremental_size(ledger: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Table size after each transaction (the ledger has one row a transaction; missing counts add none)."""
-    w = Window.orderBy("txn_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ledger.select("txn_id", F.coalesce(F.sum("row_count").over(w), F.lit(0)).alias("table_rows"))
+    return running.running_sum(ledger.select("txn_id", "row_count"), (), ("txn_id",), F.col("row_count"), "table_rows", chunk).select("txn_id", "table_rows")
+
+
+def size_steps(ledger: DataFrame) -> DataFrame:
+    """txn_id, old_size, new_size: the progress report of each transaction."""
+    after = running.running_sum(ledger.select("txn_id", "row_count"), (), ("txn_id",), F.col("row_count"), "new_size", 100_000)
+    return after.select("txn_id", (F.col("new_size") - F.coalesce("row_count", F.lit(0))).alias("old_size"), "new_size")
 
 
 def next_size(ledger: DataFrame, last_txn: int, last_size: int, recount: Callable[[], int]) -> int:
@@ -113,35 +130,67 @@ def stop_all(spark: SparkSession) -> None:
         q.stop()
 
 
-def progress(query: StreamingQuery) -> list[tuple[int, int]]:
-    """(batch id, rows in) of the recent updates."""
-    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
+def progress(query: StreamingQuery) -> list[tuple[int, int, int, int]]:
+    """(batch id, rows in, old size, new size) of the recent updates, counted from the first of them."""
+    out, size = [], 0
+    for p in query.recentProgress:
+        out.append((p["batchId"], p["numInputRows"], size, size + p["numInputRows"]))
+        size += p["numInputRows"]
+    return out
+
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were left out, over the recent updates."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
-class _Book(StatefulProcessor):
-    """Levels of one pair; a change of amount 0 deletes, above 0 sets, below 0 is ignored.
 
-    Each level keeps the (timestamp, event_id) of its newest change, a deleted one with
-    amount 0, so rows may come in any order within and across batches.
+def book_state(changes: DataFrame) -> DataFrame:
+    """Streaming book: the newest change of each level of each pair (update mode).
+
+    A change of amount 0 deletes the level, above 0 sets it, below 0 is ignored. State
+    is keyed by level, so a busy pair spreads, and the newest (timestamp, event_id) wins
+    in whatever order and batch the rows come; ``standing`` reads the book.
     """
+    order = F.struct("timestamp", "event_id")
+    return changes.where("amount >= 0").groupBy("exchange", "symbol", "side", "price").agg(F.max_by("amount", order).alias("amount"))
+
+
+def standing(updates: DataFrame) -> DataFrame:
+    """The levels that stand after all micro-batches of ``book_state``."""
+    return newest(updates, "exchange", "symbol", "side", "price").where("amount > 0")
+
+
+class _Sequence(StatefulProcessor):
+    """Last sequence of one pair and whether it waits for a snapshot after a gap."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "amount double, micros long, event_id long")
+        self.last = handle.getValueState("last", "seq long, blank boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for r in part[part["amount"] >= 0].sort_values(["timestamp", "event_id"], na_position="first").drop_duplicates(["side", "price"], keep="last").itertuples(index=False):
-                at = (-(2**63) if pd.isna(r.timestamp) else pd.Timestamp(r.timestamp).value // 1000, -(2**63) if pd.isna(r.event_id) else int(r.event_id))
-                level = (r.side, r.price)
-                if not self.levels.containsKey(level) or tuple(self.levels.getValue(level)[1:]) <= at:
-                    self.levels.updateValue(level, (r.amount, *at))
-        found = [(*key, k[0], k[1], v[0]) for k, v in self.levels.iterator() if v[0] > 0]
-        yield pd.DataFrame(found, columns=["exchange", "symbol", "side", "price", "amount"])
+        seq, blank = self.last.get() or (None, False)
+        batch = pd.concat(list(rows)).sort_values("event_id")
+        told = []
+        for s, snapshot in zip(batch["seq"].tolist(), batch["snapshot"].tolist()):
+            if seq is not None and s <= seq:
+                told.append("stale")
+                continue
+            gap = seq is not None and s > seq + 1
+            told.append("ok" if snapshot else "gap" if gap else "blank" if blank else "ok")
+            seq, blank = s, told[-1] != "ok"
+        if seq is not None:
+            self.last.update((seq, blank))
+        yield pd.DataFrame({"symbol": key[0], "event_id": batch["event_id"], "seq": batch["seq"], "status": told})
 
     def close(self) -> None:
         pass
 
 
-def book_state(changes: DataFrame) -> DataFrame:
-    """Streaming book of each pair: all its levels after each micro-batch (update mode, RocksDB state)."""
-    return changes.groupBy("exchange", "symbol").transformWithStateInPandas(_Book(), "exchange string, symbol string, side string, price double, amount double", "Update", "none")
+def sequenced(feed: DataFrame) -> DataFrame:
+    """symbol, event_id, seq, status of every row of a stream (symbol, event_id, seq, snapshot).
+
+    status: ``stale`` (not beyond the last sequence), ``gap`` (first row after a hole
+    without being a snapshot), ``blank`` (after a gap, before the next snapshot), ``ok``.
+    A snapshot ends the gap. Rows of a pair in one micro-batch are taken in arrival
+    order; bound a batch with ``max_files``.
+    """
+    return feed.groupBy("symbol").transformWithStateInPandas(_Sequence(), "symbol string, event_id long, seq long, status string", "Append", "none")
