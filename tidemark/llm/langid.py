@@ -3,11 +3,14 @@
 A word seen in training scores its log frequency in each language. An unseen word
 is padded with markers and read position by position with the longest n-gram (4
 down to 1) that any language knows; its score is the mean over positions, so an
-unseen word weighs as one word. The language with the highest sum wins.
+unseen word weighs as one word. The language with the highest sum wins. The score of
+a text is the winner's share when each language weighs exp(its mean over the words):
+1 / languages for a text that fits all alike, near 1 for one that fits a single one,
+whatever its length.
 
-The model is fitted on a bounded sample of labelled documents
-(``DOCS_PER_LANG`` of each language, by hash) and keeps the most frequent
-``WORDS`` words and ``GRAMS`` n-grams of each language. Prediction reads whole texts.
+The model is fitted on a bounded sample of labelled documents (``DOCS_PER_LANG`` of
+each language, by hash) and keeps every word and n-gram of it; its size is bounded by
+that sample. Prediction reads whole texts.
 
 Defined results
 - null, empty or letterless text: ``und`` with score 0
@@ -15,6 +18,7 @@ Defined results
 - equal sums: the language first in alphabetical order
 - repeated rows are predicted alike, null doc_id included; very long texts whole
 - an empty table gives an empty result; other columns are not read
+- n-grams are of UTF-16 units, so a character beyond the basic plane counts as two
 """
 
 from __future__ import annotations
@@ -26,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm import storage
 
 DOCS_PER_LANG = 2000
-WORDS = 20_000
-GRAMS = {1: 1_000, 2: 5_000, 3: 15_000, 4: 20_000}
-CACHE = 200_000
+SIZES = (4, 3, 2, 1)
+CACHE = 200_000  # unseen words whose scores a task keeps
+SLICE = 500  # texts scored together
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -42,78 +49,116 @@ def words_of(text: str | None) -> list[str]:
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    padded = f"^{word}$"
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+def _units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 units of all words, each between its markers, and the word of each unit."""
+    data = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+    starts = np.cumsum([0, *[len(w.encode("utf-16-le", "surrogatepass")) // 2 + 2 for w in words]])
+    return data, np.repeat(np.arange(len(words)), np.diff(starts))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every n-gram of the padded words as one machine word, 0 where it would leave its word, and the word of each."""
+    data, of = _units(words)
+    key = np.zeros(len(data), np.uint64)
+    for i in range(n):
+        key[: len(data) - i] |= data[i:] << np.uint64(16 * i)
+    inside = np.zeros(len(data), bool)
+    inside[: len(data) - n + 1] = of[: len(data) - n + 1] == of[n - 1 :]
+    return np.where(inside, key, 0), of
+
 
-    def out() -> pa.RecordBatch:
-        rows = list(counts.items())
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, Counter] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, found in counts.items():
+            words, c = list(found), np.fromiter(found.values(), np.int64, len(found))
+            yield batch(lang, 0, words, np.zeros(len(words), np.int64), c)
+            for n in SIZES:
+                key, of = grams(words, n)
+                known, at = np.unique(key, return_inverse=True)
+                total = np.bincount(at, weights=c[of], minlength=len(known)).astype(np.int64)
+                keep = known != 0
+                yield batch(lang, n, [None] * int(keep.sum()), known[keep].view(np.int64), total[keep])
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["lang", "n", "gram", "c"])
+
+    def batch(lang: str, n: int, words: list, keys: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(np.full(len(c), n, np.int32)), pa.array(words, pa.string()), pa.array(keys), pa.array(c)], names=["lang", "n", "word", "gram", "c"])
 
     for b in batches:
         for lang, text in zip(b.column(0), b.column(1)):
-            lang = lang.as_py()
-            for w, c in Counter(words_of(text.as_py())).items():
-                counts[lang, 0, w] += c
-                for n in GRAMS:
-                    for g in grams_of(w, n):
-                        counts[lang, n, g] += c
-            if len(counts) > 500_000:
-                yield out()
-    yield out()
+            counts.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
+        if sum(map(len, counts.values())) > 500_000:
+            yield from out()
+    yield from out()
 
 
 class Model:
-    """Per-language log frequencies of words (n = 0) and character n-grams."""
+    """Per-language log frequencies of words and of character n-grams.
+
+    ``words``: word -> row of ``matrix``; ``tables``: size -> (sorted n-grams, their rows).
+    """
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, list[float]]]) -> None:
-        self.langs, self.tables = langs, tables
-        self._rows: dict[str, int] = {}
-        self._matrix = np.zeros((1024, len(langs)))
+    def __init__(self, langs: list[str], words: dict[str, int], matrix: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.langs, self.words, self.matrix, self.tables = langs, words, matrix, tables
+        self._seen: dict[str, int] = {}  # unseen words scored so far
+        self._scores = np.zeros((0, len(langs)))
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "tables": self.tables}
+        return {"langs": self.langs, "words": self.words, "matrix": self.matrix, "tables": self.tables}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["langs"], state["tables"])
-
-    def score_word(self, word: str) -> list[float]:
-        known = self.tables[0].get(word)
-        if known:
-            return known
-        padded, total, seen = f"^{word}$", [0.0] * len(self.langs), 0
-        for i in range(len(padded) - 1):
-            for n in sorted(GRAMS, reverse=True):
-                p = self.tables[n].get(padded[i : i + n])
-                if p and i + n <= len(padded):
-                    total, seen = [a + b for a, b in zip(total, p)], seen + 1
-                    break
-        return [t / seen for t in total] if seen else total
-
-    def _row(self, word: str) -> int:
-        at = len(self._rows)
-        if at == len(self._matrix):
-            self._matrix = np.concatenate([self._matrix, np.zeros_like(self._matrix)])
-        self._matrix[at] = self.score_word(word)
-        self._rows[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text))
+        self.__init__(**state)
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Scores of words outside the table: the mean over positions of the longest known n-gram."""
+        if not words:
+            return np.zeros((0, len(self.langs)))
+        total, seen = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
+        open_ = None
+        for n in SIZES:
+            key, of = grams(words, n)
+            last = np.flatnonzero(np.r_[of[1:] != of[:-1], True])
+            if open_ is None:  # the end marker starts no n-gram
+                open_ = np.ones(len(of), bool)
+                open_[last] = False
+            known, rows = self.tables[n]
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = np.flatnonzero(open_ & (known[at] == key) & (key != 0))
+            open_[hit] = False
+            seen += np.bincount(of[hit], minlength=len(words))
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(of[hit], weights=rows[at[hit], k], minlength=len(words))
+        return total / np.maximum(seen, 1)[:, None]
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self._seen) > CACHE:
+            self._seen, self._scores = {}, self._scores[:0]
+        new = [w for w in words if w not in self.words and w not in self._seen]
+        self._seen.update(zip(new, range(len(self._seen), len(self._seen) + len(new))))
+        self._scores = np.concatenate([self._scores, self.backoff(new)])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for k in range(0, len(texts), SLICE):
+            counts = [Counter(words_of(t)) for t in texts[k : k + SLICE]]
+            if self.langs:
+                self._learn(set().union(*counts))
+            out += [self._judge(c) for c in counts]
+        return out
+
+    def _judge(self, counts: Counter) -> tuple[str, float]:
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        if len(self._rows) > CACHE:
-            self._rows.clear()
-        get = self._rows.get
-        rows = [r if (r := get(w)) is not None else self._row(w) for w in counts]
-        sums = np.fromiter(counts.values(), np.float64, len(counts)) @ self._matrix[rows]
+        known, base = self.words, len(self.matrix)
+        rows = np.array([r if (r := known.get(w)) is not None else base + self._seen[w] for w in counts])
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        inside = rows < base
+        sums = n[inside] @ self.matrix[rows[inside]] + n[~inside] @ self._scores[rows[~inside] - base]
         top = int(sums.argmax())
-        return self.langs[top], float(1 / np.exp(sums - sums[top]).sum())
+        return self.langs[top], float(1 / np.exp((sums - sums[top]) / n.sum()).sum())
 
 
 def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
@@ -123,33 +168,41 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, min(1.0, docs_per_lang / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    counts = labelled.where(draw < share).select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    by = Window.partitionBy("lang", "n")
-    most = F.when(F.col("n") == 0, WORDS)
-    for n, limit in GRAMS.items():
-        most = most.when(F.col("n") == n, limit)
-    kept = counts.withColumns({"rank": F.row_number().over(by.orderBy(F.desc("c"), "gram")), "total": F.sum("c").over(by)}).where(F.col("rank") <= most)
+    chosen = labelled.where(draw < share).select("lang", "text")
+    counts = chosen.mapInArrow(_count, "lang string, n int, word string, gram long, c long").groupBy("lang", "n", "word", "gram").agg(F.sum("c").alias("c"))
+    rows = counts.toArrow()  # the words and n-grams of the sample
     langs = sorted(totals)
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables: dict[int, dict[str, list[float]]] = {n: {} for n in (0, *GRAMS)}
-    floor: dict[int, list[float]] = {n: [-20.0] * len(langs) for n in tables}
-    rows = kept.select("lang", "n", "gram", "c", "total").toPandas()  # at most the stated table sizes
-    for lang, n, total in rows[["lang", "n", "total"]].drop_duplicates().itertuples(index=False):
-        floor[n][at[lang]] = math.log(0.5 / (total + 1))
-    for lang, n, gram, c, total in rows.itertuples(index=False):
-        tables[n].setdefault(gram, list(floor[n]))[at[lang]] = math.log(c / (total + 1))
-    return Model(langs, tables)
+    place = {x: i for i, x in enumerate(langs)}
+    lang = np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)
+    n, c = rows.column("n").to_numpy(), rows.column("c").to_numpy()
+
+    def table(size: int, key: np.ndarray, width: int) -> np.ndarray:
+        mine = n == size
+        total = np.bincount(lang[mine], weights=c[mine], minlength=len(langs))
+        out = np.tile([math.log(0.5 / (t + 1)) for t in total], (width, 1)).reshape(width, len(langs))
+        out[key, lang[mine]] = np.log(c[mine] / (total[lang[mine]] + 1))
+        return out
+
+    words: dict[str, int] = {}
+    key = np.array([words.setdefault(w, len(words)) for w in rows.filter(pa.array(n == 0)).column("word").to_pylist()], np.int64)
+    matrix, tables = table(0, key, len(words)), {}
+    gram = rows.column("gram").to_numpy().view(np.uint64)
+    for size in SIZES:
+        known, at = np.unique(gram[n == size], return_inverse=True)
+        tables[size] = known, table(size, at, len(known))
+    return Model(langs, words, matrix, tables)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep``, then the language and score of each whole text under ``names``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            said = [m.predict(t.as_py()) for t in b.column(0)]
+            said = m.predict(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*keep, *names])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, f"{kinds}`{names[0]}` string, `{names[1]}` double")
+    schema = T.StructType([*storage.fields(docs, *keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    text = storage.unused(docs, "text_")[0]
+    return storage.mapped(storage.spread(docs).select(storage.col(text_col).alias(text), *map(storage.col, keep)), run, schema)

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is set (tests)."""
+    """The cluster's checkpoint folder; a fresh local one only in local mode (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -50,3 +56,43 @@ def delete(spark: SparkSession, path: str) -> None:
 def drop(table: DataFrame) -> None:
     """Delete a table made by ``materialize`` once nothing reads it any more."""
     delete(table.sparkSession, table.tidemark_path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where a small scan has fewer partitions than there are cores."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fields(df: DataFrame, *names: str) -> list[T.StructField]:
+    return [df.schema[n] for n in names]
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name; ``run`` sees and gives the real names."""
+    real, made = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(pa.RecordBatch.from_arrays(b.columns, names=real) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=made)
+
+    plain = T.StructType([T.StructField(m, f.dataType) for m, f in zip(made, schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(real))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
