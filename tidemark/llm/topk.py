@@ -1,20 +1,25 @@
 """Exact top-k inner-product search over length buckets.
 
-Vectors are grouped by length into buckets, and large buckets into blocks of at
-most about ``BLOCK`` rows. A first pass against the block of longest vectors gives
-every query a lower bound on its k-th score. A block can hold a result only if
-bound <= |q| * longest length in it, so a query is sent to no other block. Inside
-a block the local cosine threshold bound / (|q| * longest) chooses, for each query,
-between length pruning (a prefix of the vectors by length) and coordinate pruning
-(vectors whose coordinate lies in the interval that the cosine threshold allows);
-the remaining inner products are computed exactly.
-
-Queries meet vectors only as (block of queries, block of vectors); each such pair
-returns at most k rows a query.
+Vectors are grouped by length into buckets, and large buckets into blocks of about
+``BLOCK`` rows. A first pass against one block of longest vectors gives every query
+a lower bound on its k-th score. A block can hold a result only if
+bound <= |q| * longest length in it. Queries are grouped by bound / |q|, the length
+that they ask for, so whole pairs (block of queries, block of vectors) fall away
+before anything is copied: vectors go only to the query blocks of which some query
+may need them, and a query only to the blocks that it may need. Inside a block the
+local cosine threshold bound / (|q| * longest) chooses, for each query, between length
+pruning (a prefix of the vectors by length) and coordinate pruning (vectors whose
+coordinate lies in the interval that the cosine threshold allows); the remaining
+inner products are computed exactly.
+
+Each pair of blocks returns at most k rows a query. The driver sees one row for each
+of at most ``BUCKETS`` buckets and at most ``GROUPS`` group edges.
 
 Defined results
 - vectors null, or holding null or non-finite components, and rows without an id
-  take no part; neither do vectors whose size differs from the most frequent one
+  take no part
+- components that one of two vectors lacks count as zero, so vectors of different
+  sizes are compared over what they share
 - repeated rows are separate candidates; rows with the query's own id are its own
 - a repeated query id asks once, with its first vector in array order
 - ties go to the smaller id; fewer than k candidates give fewer rows
@@ -29,9 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import storage
+
 BUCKETS = 32
-BLOCK = 8192
-QUERY_BLOCK = 4096
+BLOCK = 16_384
+QUERY_BLOCK = 8_192
+GROUPS = 256  # of queries by the length that they ask for
 FOCUS = 3
 EPS = 1e-9
 
@@ -81,8 +89,10 @@ class Block:
         cand = self.by_coord[best[2] : best[3], best[1]]
         return cand[cand < prefix]
 
-    def search(self, query_id: int, q: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        cand = self.candidates(q, float(np.sqrt(q @ q)), bound)
+    def search(self, query_id: int, whole: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        q = np.zeros(self.rows.shape[1])
+        q[: len(whole)] = whole[: len(q)]
+        cand = self.candidates(q, float(np.sqrt(whole @ whole)), bound)
         cand = cand[self.ids[cand] != query_id]
         scores = self.rows[cand] @ q
         if len(scores) and np.abs(self.rows[cand]).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q)) >= 2**53:
@@ -98,7 +108,10 @@ def _search_pair(k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(vectors) and len(queries):
-            block = Block(vectors["vec_id"].to_numpy(np.int64), np.stack(vectors["v"].to_numpy()).astype(np.float64))
+            rows = np.zeros((len(vectors), max(map(len, vectors["v"]))))
+            for row, v in zip(rows, vectors["v"]):
+                row[: len(v)] = v
+            block = Block(vectors["vec_id"].to_numpy(np.int64), rows)
             for qid, q, bound in zip(queries["query_id"], queries["q"], queries["bound"]):
                 ids, scores = block.search(qid, np.asarray(q, np.float64), bound, k)
                 out.append(pd.DataFrame({"query_id": np.full(len(ids), qid), "vec_id": ids, "score": scores}))
@@ -121,34 +134,38 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of each query, exactly."""
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("e")))
-    whole = clean.select("vec_id", "asks", quantize(F.col("e")).alias("v"))
-    sizes = whole.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    whole = whole.where(F.size("v") == (sizes["d"] if sizes else 0)).withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    length2 = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    whole = clean.select("vec_id", "asks", quantize(F.col("e")).alias("v")).withColumn("n2", length2("v"))
     # Bounded numbers to the driver: bucket edges, then one count and one length for each bucket.
     edges = sorted(set(whole.agg(F.percentile_approx("n2", [i / BUCKETS for i in range(1, BUCKETS)], 10000)).first()[0] or []))
     bucket = F.lit(0)
     for e in edges:
         bucket = bucket + F.when(F.col("n2") > e, 1).otherwise(0)
     told = {r["bucket"]: r for r in whole.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("n2").alias("top"), F.sum(F.when(F.col("asks"), 1).otherwise(0)).alias("asked")).collect()}
-    blocks, spread = [], F.lit(1)
-    for b, r in sorted(told.items()):
-        parts = -(-r["n"] // BLOCK)
-        spread = F.when(bucket == b, parts).otherwise(spread)
-        blocks += [(b << 20 | i, float(r["top"]) ** 0.5) for i in range(parts)]
-    block = F.shiftleft(bucket.cast("long"), 20).bitwiseOR(F.pmod(F.xxhash64("vec_id", "v"), spread))
-    qblocks = max(1, -(-sum(r["asked"] or 0 for r in told.values()) // QUERY_BLOCK))
-
+    parts = {b: -(-r["n"] // BLOCK) for b, r in told.items()}
+    spread = F.lit(1)
+    for b, n in parts.items():
+        spread = F.when(bucket == b, n).otherwise(spread)
+    block = F.shiftleft(bucket.cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("vec_id", "v"), spread))
     placed = whole.select("vec_id", "v", block.alias("block"))
-    queries = whole.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")).withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(qblocks)))
-    all_qblocks = F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock")
-    spread_out = placed.select("*", all_qblocks).withColumn("qblock", F.col("qblock").cast("long"))
-    if not blocks:
+    if not told:
         return best(placed.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).where("false"), k)
 
-    probe = max(blocks, key=lambda b: (b[1], -b[0]))[0]
-    first = _pairs(spread_out.where(F.col("block") == probe), queries.withColumns({"block": F.lit(probe).cast("long"), "bound": F.lit(float("-inf"))}), k)
+    queries = whole.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    qblocks = max(1, -(-sum(r["asked"] or 0 for r in told.values()) // QUERY_BLOCK))
+    dealt = queries.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(qblocks)))
+    probe = max(told, key=lambda b: (told[b]["top"], b)) << 32
+    longest = placed.where(F.col("block") == probe).withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qblocks - 1).cast("long"))))  # one block
+    first = _pairs(longest, dealt.withColumns({"block": F.lit(probe), "bound": F.lit(float("-inf"))}), k)
     bounds = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("bound"))
-    bounded = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))).withColumn("norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)))
-    lengths = F.array(*[F.struct(F.lit(b).cast("long").alias("block"), F.lit(n).alias("top")) for b, n in blocks])
-    sent = F.filter(lengths, lambda b: F.col("bound") <= F.col("norm") * b["top"] * (1 + EPS) + EPS)
-    return best(_pairs(spread_out, bounded.select("query_id", "q", "qblock", "bound", F.explode(sent["block"]).alias("block")), k), k)
+    bounded = storage.materialize(
+        queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))).withColumn("norm", F.sqrt(length2("q")))
+        .withColumn("asks_for", F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.col("bound") / F.col("norm") * (1 - EPS)).otherwise(-1.0)), "queries")
+    groups = min(qblocks, GROUPS)
+    cuts = bounded.agg(F.percentile_approx("asks_for", [i / groups for i in range(1, groups)], 10000)).first()[0] if groups > 1 else []
+    group = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("asks_for"))) if cuts else F.lit(0)
+    grouped = bounded.withColumn("qblock", F.shiftleft(group.cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("query_id"), F.lit(-(-qblocks // groups)))))
+    buckets = F.array(*[F.struct(F.lit(b).cast("long").alias("b"), F.lit(parts[b]).cast("long").alias("parts"), F.lit(float(r["top"]) ** 0.5).alias("top")) for b, r in told.items()])
+    blocks = F.flatten(F.transform(F.filter(buckets, lambda b: F.col("asks_for") <= b["top"] * (1 + EPS) + EPS), lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["parts"] - 1), lambda i: F.shiftleft(b["b"], 32).bitwiseOR(i))))
+    needed = grouped.groupBy("qblock").agg(F.min("asks_for").alias("asks_for")).select((F.col("qblock") + 0).alias("qblock"), F.explode(blocks).alias("block"))
+    return best(_pairs(placed.join(needed, "block"), grouped.select("query_id", "q", "qblock", "bound", F.explode(blocks).alias("block")), k), k)
