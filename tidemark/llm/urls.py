@@ -51,7 +51,7 @@ def tokens(url: Column) -> Column:
         F.concat(F.lit("tld="), F.element_at(labels, -1)),
         F.concat(F.lit("site="), F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")),
         F.concat(F.lit("sub="), F.element_at(labels, 1)),
-        F.concat(F.lit("labels="), F.least(F.size(labels), F.lit(9)).cast("string")),
+        F.concat(F.lit("labels="), F.size(labels).cast("string")),
         F.concat(F.lit("first="), first), F.concat(F.lit("last="), last), F.concat(F.lit("shape="), shape),
         F.concat(F.lit("query="), F.contains(url, F.lit("?")).cast("string")))
     between = lambda name, all_of: F.transform(F.slice(all_of, F.lit(2), F.greatest(F.lit(0), F.size(all_of) - 2)), lambda x: F.concat(F.lit(f"{name}="), x))
