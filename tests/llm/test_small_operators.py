@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -102,7 +103,7 @@ def test_topk_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     r = np.random.default_rng(2)
     vec = [(i, [float(x) for x in r.normal(0, r.choice([0.1, 1, 5]), 6)]) for i in range(300)]
-    vec += [(300, vec[0][1]), (301, vec[0][1]), (302, [0.0] * 6), (303, None), (304, [1.0, None] * 3), (305, [float("nan")] * 6), (306, [float("inf")] * 6), (None, vec[1][1]), (5, vec[5][1]), (7, vec[8][1])]
+    vec += [(300, vec[0][1]), (301, vec[0][1]), (302, [0.0] * 6), (303, None), (304, [1.0, None] * 3), (305, [float("nan")] * 6), (306, [float("inf")] * 6), (310, [9.0, 8.0]), (315, [3.0] * 9), (320, []), (None, vec[1][1]), (5, vec[5][1]), (7, vec[8][1])]
     df = spark.createDataFrame([(i, v, "score") for i, v in vec], "vec_id long, embedding array<double>, score string")
     clean = [(i, [math.floor(256 * x) for x in v]) for i, v in vec if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want, asked = [], set()
@@ -133,6 +134,51 @@ def test_language_id(spark):
     assert [x["lang_pred"] for x in langid.predict(probe, none, "doc_id").collect()] == ["und"] * 7
 
 
+def test_language_scores_equal_a_direct_count(spark):
+    r = random.Random(5)
+    letters = {"en": "theraind", "fr": "léoupaçx", "xx": "qz😀ß"}
+    make = lambda lang: "".join(r.choice(letters[lang]) for _ in range(r.randint(1, 7)))
+    vocab = {lang: [make(lang) for _ in range(12)] for lang in letters}
+    rows = [(i, " ".join(r.choice(vocab[lang]) for _ in range(15)), lang) for i, lang in enumerate(list(letters) * 9)]
+    units = lambda w: [u.decode("utf-16-le", "surrogatepass") for u in (w.encode("utf-16-le")[i : i + 2] for i in range(0, len(w.encode("utf-16-le")), 2))]
+    counts = {n: {lang: {} for lang in letters} for n in range(5)}
+    for _, text, lang in rows:
+        for w in langid.words_of(text):
+            counts[0][lang][w] = counts[0][lang].get(w, 0) + 1
+            padded = ["^", *units(w), "$"]
+            for n in range(1, 5):
+                for i in range(len(padded) - n + 1):
+                    g = tuple(padded[i : i + n])
+                    counts[n][lang][g] = counts[n][lang].get(g, 0) + 1
+
+    def log(n, lang, g):
+        total = sum(counts[n][lang].values())
+        return math.log((counts[n][lang].get(g) or 0.5) / (total + 1))
+
+    def word(w):
+        if any(w in counts[0][lang] for lang in letters):
+            return [log(0, lang, w) for lang in sorted(letters)]
+        padded, found = ["^", *units(w), "$"], []
+        for i in range(len(padded) - 1):
+            for n in (4, 3, 2, 1):
+                g = tuple(padded[i : i + n])
+                if len(g) == n and any(g in counts[n][lang] for lang in letters):
+                    found.append([log(n, lang, g) for lang in sorted(letters)])
+                    break
+        return [sum(x) / len(found) for x in zip(*found)] if found else [0.0] * len(letters)
+
+    texts = [" ".join(r.choice(vocab[lang]) + r.choice(["", "th", "é", "qq"]) for _ in range(r.randint(1, 12))) for lang in list(letters) * 8] + ["жж", "😀😀 th", "a"]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    probe = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, `a``b.c` int")
+    got = {x["doc_id"]: x for x in langid.predict(probe, model, "doc_id", "a`b.c").collect()}
+    for i, t in enumerate(texts):
+        words = langid.words_of(t)
+        sums = [sum(x) for x in zip(*map(word, words))]
+        top = max(sums)
+        assert got[i]["lang_pred"] == sorted(letters)[sums.index(top)] or sorted(sums)[-1] - sorted(sums)[-2] < 1e-9
+        assert math.isclose(got[i]["score"], 1 / sum(math.exp((s - top) / len(words)) for s in sums), rel_tol=1e-9)
+
+
 # SentencePiece ---------------------------------------------------------------------------
 
 def test_pieces_equal_the_library(spark, monkeypatch):
@@ -149,6 +195,8 @@ def test_pieces_equal_the_library(spark, monkeypatch):
         want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids))))
     assert sorted((tuple(x) for x in pieces.round_trip(df, tokenizer_path(), "doc_id").collect()), key=str) == sorted(want, key=str)
     coded = pieces.encode(df.drop("ids"), tokenizer_path(), "doc_id")
+    told = {x["doc_id"]: x for x in pieces.round_trip(df, tokenizer_path(), "doc_id", whole=True).where("doc_id < 400").collect()}
+    assert all(told[d]["ids"] == [*sp.encode(t or ""), sp.eos_id()] and told[d]["decoded"] == sp.decode(sp.encode(t or "")) for d, t in rows[:400] if d != 1)
     back = {x["doc_id"]: x["text"] for x in pieces.decode(coded, tokenizer_path(), "doc_id").collect()}
     assert back[1] == "again" and back[500] == ""
     assert pieces.round_trip(df.limit(0), tokenizer_path(), "doc_id").collect() == []
@@ -176,6 +224,48 @@ def test_size_tiered_shards(spark, tmp_path):
     assert empty.read().collect() == [] and empty.compact() == 1
 
 
+def test_shards_keep_added_columns_and_other_writers_files(spark, tmp_path):
+    open_ = lambda: sharding.ShardStore(spark, f"file://{tmp_path}/store", fanout=2)
+    one, two = open_(), open_()
+    one.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    one.append(spark.createDataFrame([(2, "b", 0.5)], "doc_id long, text string, extra double"))
+    one.append(spark.createDataFrame([(3,)], "doc_id long"))
+    want = [(1, "a", None), (2, "b", 0.5), (3, None, None)]
+    one.compact()
+    one.vacuum()
+    assert sorted(tuple(r) for r in open_().read().collect()) == want and len(one.shards()) == 1
+    with pytest.raises(ValueError):
+        two.append(spark.createDataFrame([("x",)], "DOC_ID string"))
+    name, shards = two._write(spark.createDataFrame([(4, "d")], "doc_id long, text string").coalesce(1))  # written, not yet committed
+    assert one.vacuum() == 0
+    two.commit(two._newest(), two.shards() + shards)
+    two._done(name)
+    assert one.vacuum() == 0 and sorted(r["doc_id"] for r in one.read().collect()) == [1, 2, 3, 4]
+    two._write(spark.createDataFrame([(9, "lost")], "doc_id long, text string").coalesce(1))
+    assert one.vacuum() == 0 and one.vacuum(grace=-60) == 1 and one.read().count() == 4
+
+
+def test_shards_take_up_a_lost_race(spark, tmp_path, monkeypatch):
+    store, other = (sharding.ShardStore(spark, f"file://{tmp_path}/store", fanout=2) for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i,)], "doc_id long")
+    store.append(row(0))
+    store.append(row(1))
+    write, raced = store._write, []
+
+    def slow(df):
+        out = write(df)
+        if not raced:
+            raced.append(other.append(row(2)))
+        return out
+
+    monkeypatch.setattr(store, "_write", slow)
+    store.append(row(3))
+    raced.clear()
+    store.compact()
+    assert raced and sorted(r["doc_id"] for r in store.read().collect()) == [0, 1, 2, 2, 3]
+    assert not store.runs_to_merge(store.shards())
+
+
 # URLs ----------------------------------------------------------------------------------------
 
 def split(url):
@@ -252,3 +342,28 @@ def test_url_rules_see_every_label_and_segment(spark):
     labels = spark.createDataFrame([(i, i < 12 or 60 <= i < 72) for i, _ in rows if i % 3], "page_id long, blocked boolean")
     got = {r["page_id"] for r in urls.judge(pages, labels, [("allow", "nowhere.test", "/")], 0.1, 0.9).where("verdict = 'block'").collect()}
     assert got == {*range(12), *range(60, 72)}
+
+
+def test_mined_rules_equal_a_brute_force_miner(spark):
+    r = random.Random(9)
+    rows = [(i, f"https://{r.choice('ab')}.{r.choice(['x', 'y', 'z'])}.org/{r.choice('pq')}/{r.choice('st')}") for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string").select("page_id", urls.tokens(F.col("url")).alias("tokens"))
+    labelled = df.withColumn("blocked", F.array_contains("tokens", "inner=x") & (F.col("page_id") % 7 != 0) | (F.col("page_id") % 11 == 0))
+    baskets = [(frozenset(x["tokens"]), x["blocked"]) for x in labelled.collect()]
+    rules = {}
+    for size in range(1, 13):
+        found = 0
+        for c in {frozenset(s) for b, _ in baskets for s in itertools.combinations(sorted(b), size)} if size < 4 else ():
+            n, hit = sum(c <= b for b, _ in baskets), sum(c <= b and k for b, k in baskets)
+            if hit / len(baskets) >= 0.1:
+                found += 1
+                rules[c] = hit / n
+    kept = {c: s for c, s in rules.items() if s >= 0.7}
+    want = {c: s for c, s in kept.items() if not any(p < c and t >= s for p, t in kept.items())}
+    got = {frozenset(x["items"]): x["confidence"] for x in urls.mine(labelled, 0.1, 0.7).collect()}
+    short = {c: s for c, s in got.items() if len(c) < 4}
+    assert short.keys() == want.keys() and all(math.isclose(short[c], want[c]) for c in want) and want
+    best = {x["tokens"] and frozenset(x["tokens"]): x["confidence"] for x in urls.match(df, urls.mine(labelled, 0.1, 0.7)).collect()}
+    for b, _ in baskets:
+        fits = [s for c, s in got.items() if c <= b]
+        assert best.get(b) == (max(fits) if fits else None)

@@ -25,11 +25,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from tidemark.llm import storage
 
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
@@ -98,6 +101,19 @@ def _model_bytes(df: DataFrame, path: str) -> bytes:
         return f.read()
 
 
+def _lists(rows: list[pa.Array]) -> pa.Array:
+    """One list<int> array from packed rows."""
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.concat_arrays(rows) if rows else pa.array([], pa.int32()))
+
+
+def _over(df: DataFrame, run, column: str, keep: tuple[str, ...], made: str) -> DataFrame:
+    """``run`` over ``column`` and the columns ``keep``; it gives ``keep`` and the columns ``made``."""
+    schema = T.StructType([*storage.fields(df, *keep), *T.StructType.fromDDL(made)])
+    first = storage.unused(df, "read")[0]
+    return storage.mapped(storage.spread(df).select(storage.col(column).alias(first), *map(storage.col, keep)), run, schema)
+
+
 def encode(docs: DataFrame, model_path: str, *keep: str, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with ids (array<int>) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(docs, model_path))
@@ -110,8 +126,7 @@ def encode(docs: DataFrame, model_path: str, *keep: str, text_col: str = "text")
                 ids = pa.array(list(enc.encode_all([t.as_py() or "" for t in part.column(0)])), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], names=[*keep, "ids"])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(text_col, *keep).mapInArrow(run, f"{kinds}ids array<int>")
+    return _over(docs, run, text_col, keep, "ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str, *keep: str, ids_col: str = "ids") -> DataFrame:
@@ -124,24 +139,30 @@ def decode(encoded: DataFrame, model_path: str, *keep: str, ids_col: str = "ids"
             texts = pa.array([enc.decode(i.as_py() or []) for i in b.column(0)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], texts], names=[*keep, "text"])
 
-    kinds = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in keep)
-    return encoded.select(ids_col, *keep).mapInArrow(run, f"{kinds}text string")
+    return _over(encoded, run, ids_col, keep, "text string")
+
 
+def round_trip(docs: DataFrame, model_path: str, *keep: str, text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``keep``, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass.
 
-def round_trip(docs: DataFrame, model_path: str, *keep: str, text_col: str = "text") -> DataFrame:
-    """``keep``, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass."""
+    ``whole`` adds the ids themselves and the text that they decode to (ids, decoded).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(docs, model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shared.value)
         for b in batches:
-            n, of_ids, of_text = [], [], []
+            n, of_ids, of_text, coded, decoded = [], [], [], [], []
             for at in range(0, b.num_rows, BATCH):
                 for ids in enc.encode_all([t.as_py() or "" for t in b.column(0).slice(at, BATCH)]):
                     n.append(len(ids))
                     of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                    of_text.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(text_col, *keep).mapInArrow(run, f"{kinds}n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    text = enc.decode(ids)
+                    of_text.append(hashlib.sha256(text.encode()).hexdigest())
+                    if whole:
+                        coded.append(pa.array(ids, pa.int32()))
+                        decoded.append(text)
+            more = [_lists(coded), pa.array(decoded, pa.string())] if whole else []
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *more], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: len(more)]])
+
+    return _over(docs, run, text_col, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole)
