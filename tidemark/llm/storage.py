@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_MADE: list[str] = []  # paths of the tables that ``materialize`` made and nothing dropped
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -45,6 +46,7 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         spark.conf.set(SHUFFLE_CLEANUP, before or "false")
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
+    _MADE.append(path)
     return out
 
 
@@ -56,6 +58,15 @@ def delete(spark: SparkSession, path: str) -> None:
 def drop(table: DataFrame) -> None:
     """Delete a table made by ``materialize`` once nothing reads it any more."""
     delete(table.sparkSession, table.tidemark_path)
+    _MADE.remove(table.tidemark_path)
+
+
+def clear(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the tables that operators left behind, but for ``keep``; call it once their results are written."""
+    kept = [t.tidemark_path for t in keep]
+    for path in [p for p in _MADE if p not in kept]:
+        delete(spark, path)
+        _MADE.remove(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,29 +1,32 @@
 """Exact removal of repeated byte strings by bucket-pointer refinement.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is
-removed. Strings are bucketed and the buckets refined until equal bucket means
-equal string:
+removed. Strings are bucketed and the buckets refined until equal bucket means equal
+string; every decision is made on bytes, hashes only deal rows out:
 
 1. Each window of LENGTH bytes points to one q-gram inside it (q = LENGTH / 2): the
    one with the least hash, the leftmost of equals. Equal windows point to equal
    q-grams at the same offset, so a window can only repeat inside the bucket of its
    q-gram. Neighbouring windows mostly share their pointer; one row stands for each
    run of windows with the same pointer. A bucket with one row is finished.
-2. A run whose whole stretch of bytes occurs twice in its bucket is repeated
-   throughout. Only the ends of repeated regions are left.
-3. Buckets that hold such ends are refined on the bytes of one row for each distinct
-   stretch: q-gram buckets at every offset, then sorted by the pair (own bucket,
-   bucket ``depth`` bytes later), new identifiers feeding the next step, until the
-   depth is LENGTH. Very large buckets are dealt out by the hash of each string.
+2. Rows of the other buckets get their stretch of bytes (less than 1.5 LENGTH) and are
+   refined bucket by bucket: 8-byte words are the first bucket identifiers, then
+   positions are sorted by the pair (own bucket, bucket ``depth`` bytes later), each
+   step's identifiers feeding the next, until the depth is LENGTH.
 
-Text is shuffled once; all other rows are fixed-size numbers or stretches of less
-than 1.5 LENGTH bytes.
+Skew: stretches that a task meets again among ``HELD`` rows are compared there, byte by
+byte, and only the first goes on. A q-gram with many different stretches around it is
+refined before it is dealt: its windows go by slices of their offset, each under the
+bytes that all windows of the slice share. Which q-grams are split is told by a hashed
+sample of the documents; it changes where rows meet, never what is found.
+
+Text is shuffled once; all other rows are fixed-size numbers or stretches.
 
 Defined results
 - null text: no bytes, nothing removed; texts under LENGTH bytes are kept whole
 - exact copies (repeated rows included) of LENGTH bytes or more lose all their bytes
-- matches never cross rows; a row's key is (doc_id, hash of its text), so null and
-  repeated doc_id are safe
+- matches never cross rows; a row's key is a 128-bit hash of doc_id and text, so null
+  and repeated doc_id are safe
 - an empty table gives an empty result; other columns are not read
 """
 
@@ -35,13 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import storage
 
 LENGTH = 200
-LARGE = 20_000  # distinct stretches in a bucket beyond which it is dealt out by string
+HELD = 100_000  # rows in which a task looks for repeated stretches before it passes them on
+SAMPLE = 64  # one document of so many tells which q-grams to split
+SPLIT = 2_000  # estimated different stretches of a q-gram beyond which it is split
+MAX_SPLIT = 100_000  # q-grams in the split table, most frequent first; bounds what is broadcast
 PACK = 20  # bits of a packed position that hold the run's length
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -98,142 +105,183 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def bucket_rows(docs: DataFrame, length: int) -> DataFrame:
-    """gram, stretch (hashes), n, known, doc_id, th, at: one row for each run of each document.
+def _merged(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring runs of windows of the same row, joined: (row, first, windows)."""
+    order = np.lexsort((first, row))
+    row, first, count = row[order], first[order], count[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1] + count[:-1])]) if len(row) else np.empty(0, np.int64)
+    total = np.add.reduceat(count, new) if len(new) else new
+    return row[new], first[new], total
 
-    A stretch that a task meets again in the rows at hand is known to repeat: its first
-    row counts them all (n), the others are dealt by a hash of their own, so that a
-    stretch that fills a third of the corpus does not meet in one task.
-    """
+
+def _packed(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, at): runs of windows as one number each; runs too long for one number are cut."""
+    most = 1 << PACK
+    n = -(-count // most)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, first, count = (np.repeat(x, n) for x in (row, first, count))
+    return row, first + k * most << PACK | np.minimum(count - k * most, most) - 1
+
+
+def _slices(text: bytes, first: int, last: int, at: int, parts: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, last) of a run split by the window's distance before its q-gram."""
     q = length // 2
+    room = length - q  # the greatest distance
+    for p in range(parts):
+        low, high = -(-p * (room + 1) // parts), -(-(p + 1) * (room + 1) // parts) - 1
+        f, w = max(first, at - high), min(last, at - low)
+        if f <= w:
+            yield xxhash.xxh3_64_intdigest(text[at - low : at + q + room - high], p + 1), f, w
+
+
+def split_table(keyed: DataFrame, length: int) -> dict[int, int]:
+    """q-gram hash -> slices, for the q-grams that a sample finds among many different stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, q = xxhash.xxh3_64_intdigest, length // 2
         for b in batches:
-            for row in range(b.num_rows):
-                text = (b.column(2)[row].as_py() or "").encode()
+            for t in b.column(0):
+                text = (t.as_py() or "").encode()
                 first, last, at = runs(text, length)
-                for k in range(0, len(first), 50_000):
-                    f, w, a = first[k : k + 50_000], last[k : k + 50_000], at[k : k + 50_000]
-                    n = len(f)
-                    yield pa.RecordBatch.from_arrays([
-                        _signed([digest(text[i : i + q]) for i in a.tolist()]),
-                        _signed([digest(text[i:j]) for i, j in zip(f.tolist(), (w + length).tolist())]),
-                        pa.array(np.full(n, row)), pa.array(f << PACK | w - f)], names=["gram", "stretch", "row", "at"]), b
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for part, b in run(batches):
-            ids = b.select(["doc_id", "th"]).take(part.column(2))
-            held.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), *ids.columns, part.column(3)], names=["gram", "stretch", "doc_id", "th", "at"]))
-            rows += part.num_rows
-            if rows > 20_000:
-                yield _counted(held)
-                held, rows = [], 0
-        if held:
-            yield _counted(held)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "th", "text").mapInArrow(whole, f"gram long, stretch long, n long, known boolean, doc_id {kind}, th int, at long")
-
-
-def _counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Rows with n and known: repeats of a stretch stand apart from its first row, which counts them."""
-    t = pa.Table.from_batches(held).combine_chunks()
-    stretch, at, th = (t.column(c).to_numpy() for c in ("stretch", "at", "th"))
-    _, first, inverse, n = np.unique(stretch, return_index=True, return_inverse=True, return_counts=True)
-    known = np.ones(len(stretch), bool)
-    known[first] = False
-    own = (stretch.view(np.uint64) ^ at.view(np.uint64) * np.uint64(_BASE)) + th.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    gram = np.where(known, (own ^ own >> np.uint64(31)).view(np.int64), t.column("gram").to_numpy())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(gram), pa.array(stretch), pa.array(np.where(known, 0, n[inverse])), pa.array(known), *[t.column(c).combine_chunks() for c in ("doc_id", "th", "at")]],
-        names=["gram", "stretch", "n", "known", "doc_id", "th", "at"])
-
-
-def classify(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with at least two, with full (all windows repeat), probe (bytes needed), large."""
-    of_stretch = Window.partitionBy("gram", "stretch")
-    of_gram = Window.partitionBy("gram")
-    return (
-        rows.repartition("gram")
-        .withColumns({"same": F.sum("n").over(of_stretch.orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-                      "nth": F.row_number().over(of_stretch.orderBy("doc_id", "at"))})
-        .withColumns({"members": F.sum("n").over(of_gram), "least": F.min("same").over(of_gram),
-                      "distinct": F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(of_gram)})
-        .where("known or members > 1 and (same > 1 or least = 1)")
-        .select("gram", "doc_id", "th", "at", (F.col("known") | (F.col("same") > 1)).alias("full"),
-                (~F.col("known") & (F.col("nth") == 1) & (F.col("least") == 1) & (F.col("distinct") > 1)).alias("probe"), (F.col("distinct") > LARGE).alias("large"))
-        .where("full or probe")
-    )
-
-
-def refine(buffer: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """Whether the string of ``length`` bytes at starts[i] + 0 .. counts[i] - 1 has an equal among all these."""
-    own = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    depth = length // 2
-    hashes = gram_hashes(buffer, depth)
-    offsets = [own]
-    todo = depth
-    while todo < length:  # where later identifiers are read
-        step = min(todo, length - todo)
-        offsets += [o + step for o in offsets]
-        todo += step
-    places = np.unique(np.concatenate(offsets))
-    bucket = np.empty(len(buffer), np.int64)
-    bucket[places] = np.unique(hashes[np.minimum(places, len(hashes) - 1)], return_inverse=True)[1]
-    while depth < length:
-        step = min(depth, length - depth)
-        left = places[places + step <= len(buffer) - depth]
-        left = left[np.isin(left + step, places, assume_unique=True)] if depth + step < length else own
-        pair = bucket[left] * np.int64(len(places) + 1) + bucket[left + step]
-        bucket[left] = np.unique(pair, return_inverse=True)[1]
-        places, depth = left, depth + step
-    return np.bincount(bucket[own])[bucket[own]] > 1
+                yield pa.RecordBatch.from_arrays([
+                    _signed([digest(text[i : i + q]) for i in at.tolist()]), _signed([digest(text[i:j]) for i, j in zip(first.tolist(), (last + length).tolist())])], names=["gram", "stretch"])
 
+    found = keyed.where(F.pmod("k1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "gram long, stretch long").distinct()
+    often = found.groupBy("gram").count().where(F.col("count") * SAMPLE > SPLIT).orderBy(F.desc("count"), "gram").limit(MAX_SPLIT)
+    size = lambda n: 4 if n < 16 * SPLIT else 16 if n < 256 * SPLIT else length - length // 2 + 1
+    return {r["gram"] & (1 << 64) - 1: size(r["count"] * SAMPLE) for r in often.collect()}
 
-def _ends(length: int):
-    """Repeated windows of probed runs; rows come sorted by bucket."""
+
+def bucket_rows(keyed: DataFrame, length: int, split: dict[int, int]) -> DataFrame:
+    """gram, k1, k2, at, done: one row for each run of each document; done: its windows are known to repeat."""
+    q = length // 2
+    shared = keyed.sparkSession.sparkContext.broadcast(split)  # at most MAX_SPLIT entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, hot = xxhash.xxh3_64_intdigest, shared.value
+        seen: dict[bytes, int] = {}  # stretch -> its row in the lists below, negative once it is known to repeat
+        gram, k1, k2, first, count = [], [], [], [], []
+        again: list[tuple[int, int, int, int]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal again
+            f, n = np.array(first, np.int64), np.array(count, np.int64)
+            yield pa.RecordBatch.from_arrays([_signed(gram), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(f << PACK | n - 1), pa.array(np.zeros(len(f), bool))], names=names)
+            twice = [-i - 1 for i in seen.values() if i < 0]
+            keys = [(k1[i], k2[i]) for i in twice] + [(a, b) for a, b, _, _ in again]
+            place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            row = np.array([place[k] for k in keys], np.int64)
+            row, at = _packed(*_merged(row, np.r_[f[twice], np.array([x[2] for x in again], np.int64)].astype(np.int64), np.r_[n[twice], np.array([x[3] for x in again], np.int64)].astype(np.int64)))
+            a, b = (np.array(x, np.int64) for x in zip(*place)) if place else (np.empty(0, np.int64),) * 2
+            own = (a[row].view(np.uint64) ^ at.view(np.uint64)) * np.uint64(_BASE)  # dealt anywhere
+            yield pa.RecordBatch.from_arrays([pa.array((own ^ own >> np.uint64(31)).view(np.int64)), pa.array(a[row]), pa.array(b[row]), pa.array(at), pa.array(np.ones(len(at), bool))], names=names)
+            seen.clear()
+            again = []
+            for x in (gram, k1, k2, first, count):
+                x.clear()
+
+        names = ["gram", "k1", "k2", "at", "done"]
+        for b in batches:
+            for x, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text = (t.as_py() or "").encode()
+                for f, w, a in zip(*(z.tolist() for z in runs(text, length))):
+                    g = digest(text[a : a + q])
+                    for g, i, j in (_slices(text, f, w, a, hot[g], length) if g in hot else ((g, f, w),)):
+                        stretch = text[i : j + length]
+                        old = seen.get(stretch)
+                        if old is None:
+                            seen[stretch] = len(gram)
+                            gram.append(g)
+                            k1.append(x)
+                            k2.append(y)
+                            first.append(i)
+                            count.append(j - i + 1)
+                        else:
+                            again.append((x, y, i, j - i + 1))
+                            if old >= 0:
+                                seen[stretch] = -old - 1
+                    if len(gram) + len(again) >= HELD:
+                        yield from flush()
+        yield from flush()
+
+    return keyed.select("k1", "k2", "text").mapInArrow(run, "gram long, k1 long, k2 long, at long, done boolean")
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """The rows that are done, and those of buckets with at least two rows."""
+    members = F.sum(F.when(F.col("done"), 0).otherwise(1)).over(Window.partitionBy("gram"))
+    return rows.repartition("gram").withColumn("members", members).where("done or members > 1").drop("members")
+
+
+def refine(buffer: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of ``length`` bytes at each place in ``own`` has an equal at another of them.
+
+    Strings that leave their stretch get buckets too; no place in ``own`` asks for them.
+    """
+    depth = min(8, length)
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(buffer),), "<u8", np.ascontiguousarray(padded), 0, (1,))
+    if depth < 8:
+        words = words & np.uint64((1 << 8 * depth) - 1)
+    if depth == length:
+        words = words[own]
+    bucket = np.unique(words, return_inverse=True)[1]
+    while depth < length:
+        step = min(depth, length - depth)
+        last = depth + step == length
+        left = bucket[own] if last else bucket[: len(bucket) - step]
+        right = bucket[own + step] if last else bucket[step:]
+        bucket = np.unique(left * np.int64(len(bucket) + 1) + right, return_inverse=True)[1]
+        depth += step
+    return np.bincount(bucket)[bucket] > 1
+
+
+def _decide(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, windows): the repeated runs of windows of whole buckets."""
+    at, gram = t.column("at").to_numpy(), t.column("gram").to_numpy()
+    first, counts = at >> PACK, (at & (1 << PACK) - 1) + 1
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(s, len(seen)) for s in t.column("bytes").to_pylist()])
+    lone = np.bincount(which)[which] == 1
+    leader = np.unique(which, return_index=True)[1]  # one row of each stretch
+    _, bucket = np.unique(gram[leader], return_inverse=True)
+    mixed = np.flatnonzero(np.bincount(bucket)[bucket] > 1)  # stretches with others in their bucket
+    full = np.flatnonzero(~lone)
+    row, start, n = [full], [first[full]], [counts[full]]
+    if len(mixed):
+        parts = list(seen)
+        parts = [parts[i] for i in mixed]
+        sizes = np.array([len(p) for p in parts])
+        begin, windows = np.cumsum(sizes) - sizes, sizes - length + 1
+        of = np.repeat(np.arange(len(mixed)), windows)
+        offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        yes = refine(np.frombuffer(b"".join(parts), np.uint8), begin[of] + offset, length) & lone[leader[mixed]][of]
+        mine = leader[mixed][of[yes]]
+        row.append(mine)
+        start.append(first[mine] + offset[yes])
+        n.append(np.ones(len(mine), np.int64))
+    return _merged(*(np.concatenate(x) for x in (row, start, n)))
+
+
+def _refined(length: int):
+    """Repeated windows of rows that come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, enough = 0, 4_000_000
-
-        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not t.num_rows:
-                return
-            at = t.column("at").to_numpy()
-            first, counts = at >> PACK, (at & (1 << PACK) - 1) + 1
-            parts = t.column("bytes").to_pylist()
-            gram = t.column("gram").to_numpy()
-            lone = np.array([p is None for p in parts])
-            yes = np.zeros(counts.sum(), bool)
-            window = np.repeat(np.arange(len(at)), counts)
-            if lone.any():  # a row for each window, bucketed by its own hash
-                _, which, n = np.unique(gram[lone], return_inverse=True, return_counts=True)
-                yes[np.isin(window, np.flatnonzero(lone))] = n[which] > 1
-            if not lone.all():
-                kept = [p for p in parts if p is not None]
-                sizes = np.array([len(p) for p in kept])
-                yes[~lone[window]] = refine(np.frombuffer(b"".join(kept), np.uint8), np.cumsum(sizes) - sizes, counts[~lone], length)
-            p = (np.repeat(first, counts) + np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts))[yes]
-            window = window[yes]
-            if len(p):
-                new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (window[1:] != window[:-1])])
-                last = np.r_[new[1:] - 1, len(p) - 1]
-                ids = t.select(["doc_id", "th"]).take(pa.array(window[new])).combine_chunks()
-                yield from pa.table([*ids.columns, pa.array(p[new] << PACK | p[last] - p[new])], names=["doc_id", "th", "at"]).to_batches()
+        size, enough = 0, 2_000_000
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, enough
             t = pa.Table.from_batches(held)
             gram = t.column("gram").to_numpy()
             cut = len(gram) if final else int(np.searchsorted(gram, gram[-1]))  # the last bucket may go on
-            yield from work(t.slice(0, cut).combine_chunks())
+            if cut:
+                done = t.slice(0, cut).combine_chunks()
+                row, at = _packed(*_decide(done, length))
+                yield from pa.table([*done.select(["k1", "k2"]).take(pa.array(row)).columns, pa.array(at)], names=["k1", "k2", "at"]).combine_chunks().to_batches()
             rest = t.slice(cut).combine_chunks()
             held, size = rest.to_batches(), rest.nbytes
-            enough = max(4_000_000, 2 * size)
+            enough = max(2_000_000, 2 * size)
 
         for b in batches:
             for k in range(0, b.num_rows, 4096):
@@ -247,36 +295,24 @@ def _ends(length: int):
     return run
 
 
-def probe_ends(joined: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, at: repeated windows found by refining the probed buckets."""
+def decided(probed: DataFrame, length: int) -> DataFrame:
+    """k1, k2, at: repeated windows among the rows of shared buckets (k1, k2, text, probes)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            rows: list[tuple] = []
             for i in range(b.num_rows):
                 text = (b.column("text")[i].as_py() or "").encode()
-                for p in b.column("probes")[i].as_py():
-                    first, more = p["at"] >> PACK, p["at"] & (1 << PACK) - 1
-                    if p["large"]:
-                        for w in range(first, first + more + 1):
-                            h = digest(text[w : w + length], 1)
-                            rows.append((h - (1 << 64) if h >> 63 else h, i, w << PACK, None))
-                    else:
-                        rows.append((p["gram"], i, p["at"], text[first : first + more + length]))
-                    if len(rows) >= 4096 or i == b.num_rows - 1:
-                        yield made(b, rows)
-                        rows = []
-            if rows:
-                yield made(b, rows)
-
-    def made(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-        ids = b.select(["doc_id", "th"]).take(pa.array([r[1] for r in rows], pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *ids.columns, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["gram", "doc_id", "th", "at", "bytes"])
-
-    kind = joined.schema["doc_id"].dataType.simpleString()
-    cuts = joined.where(F.size("probes") > 0).select("doc_id", "th", "text", "probes").mapInArrow(cut, f"gram long, doc_id {kind}, th int, at long, bytes binary")
-    return cuts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_ends(length), f"doc_id {kind}, th int, at long")
+                p = b.column("probes")[i].values
+                at = p.field("at").to_numpy()
+                for k in range(0, len(at), 4096):
+                    a = at[k : k + 4096]
+                    first = a >> PACK
+                    keys = [pa.array(np.full(len(a), b.column(c)[i].as_py(), np.int64)) for c in ("k1", "k2")]
+                    stretches = pa.array([text[x:y] for x, y in zip(first.tolist(), (first + (a & (1 << PACK) - 1) + length).tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([p.field("gram").slice(k, 4096), *keys, pa.array(a), stretches], names=["gram", "k1", "k2", "at", "bytes"])
+
+    cuts = probed.select("k1", "k2", "text", "probes").mapInArrow(cut, "gram long, k1 long, k2 long, at long, bytes binary")
+    return cuts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined(length), "k1 long, k2 long, at long")
 
 
 def covered(n: int, ats: list[int], length: int) -> list[tuple[int, int]]:
@@ -292,26 +328,26 @@ def covered(n: int, ats: list[int], length: int) -> list[tuple[int, int]]:
 
 
 def repeated(docs: DataFrame, *keep: str, length: int = LENGTH) -> DataFrame:
-    """The columns ``keep`` (doc_id and text among them if wanted) with __ats: packed runs of repeated windows."""
-    names = list(dict.fromkeys(["doc_id", "text", *keep]))
-    keyed = docs.select(*names).withColumn("__th", F.hash("text"))  # the join below and the last one share its exchange
-    plain = keyed.select("doc_id", F.col("__th").alias("th"), "text")
+    """The columns ``keep`` and text, all under their own names, with ``ats`` as the last: packed runs of repeated windows."""
+    names = list(dict.fromkeys([*keep, "text"]))
+    n1, n2 = storage.unused(docs, "k1_", "k2_")
+    keyed = docs.select(*map(storage.col, names), F.xxhash64("doc_id", "text").alias(n1), F.xxhash64("text", "doc_id").alias(n2))
+    plain = keyed.select(storage.col(n1).alias("k1"), storage.col(n2).alias("k2"), "text")
+    rows = bucket_rows(plain, length, split_table(plain, length))
     of_doc = storage.materialize(
-        classify(bucket_rows(plain, length)).groupBy("doc_id", "th").agg(
-            F.collect_list(F.when(F.col("full"), F.col("at"))).alias("full"),
-            F.collect_list(F.when(F.col("probe"), F.struct("gram", "at", "large"))).alias("probes")), "repeats")
+        shared_buckets(rows).groupBy("k1", "k2").agg(
+            F.collect_list(F.when(F.col("done"), F.col("at"))).alias("full"),
+            F.collect_list(F.when(~F.col("done"), F.struct("gram", "at"))).alias("probes")), "repeats")
     probed = of_doc.where(F.size("probes") > 0)
-    joined = keyed.join(probed, _same_row(keyed, probed)).select(keyed["doc_id"], probed["th"], keyed["text"], probed["probes"])
-    ends = probe_ends(joined, length).groupBy("doc_id", "th").agg(F.collect_set("at").alias("ends"))
-    full = of_doc.select("doc_id", "th", "full")
+    found = decided(plain.join(probed.select("k1", "k2", "probes"), ["k1", "k2"]), length).groupBy("k1", "k2").agg(F.collect_list("at").alias("more"))
     none = F.array().cast("array<bigint>")
-    ats = full.join(ends, full["doc_id"].eqNullSafe(ends["doc_id"]) & (full["th"] == ends["th"]), "left").select(
-        full["doc_id"], full["th"], F.array_distinct(F.concat("full", F.coalesce("ends", none))).alias("__ats"))
-    return keyed.join(ats, _same_row(keyed, ats), "left").select(*[keyed[c] for c in names if c in keep or c == "text"], F.coalesce(ats["__ats"], none).alias("__ats"))
+    ats = of_doc.select("k1", "k2", "full").join(found, ["k1", "k2"], "left").select("k1", "k2", F.concat("full", F.coalesce("more", none)).alias("ats_"))
+    out = keyed.join(ats, (keyed[n1] == ats["k1"]) & (keyed[n2] == ats["k2"]), "left")
+    return out.select(*[keyed[_quoted(c)] for c in names], F.coalesce(ats["ats_"], none).alias(storage.unused(docs, "ats")[0]))
 
 
-def _same_row(keyed: DataFrame, found: DataFrame) -> Column:
-    return keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["__th"] == found["th"])
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -331,8 +367,8 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return repeated(docs, "doc_id", length=length).select("doc_id", "text", "__ats").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = T.StructType([*storage.fields(docs, "doc_id"), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string")])
+    return storage.mapped(repeated(storage.spread(docs), "doc_id", length=length), run, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -346,7 +382,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, ats in zip(b.column("text"), b.column("__ats")):
+            for t, ats in zip(b.column("text"), b.column(b.num_columns - 1)):
                 text, at = t.as_py(), ats.as_py()
                 if at:
                     raw, kept, last = text.encode(), [], 0
@@ -357,4 +393,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return repeated(docs, *names, length=length).select(*names, "__ats").mapInArrow(run, docs.schema)
+    return storage.mapped(repeated(storage.spread(docs), *names, length=length), run, docs.schema)
