@@ -1,4 +1,5 @@
 import random
+import time
 
 from tidemark.llm import decontaminate as D
 
@@ -26,18 +27,24 @@ def test_finds_exactly_what_the_edit_budget_allows():
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(2, 7)))
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(r.randint(4, 25))) for i in range(20)] + [(98, "abc"), (99, "exactly8")]
+    items = [(i, text(r.randint(4, 25))) for i in range(20)] + [(97, "abab " * 12), (98, "q-q"), (99, "exactly8"), (96, "-" * 40)]
     index = D.Index(items)
     found = 0
     for _ in range(60):
         i, item = r.choice(items[:20])
         k = D.budget(len(D.normal(item)))
+        if r.random() < 0.2:
+            i, item = r.choice(items[20:])
+            k = D.budget(len(D.normal(item))) if len(item) >= D.Q else -3
         doc = text(r.randint(0, 40)) + " " + edited(r, item, r.randint(0, k + 3)) + " " + text(r.randint(0, 40))
         got = {m[0]: m[1] for m in index.matches(doc)}
         want = {}
         for j, other in items:
             norm = D.normal(other)
-            if len(norm) >= D.Q and (edits := brute(norm, D.normal(doc))) <= D.budget(len(norm)):
+            if len(norm) < D.Q:
+                if f" {norm} " in f" {D.normal(doc)} ":
+                    want[j] = 0
+            elif (edits := brute(norm, D.normal(doc))) <= D.budget(len(norm)):
                 want[j] = edits
         assert got == want
         found += len(got)
@@ -62,3 +69,20 @@ def test_clean_judges_each_row_by_its_own_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for chars in (D.CHUNK_CHARS, 60):
         assert sorted((tuple(r) for r in D.clean(docs, bench, chunk_chars=chars).collect()), key=str) == sorted([x for x in rows if x[1] not in (leak, other)], key=str)
+
+
+def test_part_of_a_long_item_and_repetitive_texts():
+    r = random.Random(8)
+    item = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(150))
+    index = D.Index([(1, item), (2, "-" * 400), (3, "=-" * 90), (1, item)])
+    size = len(D.normal(item))
+    for at in range(0, size - 3 * D.WINDOW // 2, 97):
+        quote = D.normal(item)[at : at + 3 * D.WINDOW // 2]
+        assert [m[:2] for m in index.matches("x" * 50 + edited(r, quote, 3) + "y" * 99)][0][0] == 1
+    assert index.matches(D.normal(item)[: D.WINDOW // 2] + " and something else") == []
+    began = time.time()
+    assert [m[:2] for m in index.matches("-" * 1_000_000)] == [(2, 0)]
+    index.matches("-=-" * 300_000)
+    assert time.time() - began < 60
+    long = "z " * 90_000 + item + " z" * 90_000  # the match lies across two parts
+    assert [m[:2] for m in index.matches(long)] == [(1, 0), (1, 0)]
