@@ -10,16 +10,20 @@ anchors within 4 (14 a half on average), and each anchor compares its home membe
 with all its members on all 64 bits. No link is lost, and copies of one
 fingerprint are compared once.
 
-A wider threshold, up to 11 bits, covers four quarters with the code of all points
-(radius 0) and replicates both sides of a pair to their midpoint, 68 times in all.
+A wider threshold, up to 7 bits, covers four quarters with the code of all points
+(radius 0): a linked pair differs in at most one bit of some quarter, so each
+fingerprint goes to the anchors within radius plus local threshold (0 + 1), 17 a quarter.
 
 Inside an anchor only a spanning forest of its links is kept (component id is all
 that is asked), so a dense group of K fingerprints gives K - 1 rows, not K^2.
 
 With a ``similarity`` a SimHash link is only a candidate: two distinct texts link if
 their fingerprints do and the Jaccard similarity of their sets of ``VERIFIED`` = 5
-words reaches it. No candidate is left out: an anchor with few of them gives its
-pairs, and the texts of anchors with more are compared block against block.
+words reaches it. A text then has two fingerprints, of its distinct words and of its
+distinct pairs of words, which a few edits change least; either may link. No candidate is left out: an anchor with few of them gives its
+pairs, and the texts of anchors with more are compared block against block. Members of
+an anchor are ordered by the size of their sets, and only sizes that allow the
+similarity are compared.
 
 Defined results
 - null and empty texts, or texts without words: fingerprint 0, linked like others
@@ -46,6 +50,7 @@ SEED = 42
 #: Fixed value: generator polynomial of the binary Golay code [23,12].
 GOLAY = 0b110001110101
 LINES = 256  # rows of a large anchor compared at once
+FEATURES = (1, 2)  # words of the features of the two fingerprints of verified links
 VERIFIED = 5  # words of a shingle in the exact comparison
 PAIRS = 8  # an anchor with more candidate pairs than this a text is compared by blocks
 
@@ -60,11 +65,12 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half the shingle hashes."""
+def fingerprint(text: str | None, size: int = SHINGLE, distinct: bool = False) -> int:
+    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half the hashes of all (or the ``distinct``) shingles."""
     found = shingles((text or "").encode().lower().split(), size)
     if not found:
         return 0
+    found = list(set(found)) if distinct else found
     h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65536):
@@ -72,20 +78,30 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, counted: bool = False) -> DataFrame:
-    """doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long) for every document.
-
-    ``counted`` adds n, the number of distinct shingles of ``VERIFIED`` words.
-    """
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long) for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(2)), np.uint64, b.num_rows)
-            n = [pa.array([len(shingle_set(t.as_py())) for t in b.column(2)], pa.int32())] if counted else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), *n], names=["doc_id", "th", "fp", "n"][: 3 + counted])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return storage.spread(docs).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long")
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, th, fp and fp2 (fingerprints of the distinct words and pairs of words), n (distinct runs of ``VERIFIED`` words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fps = [pa.array(np.fromiter((fingerprint(t, size, True) for t in texts), np.uint64, len(texts)).view(np.int64)) for size in FEATURES]
+            n = pa.array([len(shingle_set(t)) for t in texts], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps, n], names=["doc_id", "th", "fp", "fp2", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long" + ", n int" * counted)
+    return storage.spread(docs).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long, fp2 long, n int")
 
 
 class Anchors:
@@ -131,25 +147,25 @@ class Anchors:
         return np.concatenate([row, np.repeat(np.arange(len(half)), 9)]), code, np.concatenate([k == 0, np.zeros(9 * len(half), bool)])
 
 
-class Midpoints:
-    """All points of a quarter (16 bits, radius 0): two within 2 bits share a point within 1 of both."""
+class Points:
+    """All points of a quarter (16 bits, radius 0), for pairs within 1 bit of it."""
 
     def replicas(self, quarter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         near = np.r_[0, 1 << np.arange(16)]
-        return np.repeat(np.arange(len(quarter)), 17), (quarter[:, None] ^ near).ravel(), np.ones(17 * len(quarter), bool)
+        return np.repeat(np.arange(len(quarter)), 17), (quarter[:, None] ^ near).ravel(), np.tile(near == 0, len(quarter))
 
 
 def replicate(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """anchor, fp, home: every distinct fingerprint at all its anchors.
 
-    Up to 3 bits two halves are covered by the Golay code; up to 11 bits, where a
-    pair differs in at most 2 bits of some quarter, four quarters by all points.
+    Up to 3 bits two halves are covered by the Golay code; up to 7 bits, where a
+    pair differs in at most one bit of some quarter, four quarters by all points.
     """
-    if threshold > 11:
-        raise ValueError("at most 11 differing bits")
+    if threshold > 7:
+        raise ValueError("at most 7 differing bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, parts = (Anchors(), 2) if threshold <= 3 else (Midpoints(), 4)
+        code, parts = (Anchors(), 2) if threshold <= 3 else (Points(), 4)
         bits = 64 // parts
         for b in batches:
             all_fps = b.column(0).to_numpy(zero_copy_only=False)
@@ -235,8 +251,13 @@ def _near(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, thresho
     return (np.bitwise_count(bits[i] ^ bits[j]) <= threshold) & ((high == 0) | (low / np.maximum(high, 1) >= similarity))
 
 
-def _candidates(anchor: np.ndarray, th: np.ndarray, fp: np.ndarray, n: np.ndarray, threshold: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b, dense: each anchor's candidate pairs, or a spanning forest of them where they are many; rows come sorted by anchor."""
+def _span(sizes: np.ndarray, least: int, most: int, similarity: float) -> tuple[int, int]:
+    """The range of sorted ``sizes`` that can reach the similarity with any size from ``least`` to ``most``."""
+    return int(np.searchsorted(sizes, np.floor(least * similarity))), int(np.searchsorted(sizes, np.ceil(most / similarity), side="right"))
+
+
+def _candidates(anchor: np.ndarray, th: np.ndarray, fp: np.ndarray, n: np.ndarray, home: np.ndarray, threshold: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, dense: each anchor's candidate pairs, or a spanning forest of them where they are many; rows come sorted by anchor and n."""
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[start, len(anchor)])
     end, group = np.repeat(start + sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)
@@ -247,16 +268,18 @@ def _candidates(anchor: np.ndarray, th: np.ndarray, fp: np.ndarray, n: np.ndarra
         i = np.flatnonzero(few & (np.arange(len(anchor)) + step < end))
         if not len(i):
             break
-        i = i[_near(bits, n, i, i + step, threshold, similarity)]
+        i = i[(home[i] | home[i + step]) & _near(bits, n, i, i + step, threshold, similarity)]
         found += np.bincount(group[i], minlength=len(sizes))
         left.append(i)
         right.append(i + step)
     for g in np.flatnonzero(sizes > LINES).tolist():
         a, m = int(start[g]), int(sizes[g])
-        for k in range(a, a + m, LINES):
-            rows = np.arange(k, min(k + LINES, a + m))
-            i, j = np.repeat(rows, a + m - k), np.tile(np.arange(k, a + m), len(rows))
-            keep = (i < j) & _near(bits, n, i, j, threshold, similarity)
+        mine = a + np.flatnonzero(home[a : a + m])
+        for k in range(0, len(mine), LINES):
+            rows = mine[k : k + LINES]
+            low, high = _span(n[a : a + m], n[rows[0]], n[rows[-1]], similarity)
+            i, j = np.repeat(rows, high - low), np.tile(np.arange(a + low, a + high), len(rows))
+            keep = (i != j) & ~(home[j] & (j < i)) & _near(bits, n, i, j, threshold, similarity)
             i, j = i[keep], j[keep]
             found[g] += len(i)
             components.merge_labels(label, i, j)
@@ -276,14 +299,15 @@ def candidates(nodes: DataFrame, threshold: int, similarity: float) -> DataFrame
     """a, b (text hashes), dense: all candidate pairs; of dense anchors a spanning forest of them."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Midpoints()
+        code = Points()
         for b in batches:
             for at in range(0, b.num_rows, 16384):
                 part = b.slice(at, 16384)
-                bits = part.column(1).to_numpy().view(np.uint64)
-                for side in range(4):
-                    row, anchor, _ = code.replicas((bits >> np.uint64(16 * side) & np.uint64(0xFFFF)).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | side << 32), *(c.take(pa.array(row)) for c in part.columns)], names=["anchor", "th", "fp", "n"])
+                th, *fps, n = part.columns
+                for side in range(8):
+                    fp = fps[side // 4]
+                    row, anchor, home = code.replicas((fp.to_numpy().view(np.uint64) >> np.uint64(16 * (side % 4)) & np.uint64(0xFFFF)).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | side << 32), *(c.take(pa.array(row)) for c in (th, fp, n)), pa.array(home)], names=["anchor", "th", "fp", "n", "home"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, rows, enough = [], 0, 200_000
@@ -300,16 +324,16 @@ def candidates(nodes: DataFrame, threshold: int, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(dense)], names=["a", "b", "dense"])
 
         for b in batches:
-            kept.append(tuple(c.to_numpy() for c in b.columns))
+            kept.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
             rows += b.num_rows
             if rows > enough:
                 yield from flush(False)
         yield from flush(True)
 
-    if threshold > 11:
-        raise ValueError("at most 11 differing bits")
-    placed = nodes.select("th", "fp", "n").mapInArrow(spread, "anchor long, th long, fp long, n int")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long, dense boolean").distinct()
+    if threshold > 7:
+        raise ValueError("at most 7 differing bits")
+    placed = nodes.select("th", "fp", "fp2", "n").mapInArrow(spread, "anchor long, th long, fp long, n int, home boolean")
+    return placed.repartition("anchor").sortWithinPartitions("anchor", "n").mapInArrow(run, "a long, b long, dense boolean").distinct()
 
 
 def _compared(found: DataFrame) -> DataFrame:
@@ -326,17 +350,19 @@ def _compared(found: DataFrame) -> DataFrame:
 
 
 def verified_links(docs: DataFrame, each: DataFrame, threshold: int, similarity: float) -> DataFrame:
-    """a, b: text hashes that keep everything connected whose link is verified; ``each`` has th, fp, n."""
-    nodes = storage.materialize(each.select("th", "fp", "n").distinct(), "texts")
+    """a, b: text hashes that keep everything connected whose link is verified; ``each`` has th, fp, fp2, n."""
+    nodes = storage.materialize(each.select("th", "fp", "fp2", "n").distinct(), "texts")
     found = storage.materialize(candidates(nodes, threshold, similarity), "candidates")
 
-    def linked(rows: list[tuple[int, int, str | None]]) -> pa.RecordBatch:
-        th, bits = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        sets = [shingle_set(r[2]) for r in rows]
+    def linked(rows: list[tuple[int, int, int, str | None]]) -> pa.RecordBatch:
+        th, *both = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        both = [x.view(np.uint64) for x in both]
+        sets = [shingle_set(r[3]) for r in rows]
         n, label = np.array([len(s) for s in sets]), np.arange(len(rows))
         for i in range(len(rows)):
             j = np.arange(i + 1, len(rows))
-            for k in j[_near(bits, n, np.full(len(j), i), j, threshold, similarity)].tolist():
+            one = np.full(len(j), i)
+            for k in j[_near(both[0], n, one, j, threshold, similarity) | _near(both[1], n, one, j, threshold, similarity)].tolist():
                 if label[i] == label[k]:
                     continue
                 common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
@@ -359,13 +385,13 @@ def verified_links(docs: DataFrame, each: DataFrame, threshold: int, similarity:
 
     members = storage.materialize(_compared(found).distinct(), "compared")
     texts = docs.select(F.xxhash64("text").alias("th"), "text").groupBy("th").agg(F.first("text").alias("text")).join(members.select("th").distinct(), "th", "left_semi")
-    told = members.join(texts, "th").join(nodes.select("th", "fp"), "th").select("task", "th", "fp", "text")
+    told = members.join(texts, "th").join(nodes.select("th", "fp", "fp2"), "th").select("task", "th", "fp", "fp2", "text")
     return told.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified_groups(docs: DataFrame, size: int, threshold: int, similarity: float) -> DataFrame:
+def verified_groups(docs: DataFrame, threshold: int, similarity: float) -> DataFrame:
     """doc_id, th, root: ``root`` is one text's hash of each component of verified links."""
-    each = storage.materialize(fingerprints(docs, size, True), "fingerprints")
+    each = storage.materialize(profiles(docs), "profiles")
     roots = components.connected_components(verified_links(docs, each, threshold, similarity)).select(F.col("node").alias("th"), "root")
     return each.select("doc_id", "th").join(roots, "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
 
@@ -381,11 +407,12 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD,
     """One row of each component, with its columns as they were: the smallest non-null doc_id.
 
     Of several texts with that id the one with the least hash stays, of repeated rows any one.
-    With a ``similarity`` links are verified.
+    With a ``similarity`` links are verified, and ``FEATURES`` stand for ``size``.
     """
-    grouped = groups(docs, size, threshold) if similarity is None else verified_groups(docs, size, threshold, similarity)
+    grouped = groups(docs, size, threshold) if similarity is None else verified_groups(docs, threshold, similarity)
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__kept")).distinct()
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    chosen = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__th"] == kept["__kept"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    kept = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th")).distinct()
+    th = storage.unused(docs, "th")[0]
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    chosen = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed[th] == kept["kept_th"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", th]).drop(th)
