@@ -2,17 +2,19 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 every stage as Parquet in the shared folder and reads it back as the next input, so
-a lost executor costs at most one stage.
+a lost executor costs at most one stage. Tables of earlier stages are deleted once the
+next one is written.
 
 1. language ID: documents without a language (null, empty or letterless text), or
-   whose best language is less likely than ``MIN_LANGUAGE_SCORE``, go
+   whose best language has less than ``MIN_LANGUAGE_SCORE`` of the weight, go
 2. SimHash near-dedup: one document of each group stays, the smallest doc_id. Texts
-   whose three-word fingerprints differ in at most ``NEAR_BITS`` bits are candidates;
-   two link if the Jaccard similarity of their five-word sets is ``NEAR_SIMILARITY``
-   or more
+   whose fingerprints (of distinct words, or of distinct pairs of words) differ in at
+   most ``NEAR_BITS`` bits are candidates; two link if the Jaccard similarity of their five-word sets is
+   ``NEAR_SIMILARITY`` or more
 3. suffix-array dedup: strings of 200 bytes or more that occur twice are cut out
 4. benchmark decontamination: documents that hold a benchmark item go
-5. SentencePiece: the kept documents' ids and the text that they decode to
+5. SentencePiece: of each kept document its id, language and source, the piece ids, the
+   text that they decode to, and their number and digests
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, langid, pieces, simhash, storage, suffix
 from tidemark.llm.queries import tokenizer_path
 
-MIN_LANGUAGE_SCORE = 0.3
-NEAR_BITS = 11
+MIN_LANGUAGE_SCORE = 0.5
+NEAR_BITS = 7
 NEAR_SIMILARITY = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where("lang is not null").select("doc_id", "text", "lang"))
-    judged = langid.predict(docs, model, *docs.columns, names=("__lang", "__score"))
-    return judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = storage.unused(docs, "lang_pred", "score")
+    judged = langid.predict(docs, model, *docs.columns, names=(lang, score))
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(docs, tokenizer_path(), "doc_id")
+    return pieces.round_trip(docs, tokenizer_path(), *[c for c in ("doc_id", "lang", "source") if c in docs.columns], whole=True)
 
 
 STAGES = [
@@ -65,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = storage.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        storage.clear(spark, docs)
     return docs

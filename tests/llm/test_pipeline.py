@@ -6,7 +6,7 @@ import sentencepiece
 import corpus_pipeline
 from tidemark.llm.queries import QUERIES, tokenizer_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, th int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, `__th` int"
 
 
 def test_every_stage_takes_effect(spark, tmp_path):
@@ -29,7 +29,9 @@ def test_every_stage_takes_effect(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, table, str(tmp_path)).columns == columns
         assert stage(spark, table.limit(0), str(tmp_path)).collect() == []
-    got = {x["doc_id"]: (x["n_tokens"], x["decoded_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {x["doc_id"]: (x["n_tokens"], x["decoded_sha256"]) for x in rows}
+    assert all(len(x["ids"]) == x["n_tokens"] and hashlib.sha256(x["decoded"].encode()).hexdigest() == x["decoded_sha256"] for x in rows)
     want = {i: t for i, t in clean.items() if i != 5} | {36: docs[36][: -len(passage) - 1], None: docs[None], 35: ""}
     assert set(got) == set(want)
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
