@@ -304,8 +304,9 @@ def five(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("lines, pairs", [(256, 8), (5, 0)])
-def test_near_duplicates_are_verified(spark, monkeypatch, lines, pairs):
+@pytest.mark.parametrize("lines, pairs, block", [(256, 8, 4096), (5, 0, 4096), (5, 0, 7)])
+def test_near_duplicates_are_verified(spark, monkeypatch, lines, pairs, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
     monkeypatch.setattr(simhash, "LINES", lines)
     monkeypatch.setattr(simhash, "PAIRS", pairs, raising=False)
     r = random.Random(11)

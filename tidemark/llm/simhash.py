@@ -50,6 +50,7 @@ SEED = 42
 #: Fixed value: generator polynomial of the binary Golay code [23,12].
 GOLAY = 0b110001110101
 LINES = 256  # rows of a large anchor compared at once
+BLOCK_TEXTS, BLOCK_SHINGLES = 4_096, 2_000_000  # of a dense group in one block
 FEATURES = (1, 2)  # words of the features of the two fingerprints of verified links
 VERIFIED = 5  # words of a shingle in the exact comparison
 PAIRS = 8  # an anchor with more candidate pairs than this a text is compared by blocks
@@ -336,38 +337,74 @@ def candidates(nodes: DataFrame, threshold: int, similarity: float) -> DataFrame
     return placed.repartition("anchor").sortWithinPartitions("anchor", "n").mapInArrow(run, "a long, b long, dense boolean").distinct()
 
 
-def _compared(found: DataFrame) -> DataFrame:
-    """task, th: the texts to compare with each other, two for a pair and two blocks for a dense group."""
-    pairs = found.where("not dense").select(F.xxhash64("a", "b").alias("task"), F.explode(F.array("a", "b")).alias("th"))
+def _compared(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """task, th, side: the texts to compare, two for a pair and two blocks for a dense group.
+
+    side: 0 against 1 between two blocks, null where all are compared with each other.
+    Blocks have about ``BLOCK_TEXTS`` texts and ``BLOCK_SHINGLES`` shingles.
+    """
+    pairs = found.where("not dense").select(F.xxhash64("a", "b").alias("task"), F.explode(F.array("a", "b")).alias("th"), F.lit(None).cast("int").alias("side"))
     if found.where("dense").isEmpty():
         return pairs
-    member = components.connected_components(found.where("dense").select("a", "b"))
-    parts = member.groupBy("root").agg(F.ceil(F.count("*") / LINES).alias("parts"))
+    member = storage.materialize(components.connected_components(found.where("dense").select("a", "b")).join(nodes.select(F.col("th").alias("node"), "n"), "node"), "dense")
+    parts = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     own = member.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-    both = own.select("root", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    blocks = both.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.col("node").alias("th"))
+    both = own.select("root", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    blocks = both.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.col("node").alias("th"), F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int")).alias("side"))
     return pairs.unionByName(blocks)
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left shares with each on the right."""
+    sets = [*left, *right]
+    value, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(n > 1) - 1  # hashes of one set alone are shared by none
+    keep = n[place] > 1
+    row, column = row[keep], column[place[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [k, k + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - k] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def _verify(bits: list[np.ndarray], side: np.ndarray, sets: list[np.ndarray], threshold: int, similarity: float) -> np.ndarray:
+    """The component of each text by verified links; sides 0 and 1 are compared with each other only."""
+    n, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    first, second = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+    for k in range(0, len(first), LINES):
+        i = first[k : k + LINES]
+        for m in range(k if len(first) == len(sets) else 0, len(second), LINES):
+            j = second[m : m + LINES]
+            x, y = np.repeat(i, len(j)), np.tile(j, len(i))
+            may = (label[x] != label[y]) & (_near(bits[0], n, x, y, threshold, similarity) | _near(bits[1], n, x, y, threshold, similarity))
+            if not may.any():
+                continue
+            if may.sum() < LINES:
+                x, y = x[may], y[may]
+                common = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist())])
+            else:
+                common = _common([sets[p] for p in i.tolist()], [sets[q] for q in j.tolist()]).ravel()[may]
+                x, y = x[may], y[may]
+            alike = common >= similarity * (n[x] + n[y] - common) - 1e-9
+            components.merge_labels(label, x[alike], y[alike])
+    return label
+
+
 def verified_links(docs: DataFrame, each: DataFrame, threshold: int, similarity: float) -> DataFrame:
     """a, b: text hashes that keep everything connected whose link is verified; ``each`` has th, fp, fp2, n."""
     nodes = storage.materialize(each.select("th", "fp", "fp2", "n").distinct(), "texts")
     found = storage.materialize(candidates(nodes, threshold, similarity), "candidates")
 
-    def linked(rows: list[tuple[int, int, int, str | None]]) -> pa.RecordBatch:
-        th, *both = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        both = [x.view(np.uint64) for x in both]
-        sets = [shingle_set(r[3]) for r in rows]
-        n, label = np.array([len(s) for s in sets]), np.arange(len(rows))
-        for i in range(len(rows)):
-            j = np.arange(i + 1, len(rows))
-            one = np.full(len(j), i)
-            for k in j[_near(both[0], n, one, j, threshold, similarity) | _near(both[1], n, one, j, threshold, similarity)].tolist():
-                if label[i] == label[k]:
-                    continue
-                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                if not n[i] or common / (n[i] + n[k] - common) >= similarity:
-                    components.merge_labels(label, np.array([i]), np.array([k]))
+    def linked(rows: list[list]) -> pa.RecordBatch:
+        th, *bits = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        side = np.array([-1 if r[3] is None else r[3] for r in rows])
+        label = _verify([x.view(np.uint64) for x in bits], side, [shingle_set(r[4]) for r in rows], threshold, similarity)
         child = np.flatnonzero(label != np.arange(len(rows)))
         return pa.RecordBatch.from_arrays([pa.array(th[child]), pa.array(th[label[child]])], names=["a", "b"])
 
@@ -383,9 +420,9 @@ def verified_links(docs: DataFrame, each: DataFrame, threshold: int, similarity:
         if rows:
             yield linked(rows)
 
-    members = storage.materialize(_compared(found).distinct(), "compared")
+    members = storage.materialize(_compared(found, nodes).distinct(), "compared")
     texts = docs.select(F.xxhash64("text").alias("th"), "text").groupBy("th").agg(F.first("text").alias("text")).join(members.select("th").distinct(), "th", "left_semi")
-    told = members.join(texts, "th").join(nodes.select("th", "fp", "fp2"), "th").select("task", "th", "fp", "fp2", "text")
+    told = members.join(texts, "th").join(nodes.select("th", "fp", "fp2"), "th").select("task", "th", "fp", "fp2", "side", "text")
     return told.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
