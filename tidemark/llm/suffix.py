@@ -20,7 +20,8 @@ refined before it is dealt: its windows go by slices of their offset, each under
 bytes that all windows of the slice share. Which q-grams are split is told by a hashed
 sample of the documents; it changes where rows meet, never what is found.
 
-Text is shuffled once; all other rows are fixed-size numbers or stretches.
+Text is shuffled twice, to the rows of shared buckets and to the found windows; all
+other rows are fixed-size numbers or stretches.
 
 Defined results
 - null text: no bytes, nothing removed; texts under LENGTH bytes are kept whole
@@ -341,7 +342,9 @@ def repeated(docs: DataFrame, *keep: str, length: int = LENGTH) -> DataFrame:
     probed = of_doc.where(F.size("probes") > 0)
     found = decided(plain.join(probed.select("k1", "k2", "probes"), ["k1", "k2"]), length).groupBy("k1", "k2").agg(F.collect_list("at").alias("more"))
     none = F.array().cast("array<bigint>")
-    ats = of_doc.select("k1", "k2", "full").join(found, ["k1", "k2"], "left").select("k1", "k2", F.concat("full", F.coalesce("more", none)).alias("ats_"))
+    # written before the text is dealt once more, so that what the first dealing left can go
+    ats = storage.materialize(of_doc.select("k1", "k2", "full").join(found, ["k1", "k2"], "left").select("k1", "k2", F.concat("full", F.coalesce("more", none)).alias("ats_")), "runs")
+    storage.drop(of_doc)
     out = keyed.join(ats, (keyed[n1] == ats["k1"]) & (keyed[n2] == ats["k2"]), "left")
     return out.select(*[keyed[_quoted(c)] for c in names], F.coalesce(ats["ats_"], none).alias(storage.unused(docs, "ats")[0]))
 
