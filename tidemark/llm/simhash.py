@@ -20,8 +20,9 @@ that is asked), so a dense group of K fingerprints gives K - 1 rows, not K^2.
 With a ``similarity`` a SimHash link is only a candidate: two distinct texts link if
 their fingerprints do and the Jaccard similarity of their sets of ``VERIFIED`` = 5
 words reaches it. A text then has two fingerprints, of its distinct words and of its
-distinct pairs of words, which a few edits change least; either may link. No candidate is left out: an anchor with few of them gives its
-pairs, and the texts of anchors with more are compared block against block. Members of
+distinct pairs of words, which a few edits change least; either may link. No candidate is left out: a text with few of them is
+compared pair by pair, the texts of anchors with more, and texts with more in all, block
+against block. Members of
 an anchor are ordered by the size of their sets, and only sizes that allow the
 similarity are compared.
 
@@ -53,7 +54,7 @@ LINES = 256  # rows of a large anchor compared at once
 BLOCK_TEXTS, BLOCK_SHINGLES = 4_096, 2_000_000  # of a dense group in one block
 FEATURES = (1, 2)  # words of the features of the two fingerprints of verified links
 VERIFIED = 5  # words of a shingle in the exact comparison
-PAIRS = 8  # an anchor with more candidate pairs than this a text is compared by blocks
+PAIRS = 8  # an anchor with more candidate pairs than this a text, or a text with more pairs, is compared by blocks
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -337,16 +338,27 @@ def candidates(nodes: DataFrame, threshold: int, similarity: float) -> DataFrame
     return placed.repartition("anchor").sortWithinPartitions("anchor", "n").mapInArrow(run, "a long, b long, dense boolean").distinct()
 
 
+def _by_degree(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(few, many): pairs of texts with at most ``PAIRS`` pairs each, and all other candidate links."""
+    single = found.where("not dense").select("a", "b")
+    busy = single.select(F.explode(F.array("a", "b")).alias("th")).groupBy("th").count().where(F.col("count") > PAIRS).select("th")
+    told = storage.materialize(
+        single.join(busy.select(F.col("th").alias("a"), F.lit(True).alias("busy_a")), "a", "left").join(busy.select(F.col("th").alias("b"), F.lit(True).alias("busy_b")), "b", "left")
+        .select("a", "b", F.coalesce("busy_a", "busy_b", F.lit(False)).alias("busy")), "pairs")
+    return told.where("not busy").select("a", "b"), found.where("dense").select("a", "b").unionByName(told.where("busy").select("a", "b"))
+
+
 def _compared(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """task, th, side: the texts to compare, two for a pair and two blocks for a dense group.
 
     side: 0 against 1 between two blocks, null where all are compared with each other.
     Blocks have about ``BLOCK_TEXTS`` texts and ``BLOCK_SHINGLES`` shingles.
     """
-    pairs = found.where("not dense").select(F.xxhash64("a", "b").alias("task"), F.explode(F.array("a", "b")).alias("th"), F.lit(None).cast("int").alias("side"))
-    if found.where("dense").isEmpty():
+    few, many = _by_degree(found)
+    pairs = few.select(F.xxhash64("a", "b").alias("task"), F.explode(F.array("a", "b")).alias("th"), F.lit(None).cast("int").alias("side"))
+    if many.isEmpty():
         return pairs
-    member = storage.materialize(components.connected_components(found.where("dense").select("a", "b")).join(nodes.select(F.col("th").alias("node"), "n"), "node"), "dense")
+    member = storage.materialize(components.connected_components(many).join(nodes.select(F.col("th").alias("node"), "n"), "node"), "dense")
     parts = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     own = member.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
     both = own.select("root", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
