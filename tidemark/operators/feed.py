@@ -26,8 +26,8 @@ def parse(messages: DataFrame, raw: str = "raw") -> DataFrame:
     parsing of all fields.
     """
     kind = F.get_json_object(raw, "$.type")
-    routes = F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])
-    route = F.when(kind.isin(*IGNORED), "ignored").otherwise(F.coalesce(F.try_element_at(routes, kind), F.lit("invalid")))
+    routes = F.create_map(*[F.lit(x) for kv in (ROUTES | dict.fromkeys(IGNORED, "ignored")).items() for x in kv])
+    route = F.coalesce(F.try_element_at(routes, kind), F.lit("invalid"))
     return messages.select("*", route.alias("route"), F.from_json(raw, SCHEMA).alias("m")).select(*messages.columns, "route", "m.*")
 
 
