@@ -3,6 +3,7 @@ import itertools
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -336,6 +337,43 @@ def test_near_duplicates_are_verified(spark, monkeypatch, lines, pairs, block):
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
 
 
+@pytest.mark.parametrize("lines, pairs", [(256, 8), (4, 1), (4, 0), (30, 2)])
+def test_candidates_of_an_anchor_keep_every_link(monkeypatch, lines, pairs):
+    """Against all pairs: pairs listed are links, few a text, and what is listed connects what all links connect."""
+    monkeypatch.setattr(simhash, "LINES", lines)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    r = np.random.default_rng(5)
+    rows = []
+    for anchor, size in enumerate([1, 2, 40, 9, 25]):
+        centre = r.integers(0, 1 << 62, 3)
+        for k in range(size):  # anchor 2 has a dense group, the others sparse ones
+            fp = int(centre[0 if anchor == 2 and k < 30 else k % 3]) ^ sum(1 << int(b) for b in set(r.integers(0, 62, 3 if anchor == 2 else 5)))
+            rows.append((anchor, 1000 * anchor + k, fp, int(r.integers(80, 110)), bool(r.random() < 0.7)))
+    rows.sort(key=lambda x: (x[0], x[3]))
+    kinds = (np.int64, np.int64, np.int64, np.int32, bool)
+    a, b, dense = simhash._candidates(*(np.array(c, t) for c, t in zip(zip(*rows), kinds)), 7, 0.8)
+    of = {t: (anchor, fp, n, home) for anchor, t, fp, n, home in rows}
+
+    def linked(x, y):
+        (g, p, n, h), (k, q, m, i) = of[x], of[y]
+        return x != y and g == k and (h or i) and (p ^ q).bit_count() <= 7 and min(n, m) >= 0.8 * max(n, m)
+
+    def sets(links):
+        label = {t: t for t in of}
+        for x, y in links:
+            old, new = label[y], label[x]
+            label = {t: new if v == old else v for t, v in label.items()}
+        return {frozenset(t for t in label if label[t] == v) for v in label.values()}
+
+    every = [(x, y) for x in of for y in of if x < y and linked(x, y)]
+    listed = [(int(x), int(y)) for x, y, d in zip(a, b, dense) if not d]
+    assert every and all(linked(x, y) for x, y in listed) and len(listed) == len({frozenset(p) for p in listed})
+    assert max(Counter(t for p in listed for t in p).values(), default=0) <= pairs
+    assert sets(every) == sets(zip(a.tolist(), b.tolist())) and int(dense.sum()) < len(of)
+    inside = sets([(int(x), int(y)) for x, y, d in zip(a, b, dense) if d])  # a pair that is not listed is in one of these
+    assert all((x, y) in listed or (y, x) in listed or any({x, y} <= g for g in inside) for x, y in every)
+
+
 def test_url_rules_see_every_label_and_segment(spark):
     rows = [(i, f"https://{'w' if i % 2 else 'm'}.{'spam-farm' if i < 12 else 'site%d' % (i % 5)}.example.org/a{i % 6}/x/b{i % 4}") for i in range(60)]
     rows += [(i, f"https://s{i % 7}.example.org/a{i % 6}/{'offers' if i < 72 else 'notes'}/b{i % 4}") for i in range(60, 100)]

@@ -21,8 +21,8 @@ With a ``similarity`` a SimHash link is only a candidate: two distinct texts lin
 their fingerprints do and the Jaccard similarity of their sets of ``VERIFIED`` = 5
 words reaches it. A text then has two fingerprints, of its distinct words and of its
 distinct pairs of words, which a few edits change least; either may link. No candidate is left out: a text with few of them is
-compared pair by pair, the texts of anchors with more, and texts with more in all, block
-against block. Members of
+compared pair by pair, one with more, in an anchor or in all, block against block with
+all texts that it reaches by such pairs; those pairs are never listed. Members of
 an anchor are ordered by the size of their sets, and only sizes that allow the
 similarity are compared.
 
@@ -54,7 +54,7 @@ LINES = 256  # rows of a large anchor compared at once
 BLOCK_TEXTS, BLOCK_SHINGLES = 4_096, 2_000_000  # of a dense group in one block
 FEATURES = (1, 2)  # words of the features of the two fingerprints of verified links
 VERIFIED = 5  # words of a shingle in the exact comparison
-PAIRS = 8  # an anchor with more candidate pairs than this a text, or a text with more pairs, is compared by blocks
+PAIRS = 8  # a text with more partners than this, in an anchor or in all, is compared by blocks
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -259,46 +259,46 @@ def _span(sizes: np.ndarray, least: int, most: int, similarity: float) -> tuple[
 
 
 def _candidates(anchor: np.ndarray, th: np.ndarray, fp: np.ndarray, n: np.ndarray, home: np.ndarray, threshold: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b, dense: each anchor's candidate pairs, or a spanning forest of them where they are many; rows come sorted by anchor and n."""
+    """a, b, dense: in each anchor the pairs of texts with at most ``PAIRS`` partners there, and a spanning forest of all other pairs (dense); rows come sorted by anchor and n."""
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[start, len(anchor)])
-    end, group = np.repeat(start + sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    end = np.repeat(start + sizes, sizes)
     label, bits = np.arange(len(anchor)), fp.view(np.uint64)
     few = np.repeat(sizes <= LINES, sizes)
-    left, right, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(sizes), np.int64)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for step in range(1, min(int(sizes.max(initial=1)), LINES)):
         i = np.flatnonzero(few & (np.arange(len(anchor)) + step < end))
         if not len(i):
             break
         i = i[(home[i] | home[i + step]) & _near(bits, n, i, i + step, threshold, similarity)]
-        found += np.bincount(group[i], minlength=len(sizes))
         left.append(i)
         right.append(i + step)
     for g in np.flatnonzero(sizes > LINES).tolist():
         a, m = int(start[g]), int(sizes[g])
-        mine = a + np.flatnonzero(home[a : a + m])
+        mine, held = a + np.flatnonzero(home[a : a + m]), []
         for k in range(0, len(mine), LINES):
             rows = mine[k : k + LINES]
             low, high = _span(n[a : a + m], n[rows[0]], n[rows[-1]], similarity)
             i, j = np.repeat(rows, high - low), np.tile(np.arange(a + low, a + high), len(rows))
             keep = (i != j) & ~(home[j] & (j < i)) & _near(bits, n, i, j, threshold, similarity)
-            i, j = i[keep], j[keep]
-            found[g] += len(i)
-            components.merge_labels(label, i, j)
-            if found[g] <= PAIRS * m:  # else the forest says it
-                left.append(i)
-                right.append(j)
+            held.append((i[keep], j[keep]))
+            if sum(len(x) for x, _ in held) > PAIRS * m:  # too many to hold: the forest says them
+                for x, y in held:
+                    components.merge_labels(label, x, y)
+                held = []
+        left += [x for x, _ in held]
+        right += [y for _, y in held]
     i, j = np.concatenate(left), np.concatenate(right)
-    dense = found > PAIRS * sizes
-    many = dense[group[i]]
+    degree = np.bincount(np.r_[i, j], minlength=len(anchor))
+    many = np.maximum(degree[i], degree[j]) > PAIRS
     components.merge_labels(label, i[many], j[many])
-    child = np.flatnonzero(dense[group] & (label != np.arange(len(label))))
+    child = np.flatnonzero(label != np.arange(len(label)))
     i, j = i[~many], j[~many]
     return np.r_[th[i], th[child]], np.r_[th[j], th[label[child]]], np.r_[np.zeros(len(i), bool), np.ones(len(child), bool)]
 
 
 def candidates(nodes: DataFrame, threshold: int, similarity: float) -> DataFrame:
-    """a, b (text hashes), dense: all candidate pairs; of dense anchors a spanning forest of them."""
+    """a, b (text hashes), dense: all candidate pairs; of the pairs of texts with many partners in an anchor a spanning forest."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Points()
