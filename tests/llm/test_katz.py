@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,27 +9,50 @@ from pyspark.sql import functions as F
 from tidemark.llm import katz
 
 
+def good_turing(counts):
+    """count -> discount factor, from the textbook formula; nothing of the module under test."""
+    n = Counter(counts)
+    for k in (5, 4, 3, 2, 1):
+        if any(n[r] == 0 for r in range(1, k + 2)):
+            continue
+        tail = (k + 1) * n[k + 1] / n[1]
+        if tail >= 1:
+            continue
+        factor = {r: ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) for r in range(1, k + 1)}
+        if all(0 < f < 1 for f in factor.values()):
+            return lambda c, factor=factor: factor.get(c, 1.0)
+    return lambda c: (c - 0.5) / c if c <= 5 else 1.0
+
+
+def tokens(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lower)
+
+
 def model(train):
-    words, pairs = Counter(), Counter()
+    words, after, pairs = Counter(), {}, Counter()
     for t in train:
-        code = ["<s>", *katz.words_of(t), "</s>"]
+        code = ["<s>", *tokens(t), "</s>"]
         words.update(code[1:])
         pairs.update(zip(code, code[1:]))
-    total = sum(words.values())
-    hist = lambda c: [sum(v == r for v in c.values()) for r in range(1, katz.GT_MAX + 2)]
-    uni, d = katz.Words.of(total, hist(words)), katz.discounts(hist(pairs))
-    p1 = lambda w: float(uni.p(np.array([words[w]]))[0])
-    after = {}
     for (v, w), n in pairs.items():
         after.setdefault(v, {})[w] = n
+    total, uni, bi = sum(words.values()), good_turing(words.values()), good_turing(pairs.values())
+    known = {w: c * uni(c) / total for w, c in words.items()}
+    unseen = 1 - sum(known.values())
+    if unseen < 1e-12:  # nothing taken off: one more token
+        known, unseen = {w: c / (total + 1) for w, c in words.items()}, 1 / (total + 1)
+    p1 = lambda w: known.get(w, unseen)
 
     def p2(v, w):
         if v not in after:
             return p1(w)
-        n = sum(after[v].values())
-        cut = {x: c * (d[c] if c <= katz.GT_MAX else 1.0) for x, c in after[v].items()}
-        scale, a = katz.weights(np.array([float(n)]), np.array([sum(cut.values())]), np.array([sum(map(p1, cut))]))
-        return float(scale[0]) * cut[w] / n if w in cut else float(a[0]) * p1(w)
+        n, seen = sum(after[v].values()), {x: c * bi(c) for x, c in after[v].items()}
+        share = sum(seen.values()) / n
+        if share > 1 - 1e-9:  # as above, for this context
+            seen = {x: c * n / (n + 1) for x, c in seen.items()}
+            share = n / (n + 1)
+        return seen[w] / n if w in seen else (1 - share) * p1(w) / (1 - sum(map(p1, seen)))
 
     return words, total, p2
 
@@ -49,7 +73,7 @@ def test_equals_direct_evaluation_and_sums_to_one(spark, monkeypatch, hot):
         assert math.isclose(sum(p(v, w) for w in [*words, "never seen"]), 1, rel_tol=1e-9), v
     want = []
     for i, t, out in rows:
-        code = ["<s>", *katz.words_of(t), "</s>"]
+        code = ["<s>", *tokens(t), "</s>"]
         base = sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in code[1:])
         want.append((i, out, len(code) - 1, sum(words[w] > 0 for w in code[1:]), total, base, sum(math.log10(p(v, w)) for v, w in zip(code, code[1:]))))
     want.sort(key=str)
