@@ -67,12 +67,17 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, distinct: bool = False) -> int:
-    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half the hashes of all (or the ``distinct``) shingles."""
-    found = shingles((text or "").encode().lower().split(), size)
+def runs(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
+    """The distinct runs of ``size`` words, as tuples; the whole sequence if it is shorter."""
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(size))))
+
+
+def _majority(found: list[bytes]) -> int:
+    """The bits set in over half the hashes of ``found``; 0 for none."""
     if not found:
         return 0
-    found = list(set(found)) if distinct else found
     h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65536):
@@ -80,6 +85,11 @@ def fingerprint(text: str | None, size: int = SHINGLE, distinct: bool = False) -
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half the hashes of all shingles."""
+    return _majority(shingles((text or "").encode().lower().split(), size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long) for every document."""
 
@@ -97,10 +107,12 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            fps = [pa.array(np.fromiter((fingerprint(t, size, True) for t in texts), np.uint64, len(texts)).view(np.int64)) for size in FEATURES]
-            n = pa.array([len(shingle_set(t)) for t in texts], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps, n], names=["doc_id", "th", "fp", "fp2", "n"])
+            fps, n = np.zeros((len(FEATURES), b.num_rows), np.uint64), np.zeros(b.num_rows, np.int32)
+            for i, text in enumerate(b.column(2)):
+                words = (text.as_py() or "").encode().lower().split()
+                fps[:, i] = [_majority([b" ".join(r) for r in runs(words, size)]) for size in FEATURES]
+                n[i] = len(runs(words, VERIFIED))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, fps.view(np.int64)), pa.array(n)], names=["doc_id", "th", "fp", "fp2", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return storage.spread(docs).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long, fp2 long, n int")
