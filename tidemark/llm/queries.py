@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, katz, langid, pieces, sharding, simhash, storage, suffix, topk, urls
+from tidemark.llm import bpe, chat, decontaminate, katz, langid, pieces, sharding, simhash, storage, suffix, topk, urls, variants, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +133,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_katz")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_read(spark, sf_dir, "documents"), held_out(7, 2))
+
+
+@_query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), 8)
+
+
+def misspelt(doc_id: str, run: str) -> str:
+    """The contract's damage: a run loses one code point where 97 divides the checksum of ``doc_id:run``."""
+    h = zlib.crc32(f"{doc_id}:{run}".encode())
+    return run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+@_query("op12_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.count_words(_read(spark, sf_dir, "documents"), change=misspelt))
+
+
+@_query("op13_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), "doc_id")
