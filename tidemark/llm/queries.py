@@ -140,10 +140,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"), 8)
 
 
-def misspelt(doc_id: str, run: str) -> str:
-    """The contract's damage: a run loses one code point where 97 divides the checksum of ``doc_id:run``."""
-    h = zlib.crc32(f"{doc_id}:{run}".encode())
-    return run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+def misspelt(ids: list[str], runs: list[str]) -> list[str]:
+    """The contract's damage: a run loses one code point where 97 divides the checksum of ``id:run``."""
+    begun = {d: zlib.crc32(f"{d}:".encode()) for d in set(ids)}
+    out = list(runs)
+    for i, (d, run) in enumerate(zip(ids, runs)):
+        h = zlib.crc32(run.encode(), begun[d])
+        if not h % 97:
+            out[i] = run[: h % len(run)] + run[h % len(run) + 1 :]
+    return out
 
 
 @_query("op12_variants")
