@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scalar as S
-from tidemark.operators import book, feed, quality, sample, select, summary
+from tidemark.operators import book, feed, pages, quality, sample, select, summary
 from tidemark.sources import tables
-from tidemark.streaming import live
+from tidemark.streaming import kept, keyed, live
 
 T0 = dt.datetime(2024, 1, 1)
 TRADE = "timestamp timestamp_ntz, exchange string, symbol string, price double, size double, side string, trade_id string"
@@ -152,7 +152,7 @@ def test_streams_grow_and_equal_batch(spark, tmp_path):
     kind = part(0, 1).schema
     for n, (a, b) in enumerate([(0, 25), (25, 60)], 1):
         part(a, b).write.mode("append").parquet(src)
-        live.ingest(live.live_table(spark, src, kind), table, ledger, str(tmp_path / "c1")).awaitTermination()
+        kept.ingest(live.live_table(spark, src, kind), table, ledger, str(tmp_path / "c1")).awaitTermination()
         log = spark.read.schema(schemas.LEDGER).parquet(ledger)
         assert log.count() == n and log.agg(F.sum("row_count")).first()[0] == b
     assert [r["row_count"] for r in live.changes_since(log, 0).collect()] == [35]
@@ -184,13 +184,13 @@ def test_streaming_book_state_over_many_batches(spark, tmp_path):
 
 
 def test_streaming_sequence_over_batches(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src = str(tmp_path / "src")
     rows = [("B", i, s, s == 9) for i, s in enumerate([1, 2, 2, 3, 6, 5, 7, 9, 10, 12])]
     df = spark.createDataFrame(rows, "symbol string, event_id long, seq long, snapshot boolean")
     for part in ("event_id < 5", "event_id >= 5"):
         df.where(part).coalesce(1).write.mode("append").parquet(src)
-    live.run_once(live.sequenced(live.live_table(spark, src, df.schema, max_files=1)), str(tmp_path / "o"), str(tmp_path / "c"))
+    with keyed.rocksdb(spark):
+        live.run_once(keyed.sequenced(live.live_table(spark, src, df.schema, max_files=1)), str(tmp_path / "o"), str(tmp_path / "c"))
     got = [r["status"] for r in spark.read.parquet(str(tmp_path / "o")).orderBy("event_id").collect()]
     assert got == ["ok", "ok", "stale", "ok", "gap", "stale", "blank", "ok", "ok", "gap"]
 
@@ -238,3 +238,172 @@ def test_series_json_in_chunks(spark):
     df = spark.createDataFrame([("K", at(60 * i), float(i)) for i in range(30)], "exchange string, timestamp timestamp_ntz, price double")
     rows = summary.series_json(summary.series_chunks(df, ["K"], 600)).orderBy("chunk").collect()
     assert len(rows) >= 3 and sum(r["json"].count("time") for r in rows) == 30
+
+
+# Keyed state and kept tables ---------------------------------------------------------------------
+
+def arriving(spark, path, df, *parts):
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(path)
+    return live.live_table(spark, path, df.schema, max_files=1)
+
+
+def test_stream_order_types_come_out_after_the_watermark(spark, tmp_path):
+    said = [(1, "x", 2, "limit"), (3, "x", 5, "stop"), (90, "y", 40, "late"), (60, "x", 30, "market")]
+    asks = [(0, "x", 1, "a"), (2, "x", 4, "b"), (5, "x", 5, "c"), (6, "x", 6, "d"), (7, None, 7, "e"), (8, "z", 8, "f"), (70, "x", 31, "g"), (100, "x", 50, "h")]
+    rows = [(at(s), o, n, None, k, True) for s, o, n, k in said] + [(at(s), o, n, t, None, False) for s, o, n, t in asks]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, id string, sequence long, trade_id string, order_type string, received boolean")
+    stream = arriving(spark, str(tmp_path / "s"), df, "sequence in (4, 6, 31, 1)", "sequence in (2, 5, 7, 8)", "sequence in (30, 40)", "sequence = 50")
+    trades_ = stream.where("not received").withColumnRenamed("id", "taker_order_id")
+    heard = stream.where("received").withColumnRenamed("id", "order_id")
+    with keyed.rocksdb(spark):
+        q = live.run_once(keyed.order_types(trades_, heard, "120s", "1d"), str(tmp_path / "none"), str(tmp_path / "c0"))
+        assert spark.read.parquet(str(tmp_path / "none")).count() == 0  # nothing is past the watermark
+        q = live.run_once(keyed.order_types(trades_, heard, "80s", "1d", 2), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = {r["trade_id"]: r["order_type"] for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {"a": None, "b": "limit", "c": "limit", "d": "stop", "e": None, "f": None}
+    assert spark.conf.get(keyed.PROVIDER) != keyed.ROCKSDB and q.exception() is None
+
+
+def test_stream_orders_equal_batch_and_leave_the_state(spark, tmp_path):
+    rows = [(1, "a", "match", 5, 1), (2, "a", "change", 5, 3), (3, "a", "open", 5, 10), (4, "a", "match", 5, 4), (5, "a", "match", 5, 9), (6, "a", "match", 5, 1), (7, "a", "open", 6, 2), (8, "a", "done", None, 0), (9, "b", "open", 7, 1), (10, "b", "change", 7, 8), (11, "b", "done", 7, 0), (12, "c", "open", 9, 4), (13, "c", "open", 8, 3), (14, "c", "match", 8, 1)]
+    df = spark.createDataFrame(rows, "sequence long, order_id string, type string, price long, size long")
+    stream = arriving(spark, str(tmp_path / "s"), df, "sequence < 5", "sequence between 5 and 9", "sequence > 9")  # orders are split over batches
+    with keyed.rocksdb(spark):
+        q = live.run_once(keyed.order_transitions(stream, buckets=2), str(tmp_path / "o"), str(tmp_path / "c"))
+    columns = ["order_id", "sequence", "type", "price", "remaining"]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).select(*columns).collect())
+    assert got == sorted(tuple(r) for r in book.order_transitions(df).select(*columns).collect())
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # only order c lives
+
+
+def test_stream_levels_shrink_and_reset(spark, tmp_path):
+    rows = [(at(i), i, "K", "B", "bid", float(i), 1.0) for i in range(20)] + [(at(30 + i), 30 + i, "K", "B", "bid", float(i), 0.0) for i in range(15)]
+    rows += [(at(2), 100, "K", "B", "bid", 16.0, 0.0), (at(31), 60, "K", "E", "ask", 5.0, 2.0), (at(33), 61, "K", "E", "ask", 6.0, -1.0), (at(200), 200, "K", "E", "ask", 7.0, 2.0), (at(400), 400, "K", "F", "bid", 1.0, 1.0), (at(401), 401, "K", "F", "bid", 2.0, 1.0)]
+    df = spark.createDataFrame(rows, CHANGE)
+    parts = ("event_id between 30 and 99", "event_id < 30 or event_id = 100", "event_id = 200", "event_id = 400", "event_id = 401")  # deletions come before what they delete
+    with keyed.rocksdb(spark):
+        q = kept.keep_levels(keyed.book_levels(arriving(spark, str(tmp_path / "s"), df, *parts), delay="60s"), str(tmp_path / "b"), str(tmp_path / "c"))
+        got = sorted((r["symbol"], r["price"], r["amount"]) for r in kept.Versions(spark, str(tmp_path / "b")).read().collect())
+        assert got == [("B", float(p), 1.0) for p in range(15, 20)] + [("E", 5.0, 2.0), ("E", 7.0, 2.0), ("F", 1.0, 1.0), ("F", 2.0, 1.0)]
+        assert len(kept.Versions(spark, str(tmp_path / "b")).finished()) <= 2
+        totals = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+        assert max(totals) >= 20 and totals[-1] <= 9 + 1  # 15 deleted levels are forgotten
+        snap = F.col("event_id") == 40
+        stream = arriving(spark, str(tmp_path / "s2"), df, "event_id < 30", "event_id between 30 and 50", "event_id between 3 and 4")
+        kept.keep_levels(keyed.book_levels(stream.where(~snap), stream.where(snap).withColumn("amount", F.lit(9.0)), delay="600s"), str(tmp_path / "b2"), str(tmp_path / "c2"))
+    assert [(r["price"], r["amount"]) for r in kept.Versions(spark, str(tmp_path / "b2")).read().collect()] == [(10.0, 9.0)]
+
+
+def test_kept_rows_and_repeated_batches(spark, tmp_path):
+    rows = [(at(i), i) for i in range(50)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, event_id long")
+    stream = arriving(spark, str(tmp_path / "s"), df, "event_id >= 40", "event_id < 20", "event_id between 20 and 39")
+    kept.keep_last(stream, 15, str(tmp_path / "last"), str(tmp_path / "c"))
+    table = kept.Versions(spark, str(tmp_path / "last"))
+    assert sorted(r["event_id"] for r in table.read().collect()) == list(range(35, 50)) and table.finished() == [1, 2]
+    (tmp_path / "last" / f"v={3:012d}").mkdir()  # a version that was not finished
+    assert table.finished() == [1, 2] and table.read(2).count() == 15
+
+
+def test_exact_candles_rewrite_only_what_late_rows_touch(spark, tmp_path):
+    df = trades(spark, *[(20 * i, 10 + i % 7, 1, str(i)) for i in range(200)])
+    first, late = "size > 0 and (timestamp < timestamp_ntz'2024-01-01 00:05:00' or timestamp > timestamp_ntz'2024-01-01 00:06:00')", "timestamp between timestamp_ntz'2024-01-01 00:05:00' and timestamp_ntz'2024-01-01 00:06:00'"
+    out = str(tmp_path / "candles")
+    kept.keep_candles(arriving(spark, str(tmp_path / "s"), df, first), "5s", str(tmp_path / "r"), out, str(tmp_path / "c"), "10m")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "candles").rglob("*.parquet")}
+    kept.keep_candles(arriving(spark, str(tmp_path / "s"), df, late), "5s", str(tmp_path / "r"), out, str(tmp_path / "c"), "10m")
+    after = {p for p in (tmp_path / "candles").rglob("*.parquet")}
+    gone = {p.parent.name for p in before if p not in after}
+    assert len(gone) == 1 and len({p.parent.name for p in after}) == 7
+    batch = sample.candles(df, "5s")
+    got = spark.read.parquet(out).drop("span").select(*batch.columns)
+    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
+    with pytest.raises(ValueError):
+        kept.keep_candles(df, "7s", "", "", "", "10m")
+
+
+def test_ledger_is_observed_not_reread(spark, tmp_path):
+    df = trades(spark, (1, 1, 1, "a"), (5, 2, 1, "b"))
+    kept.ingest(arriving(spark, str(tmp_path / "s"), df, "true"), str(tmp_path / "t"), str(tmp_path / "l"), str(tmp_path / "c")).awaitTermination()
+    row = spark.read.schema(schemas.LEDGER).parquet(str(tmp_path / "l")).first()
+    assert (row["txn_id"], row["row_count"], row["min_ts"], row["max_ts"]) == (0, 2, at(1), at(5))
+
+
+def test_every_update_reaches_the_progress_table(spark, tmp_path):
+    path = str(tmp_path / "s")
+    df = spark.range(24).withColumnRenamed("id", "n")
+    stream = arriving(spark, path, df, *[f"n % 12 = {k}" for k in range(12)])
+    was = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    listener = kept.ProgressTable(spark, str(tmp_path / "p"), "counted")
+    spark.streams.addListener(listener)
+    try:
+        q = stream.writeStream.queryName("counted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("noop").start()
+        q.awaitTermination()
+        listener.finish()
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", was)
+    assert len(q.recentProgress) <= 3
+    assert [tuple(r) for r in listener.read().orderBy("batch_id").collect()] == [(i, 2, 2 * i, 2 * i + 2) for i in range(12)]
+    assert kept.ProgressTable(spark, str(tmp_path / "p"), "counted").size == 24
+
+
+def test_stored_pages_read_only_their_files(spark, tmp_path):
+    rows = [(at(0 if i < 600 else i), i, float(i)) for i in range(1000)]  # more than half share one time
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, event_id long, price double").repartition(5)
+    path = str(tmp_path / "p")
+    pages.store(df, path, files=10)
+    assert pages.index(spark, path).count() == 10 and pages.index(spark, path).agg(F.max("rows")).first()[0] < 250
+    page = pages.page(spark, path, 430, 150)
+    assert [(r["row_number"], r["event_id"]) for r in page.orderBy("row_number").collect()] == [(i + 1, i) for i in range(430, 580)]
+    assert len(page.inputFiles()) <= 4
+    assert pages.page(spark, path, 995, 50).count() == 5 and pages.page(spark, path, 2000, 5).count() == 0
+    assert sorted((r["row_number"], r["event_id"]) for r in pages.numbered(spark, path).collect()) == [(i + 1, i) for i in range(1000)]
+    some = pages.between(spark, path, at(700), at(709))
+    assert some.count() == 10 and len(some.inputFiles()) <= 2
+    pages.store(df.limit(0), str(tmp_path / "none"))
+    assert pages.page(spark, str(tmp_path / "none"), 0, 5).count() == 0
+
+
+@pytest.mark.parametrize("stop", ["prepare", "_rename", "finish"])
+def test_retention_completes_an_interrupted_run(spark, tmp_path, monkeypatch, stop):
+    books = spark.createDataFrame([(at(60 * i), "K", "B", [[1.0], [1.0]], [[2.0], [1.0]]) for i in range(180)], "timestamp timestamp_ntz, exchange string, symbol string, bids array<array<double>>, asks array<array<double>>")
+    path = str(tmp_path / "b")
+    tables.append_books(books, path)
+
+    class Stopped(Exception):
+        pass
+
+    real = tables._Cut.finish
+    if stop == "prepare":  # kept rows are written, nothing is marked
+        def prepare(self, cut):
+            spark.range(3).write.parquet(f"{self.aside}/kept")
+            raise Stopped
+        monkeypatch.setattr(tables._Cut, "prepare", prepare)
+    else:
+        def finish(self):
+            if stop == "_rename":  # the old files are gone, the new ones have not moved
+                for f in self.fs.listStatus(self.hour):
+                    self.fs.delete(f.getPath(), False)
+            raise Stopped
+        monkeypatch.setattr(tables._Cut, "finish", finish)
+    with pytest.raises(Stopped):
+        tables.drop_expired_hours(spark, path, "90m", at(60 * 180))
+    assert spark.read.parquet(path).groupBy("timestamp").count().where("count > 1").count() == 0
+    monkeypatch.undo()
+    assert tables._Cut.finish is real
+    tables.drop_expired_hours(spark, path, "90m", at(60 * 180))
+    got = sorted(r["timestamp"] for r in spark.read.parquet(path).collect())
+    assert got == [at(60 * i) for i in range(91, 180)] and not list((tmp_path / "b").glob("_cut-*"))
+    tables.drop_expired_hours(spark, path, "90m", at(60 * 180))
+    assert spark.read.parquet(path).count() == 89
+
+
+def test_running_values_leave_other_columns_alone(spark):
+    from tidemark.operators import running
+
+    df = spark.createDataFrame([(i, i % 3, "u", "v") for i in range(6)], "i long, v long, `__chunk` string, `___c` string")
+    for out in (running.numbered(df, (), ("i",), "n", 2), running.running_max(df, (), ("i",), {"m": F.col("v")}, chunk=2), running.running_sum(df, (), ("i",), F.col("v"), "s", 2), running.previous(df, (), ("i",), "v", "p", 2)):
+        assert {(r["__chunk"], r["___c"]) for r in out.collect()} == {("u", "v")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UNITS = {"s": "seconds", "second": "seconds", "m": "minutes", "minute": "minutes", "h": "hours", "hour": "hours", "d": "days", "day": "days"}
@@ -78,3 +78,14 @@ def first_of(matrix: Column, i: int, level: int = 1) -> Column:
 def millionths(x: Column) -> Column:
     """x in whole millionths, so that sums are exact."""
     return F.floor(x * 1e6 + 0.5).cast("long")
+
+
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

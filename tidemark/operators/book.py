@@ -128,5 +128,5 @@ def flatten(books: DataFrame, depth: int = 10) -> DataFrame:
 
 def thin(books: DataFrame, interval: int, *keys: str) -> DataFrame:
     """Every ``interval``-th snapshot of each pair; a busy pair is numbered in chunks."""
-    chunk = S.duration_micros("10m")
-    return running.numbered(books, keys or PAIR, ("timestamp", "event_id"), "__n", chunk).where(F.col("__n") % interval == 0).drop("__n")
+    n, chunk = S.free(books, "n")[0], S.duration_micros("10m")
+    return running.numbered(books, keys or PAIR, ("timestamp", "event_id"), n, chunk).where(F.col(n) % interval == 0).drop(n)

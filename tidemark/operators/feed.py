@@ -90,11 +90,12 @@ def enrich_order_type(trades: DataFrame, parsed: DataFrame) -> DataFrame:
 
     One running value over trades and received messages together: no pair of them meets.
     """
-    received = parsed.where("route = 'order' and type = 'received'").select(F.col("order_id").alias("taker_order_id"), "sequence", F.struct("sequence", "order_type").alias("__said"))
-    both = trades.withColumn("__said", F.lit(None).cast("struct<sequence:bigint,order_type:string>")).unionByName(received, allowMissingColumns=True).withColumn("__received", F.col("__said").isNotNull())  # a trade comes first at equal sequence
-    told = running_max(both, ("taker_order_id",), ("sequence", "__received"), {"__last": F.col("__said")}, inclusive=True)
-    known = F.when(F.col("taker_order_id").isNotNull(), F.col("__last.order_type"))
-    return told.where("not __received").select(*trades.columns, known.alias("order_type"))
+    said, heard, last = S.free(trades, "said", "heard", "last")
+    received = parsed.where("route = 'order' and type = 'received'").select(F.col("order_id").alias("taker_order_id"), "sequence", F.struct("sequence", "order_type").alias(said))
+    both = trades.withColumn(said, F.lit(None).cast("struct<sequence:bigint,order_type:string>")).unionByName(received, allowMissingColumns=True).withColumn(heard, F.col(said).isNotNull())  # a trade comes first at equal sequence
+    told = running_max(both, ("taker_order_id",), ("sequence", heard), {last: F.col(said)}, inclusive=True)
+    known = F.when(F.col("taker_order_id").isNotNull(), F.col(last)["order_type"])
+    return told.where(~F.col(heard)).select(*trades.columns, known.alias("order_type"))
 
 
 def normalise_symbols(df: DataFrame, symbols: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -116,7 +117,8 @@ def in_sequence(feed: DataFrame, pair: str = "symbol", arrival: str = "event_id"
     """Rows whose sequence exceeds every earlier one of the pair; with ``start`` (pair, start_seq) only after the snapshot."""
     if start is not None:
         feed = feed.join(start, pair).where(F.col(seq) > F.col("start_seq")).drop("start_seq")
-    return running_max(feed, (pair,), (arrival,), {"__top": F.col(seq)}).where(F.col("__top").isNull() | (F.col(seq) > F.col("__top"))).drop("__top")
+    top = S.free(feed, "top")[0]
+    return running_max(feed, (pair,), (arrival,), {top: F.col(seq)}).where(F.col(top).isNull() | (F.col(seq) > F.col(top))).drop(top)
 
 
 def gaps(clean: DataFrame, pair: str = "symbol", seq: str = "seq") -> DataFrame:

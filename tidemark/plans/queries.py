@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scalar as S
-from tidemark.operators import book, feed, quality, running, sample, select, summary
+from tidemark.operators import book, feed, pages, quality, running, sample, select, summary
 from tidemark.sources import fixtures as X
 from tidemark.sources import tables
-from tidemark.streaming import live
+from tidemark.streaming import kept, keyed, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,14 +99,16 @@ def _(spark, d):
   UNION ALL SELECT 'orderbooks', 7, 0""")
 def _(spark, d):
     database = f"tm_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {database}")
-    tables.create_tables(spark, database)
-    tables.with_partitions(X.trades(spark, d).select(*schemas.TRADES.fieldNames())).write.mode("append").insertInto(f"{database}.trades")
-    columns = tables.describe(spark, database).groupBy(F.col("table").alias("table_name")).agg(F.count("*").alias("columns"))
-    counts = quality.table_counts({t: spark.table(f"{database}.{t}") for t in ("trades", "orderbooks")})
-    out = spark.createDataFrame(columns.join(counts, "table_name").collect(), "table_name string, columns long, rows long")  # two rows
-    tables.drop_tables(spark, database)
-    spark.sql(f"DROP DATABASE {database}")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{_scratch(spark, database)}'")
+    try:
+        tables.create_tables(spark, database)
+        tables.with_partitions(X.trades(spark, d).select(*schemas.TRADES.fieldNames())).write.mode("append").insertInto(f"{database}.trades")
+        columns = tables.describe(spark, database).groupBy(F.col("table").alias("table_name")).agg(F.count("*").alias("columns"))
+        counts = quality.table_counts({t: spark.table(f"{database}.{t}") for t in ("trades", "orderbooks")})
+        out = spark.createDataFrame(columns.join(counts, "table_name").collect(), "table_name string, columns long, rows long")  # two rows
+    finally:
+        tables.drop_tables(spark, database)
+        spark.sql(f"DROP DATABASE {database}")
     return out
 
 
@@ -215,6 +217,21 @@ def _(spark, d):
     return select.positions(X.trades(spark, d), 50, 200).select("timestamp", "price")
 
 
+@_query("stored_page", X.TRADES_SQL, "SELECT row_number, timestamp, price FROM (SELECT *, row_number() OVER (ORDER BY timestamp, event_id) AS row_number, count(*) OVER () AS n FROM trades) WHERE row_number BETWEEN n // 2 + 1 AND n // 2 + 200")
+def _(spark, d):
+    path = _scratch(spark, "pages")
+    pages.store(X.trades(spark, d), path)
+    half = pages.index(spark, path).agg(F.sum("rows")).first()[0] // 2
+    return pages.page(spark, path, half, 200).select("row_number", "timestamp", "price")
+
+
+@_query("stored_numbers", X.TRADES_SQL, "SELECT trade_id, row_number() OVER (ORDER BY timestamp, event_id) AS row_number FROM trades")
+def _(spark, d):
+    path = _scratch(spark, "numbers")
+    pages.store(X.trades(spark, d), path)
+    return pages.numbered(spark, path).select("trade_id", "row_number")
+
+
 @_query("row_numbers", X.TRADES_SQL, "SELECT trade_id, row_number() OVER (ORDER BY timestamp, event_id) AS row_number FROM trades")
 def _(spark, d):
     return select.numbered(X.trades(spark, d)).select("trade_id", "row_number")
@@ -589,10 +606,11 @@ def _(spark, d):
     return X.trades(spark, d).select("trade_id", F.try_element_at(regions, F.col("exchange")).alias("region"))
 
 
-@_query("series_json", X.TRADES_SQL, "SELECT exchange, count(*) AS points FROM trades GROUP BY 1")
+@_query("series_json", X.TRADES_SQL, "SELECT exchange, epoch_us(timestamp) / 1e6 AS time, price AS value, count(*) AS points FROM trades GROUP BY 1, 2, 3")
 def _(spark, d):
     text = summary.series_json(summary.series_chunks(X.trades(spark, d).where("price is not null"), list(schemas.EXCHANGES)))
-    return text.groupBy("exchange").agg(F.sum(F.size(F.from_json("json", "array<struct<time:double,value:double>>"))).cast("long").alias("points"))
+    told = text.select("exchange", F.explode(F.from_json("json", "array<struct<time:double,value:double>>")).alias("p"))
+    return told.groupBy("exchange", "p.time", "p.value").agg(F.count("*").alias("points"))
 
 
 # Streams (run over what is there, then read) ----------------------------------------------------------
@@ -609,19 +627,29 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return live.live_table(spark, d, schemas.EVENTS, pattern="events.parquet").transform(X.trades_from)
 
 
+FILES = 4  # of each part of a growing folder
+
+
 def _in_parts(rows: DataFrame, order: str, path: str, parts: int = 4, newest_first: bool = False) -> None:
-    """Append ``rows`` to a growing folder in ``parts`` even spans of ``order``, one file after the other."""
+    """Append ``rows`` to a growing folder in ``parts`` even spans of ``order``, one part after the other, ``FILES`` files each."""
     top = (rows.agg(F.max(order)).first()[0] or 0) + 1
     at = F.floor(F.col(order) * parts / top)
     for k in reversed(range(parts)) if newest_first else range(parts):
-        rows.where(at == k).coalesce(1).write.mode("append").parquet(path)
+        rows.where(at == k).repartition(FILES).write.mode("append").parquet(path)
 
 
 def _growing(spark: SparkSession, d: str, newest_first: bool = False) -> DataFrame:
-    """Trades as a stream of four micro-batches, from events that arrived in four files."""
+    """Trades as a stream of four micro-batches, from events that arrived in four parts."""
     path = _scratch(spark, "events")
     _in_parts(X.events(spark, d), "event_id", path, newest_first=newest_first)
-    return live.live_table(spark, path, schemas.EVENTS, max_files=1).transform(X.trades_from)
+    return live.live_table(spark, path, schemas.EVENTS, max_files=FILES).transform(X.trades_from)
+
+
+def _arriving(spark: SparkSession, name: str, rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` as a stream of four micro-batches in ``order``."""
+    path = _scratch(spark, name)
+    _in_parts(rows, order, path)
+    return live.live_table(spark, path, rows.schema, max_files=FILES)
 
 
 def _ran(spark: SparkSession, name: str, df: DataFrame, mode: str) -> DataFrame:
@@ -663,11 +691,9 @@ def _(spark, d):
   WHEN coalesce(max(CASE WHEN seq > top + 1 AND seq % 40 <> 0 THEN event_id END) OVER w > coalesce(max(CASE WHEN seq % 40 = 0 AND seq > coalesce(top, -1) THEN event_id END) OVER w, -1), false) THEN 'blank' ELSE 'ok' END AS status
   FROM (SELECT *, max(seq) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM feed) WINDOW w AS (PARTITION BY symbol ORDER BY event_id)""")
 def _(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = _scratch(spark, "feed")
     rows = X.feed(spark, d).withColumn("snapshot", F.col("seq") % 40 == 0)
-    _in_parts(rows, "event_id", path)
-    return _ran(spark, "sequence", live.sequenced(live.live_table(spark, path, rows.schema, max_files=1)), "append")
+    with keyed.rocksdb(spark):
+        return _ran(spark, "sequence", keyed.sequenced(_arriving(spark, "feed", rows, "event_id")), "append")
 
 
 @_query("stream_late_rows", X.TRADES_SQL, """SELECT count(*) FILTER (timestamp <= m - INTERVAL 10 SECOND AND event_id < h) AS late, count(*) FILTER (NOT (timestamp <= m - INTERVAL 10 SECOND AND event_id < h)) AS kept
@@ -677,9 +703,9 @@ def _(spark, d):
     half = (rows.agg(F.max("event_id")).first()[0] + 1) // 2
     new, even = F.col("event_id") >= half, F.col("event_id") % 2 == 0
     for part in (new & even, new & ~even, ~new):  # a watermark drops rows from the second batch after it on
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+        rows.where(part).repartition(FILES).write.mode("append").parquet(path)
     out = _scratch(spark, "kept")
-    query = live.run_once(live.deduplicated(live.live_table(spark, path, rows.schema, max_files=1), ["event_id"]), f"{out}/out", f"{out}/checkpoint")
+    query = live.run_once(live.deduplicated(live.live_table(spark, path, rows.schema, max_files=FILES), ["event_id"]), f"{out}/out", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/out").agg(F.lit(live.late_rows(query)).cast("long").alias("late"), F.count("*").alias("kept"))
 
 
@@ -687,7 +713,7 @@ def _(spark, d):
   FROM (SELECT event_id * 4 // (SELECT max(event_id) + 1 FROM trades) AS part, count(*) AS n FROM trades GROUP BY 1)""")
 def _(spark, d):
     path = _scratch(spark, "progress")
-    live.ingest(_growing(spark, d), f"{path}/table", f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
+    kept.ingest(_growing(spark, d), f"{path}/table", f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
     return live.size_steps(spark.read.schema(schemas.LEDGER).parquet(f"{path}/ledger"))
 
 
@@ -700,10 +726,67 @@ def _(spark, d):
 @_query("stream_ingest_ledger", X.TRADES_SQL, "SELECT 0::BIGINT AS txn_id, count(*) AS row_count, min(timestamp) AS min_ts, max(timestamp) AS max_ts FROM trades")
 def _(spark, d):
     path = _scratch(spark, "ingest")
-    live.ingest(_stream(spark, d), f"{path}/table", f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
+    kept.ingest(_stream(spark, d), f"{path}/table", f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(schemas.LEDGER).parquet(f"{path}/ledger").select("txn_id", "row_count", "min_ts", "max_ts")
 
 
+@_query("stream_last_trades", X.TRADES_SQL, "SELECT timestamp, trade_id, price FROM trades ORDER BY timestamp DESC, event_id DESC LIMIT 1000")
+def _(spark, d):
+    path = _scratch(spark, "last")
+    kept.keep_last(_growing(spark, d, newest_first=True), 1000, f"{path}/rows", f"{path}/checkpoint")
+    return kept.Versions(spark, f"{path}/rows").read().select("timestamp", "trade_id", "price")
+
+
+@_query("stream_order_type", X.TRADES_SQL, """SELECT t.trade_id, arg_max(CASE WHEN r.event_id % 3 = 0 THEN 'market' ELSE 'limit' END, r.event_id) FILTER (r.event_id IS NOT NULL) AS order_type
+  FROM (SELECT * FROM trades WHERE event_id % 20 < 10 AND epoch_us(timestamp) <= (SELECT (max(epoch_us(timestamp)) // 1000 - 10000) * 1000 FROM trades WHERE event_id % 20 < 10 OR event_id % 20 = 15)) t
+  LEFT JOIN (SELECT * FROM trades WHERE event_id % 20 = 15) r ON r.event_id % 300 = (t.event_id * 11) % 300 AND r.event_id < t.event_id GROUP BY 1""")
+def _(spark, d):
+    parsed = feed.parse(_arriving(spark, "messages", X.messages(spark, d), "receipt"))
+    said = parsed.where("route = 'order' and type = 'received'").withColumn("timestamp", feed.event_time(F.col("time")))
+    with keyed.rocksdb(spark):
+        return _ran(spark, "order_types", keyed.order_types(feed.matches_to_trades(parsed), said), "append").select("trade_id", "order_type")
+
+
+@_recursive("stream_l3_transitions", "SELECT order_id, sequence, type, price, size AS remaining FROM fold WHERE shown")
+def _(spark, d):
+    with keyed.rocksdb(spark):
+        return _ran(spark, "l3", keyed.order_transitions(_arriving(spark, "l3_events", X.l3_events(spark, d), "sequence")), "append")
+
+
+@_query("stream_book_levels", X.L2_SQL, """, resets AS (SELECT exchange, symbol, max(event_id) AS since FROM changes WHERE event_id % 500 = 250 GROUP BY 1, 2)
+  SELECT exchange, symbol, side, price, arg_max(amount, (c.timestamp, event_id)) AS amount FROM changes c LEFT JOIN resets USING (exchange, symbol)
+  WHERE event_id >= coalesce(since, -1) GROUP BY 1, 2, 3, 4 HAVING arg_max(amount, (c.timestamp, event_id)) > 0""")
+def _(spark, d):
+    path = _scratch(spark, "levels")
+    changes = X.l2_from(_growing(spark, d))
+    snapshot = F.col("event_id") % 500 == 250  # such a change is the whole book of its pair
+    with keyed.rocksdb(spark):
+        kept.keep_levels(keyed.book_levels(changes.where(~snapshot), changes.where(snapshot), delay="2d"), f"{path}/book", f"{path}/checkpoint")
+    return kept.Versions(spark, f"{path}/book").read().select("exchange", "symbol", "side", "price", "amount")
+
+
+@_query("stream_candles_exact", X.TRADES_SQL, _candles_sql("5 seconds"))
+def _(spark, d):
+    path = _scratch(spark, "exact")
+    kept.keep_candles(_growing(spark, d, newest_first=True), "5s", f"{path}/rows", f"{path}/candles", f"{path}/checkpoint", "10m")
+    return spark.read.parquet(f"{path}/candles").drop("span")
+
+
+@_query("stream_progress_table", X.TRADES_SQL, """SELECT part AS batch_id, n AS rows_in, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS old_size, sum(n) OVER (ORDER BY part)::BIGINT AS new_size
+  FROM (SELECT event_id * 4 // (SELECT max(event_id) + 1 FROM trades) AS part, count(*) AS n FROM trades GROUP BY 1)""")
+def _(spark, d):
+    path = _scratch(spark, "updates")
+    listener = kept.ProgressTable(spark, f"{path}/progress", f"updates-{uuid.uuid4().hex}")
+    spark.streams.addListener(listener)
+    try:
+        rows = _growing(spark, d)
+        rows.writeStream.queryName(listener.name).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("noop").start().awaitTermination()
+        listener.finish()
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.read().select("batch_id", "rows_in", "old_size", "new_size")
+
+
 # Quality --------------------------------------------------------------------------------------------------
 
 @_query("table_counts", X.TRADES_SQL, "SELECT 'trades' AS table_name, count(*) AS rows FROM trades UNION ALL SELECT 'orderbooks', count(*) FROM trades UNION ALL SELECT 'orderbooks_1s', count(*) FROM (SELECT DISTINCT time_bucket(INTERVAL '1 second', timestamp), exchange, symbol FROM trades)")

@@ -68,16 +68,68 @@ def retain(df: DataFrame, keep: str, as_of: Column | None = None, ts: str = "tim
     return df.where(F.col(ts) > as_of - F.expr(f"interval {S.duration(keep)}"))
 
 
+CUT = "_cut-"  # folders of hours that are being cut; readers of the table skip such names (without a "=")
+
+
+class _Cut:
+    """Replacement of one hour's files by its kept rows, in steps that can each be repeated.
+
+    The kept rows are written aside, a marker then names the old files, the old files go,
+    the new ones move in, and the aside folder goes. Until the marker stands nothing has
+    happened to the hour; from then on ``finish`` completes the rest, however often a run
+    stops in between, and no row is ever seen twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, hour: str) -> None:
+        self.spark, self.jvm = spark, spark._jvm
+        self.hour = self._path(path, hour)  # dt=.../hour=...
+        self.aside = self._path(path, CUT + hour.replace("/", "+").replace("=", "~"))
+        self.fs = self.hour.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join(parts))
+
+    def prepare(self, cut: dt.datetime) -> None:
+        """Write the kept rows aside and mark the files that they replace."""
+        self.fs.delete(self.aside, True)
+        old = [f.getPath() for f in self.fs.listStatus(self.hour)]
+        rows = self.spark.read.parquet(*[f.toString() for f in old if not f.getName().startswith("_")])
+        rows.where(F.col("timestamp") > F.lit(cut).cast("timestamp_ntz")).write.parquet(f"{self.aside}/kept")
+        draft = self._path(f"{self.aside}", "draft")
+        out = self.fs.create(draft, True)
+        out.write(bytearray("\n".join(f.getName() for f in old).encode()))
+        out.close()
+        self.fs.rename(draft, self._path(f"{self.aside}", "marker"))
+
+    def finish(self) -> None:
+        """Complete a marked replacement, or drop what was not marked."""
+        marker = self._path(f"{self.aside}", "marker")
+        if self.fs.exists(marker):
+            stream = self.fs.open(marker)
+            names = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+            stream.close()
+            for name in names:
+                self.fs.delete(self._path(f"{self.hour}", name), False)
+            for f in self.fs.listStatus(self._path(f"{self.aside}", "kept")):
+                if not f.getPath().getName().startswith("_"):
+                    self.fs.rename(f.getPath(), self._path(f"{self.hour}", f.getPath().getName()))
+        self.fs.delete(self.aside, True)
+
+
 def drop_expired_hours(spark: SparkSession, path: str, keep: str, as_of: dt.datetime) -> int:
     """Delete the hours that ``keep`` before ``as_of`` leaves behind; the number of folders deleted.
 
-    Whole expired hours are deleted as folders, and the hour that the cut falls into is
-    rewritten: its kept rows are written beside it before the old files go.
+    Whole expired hours are deleted as folders. The hour that the cut falls into is replaced
+    by its kept rows; what an earlier, interrupted run left is completed first. Files that
+    others add meanwhile stay.
     """
+    path = path.rstrip("/")
     cut = as_of - dt.timedelta(microseconds=S.duration_micros(keep))
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{CUT}*")):
+        _Cut(spark, path, left.getPath().getName().removeprefix(CUT).replace("+", "/").replace("~", "=")).finish()
     gone = 0
     for day in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "dt=*")):
         date = dt.date.fromisoformat(day.getPath().getName()[3:])
@@ -86,11 +138,9 @@ def drop_expired_hours(spark: SparkSession, path: str, keep: str, as_of: dt.date
             if date > cut.date() or not of.isdigit() or (date == cut.date() and int(of) > cut.hour):
                 continue
             if (date, int(of)) == (cut.date(), cut.hour):
-                rows = spark.read.parquet(hour.getPath().toString())
-                old = [f.getPath() for f in fs.listStatus(hour.getPath())]
-                rows.where(F.col("timestamp") > F.lit(cut).cast("timestamp_ntz")).write.mode("append").parquet(hour.getPath().toString())
-                for f in old:
-                    fs.delete(f, False)
+                replaced = _Cut(spark, path, f"{day.getPath().getName()}/{hour.getPath().getName()}")
+                replaced.prepare(cut)
+                replaced.finish()
             else:
                 fs.delete(hour.getPath(), True)
                 gone += 1

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import running, sample
 
@@ -66,20 +64,6 @@ def newest(updates: DataFrame, *keys: str) -> DataFrame:
     return sample.latest(updates, *keys, order=F.col("batch")).drop("batch")
 
 
-def ingest(df: DataFrame, table: str, ledger: str, checkpoint: str, ts: str = "timestamp", trigger: dict | None = None) -> StreamingQuery:
-    """Append a stream to ``table`` and one ledger row for each micro-batch to ``ledger``.
-
-    Both are written under the batch id, so a repeated batch replaces itself.
-    """
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/txn_id={batch_id}")
-        wrote = batch.sparkSession.read.parquet(f"{table}/txn_id={batch_id}")
-        wrote.agg(F.count("*").alias("row_count"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts")).select(F.lit(batch_id).cast("long").alias("txn_id"), "row_count", "min_ts", "max_ts").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-
-    return df.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(one).start()
-
-
 def changes_since(ledger: DataFrame, txn: int) -> DataFrame:
     return ledger.where(F.col("txn_id") > txn).orderBy("txn_id")
 
@@ -131,7 +115,10 @@ def stop_all(spark: SparkSession) -> None:
 
 
 def progress(query: StreamingQuery) -> list[tuple[int, int, int, int]]:
-    """(batch id, rows in, old size, new size) of the recent updates, counted from the first of them."""
+    """(batch id, rows in, old size, new size) of the recent updates, counted from the first of them.
+
+    Spark keeps about 100 updates; ``kept.ProgressTable`` writes every one.
+    """
     out, size = [], 0
     for p in query.recentProgress:
         out.append((p["batchId"], p["numInputRows"], size, size + p["numInputRows"]))
@@ -140,7 +127,10 @@ def progress(query: StreamingQuery) -> list[tuple[int, int, int, int]]:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were left out, over the recent updates."""
+    """Rows that came after the watermark and were left out, over the recent updates.
+
+    ``kept.keep_candles`` puts such rows in place instead.
+    """
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
@@ -158,39 +148,3 @@ def book_state(changes: DataFrame) -> DataFrame:
 def standing(updates: DataFrame) -> DataFrame:
     """The levels that stand after all micro-batches of ``book_state``."""
     return newest(updates, "exchange", "symbol", "side", "price").where("amount > 0")
-
-
-class _Sequence(StatefulProcessor):
-    """Last sequence of one pair and whether it waits for a snapshot after a gap."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long, blank boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, blank = self.last.get() or (None, False)
-        batch = pd.concat(list(rows)).sort_values("event_id")
-        told = []
-        for s, snapshot in zip(batch["seq"].tolist(), batch["snapshot"].tolist()):
-            if seq is not None and s <= seq:
-                told.append("stale")
-                continue
-            gap = seq is not None and s > seq + 1
-            told.append("ok" if snapshot else "gap" if gap else "blank" if blank else "ok")
-            seq, blank = s, told[-1] != "ok"
-        if seq is not None:
-            self.last.update((seq, blank))
-        yield pd.DataFrame({"symbol": key[0], "event_id": batch["event_id"], "seq": batch["seq"], "status": told})
-
-    def close(self) -> None:
-        pass
-
-
-def sequenced(feed: DataFrame) -> DataFrame:
-    """symbol, event_id, seq, status of every row of a stream (symbol, event_id, seq, snapshot).
-
-    status: ``stale`` (not beyond the last sequence), ``gap`` (first row after a hole
-    without being a snapshot), ``blank`` (after a gap, before the next snapshot), ``ok``.
-    A snapshot ends the gap. Rows of a pair in one micro-batch are taken in arrival
-    order; bound a batch with ``max_files``.
-    """
-    return feed.groupBy("symbol").transformWithStateInPandas(_Sequence(), "symbol string, event_id long, seq long, status string", "Append", "none")
