@@ -8,11 +8,13 @@ these two; that is told by undoing merges along their seam, latest first. Follow
 stored tokens back from the end of the word gives its exact ids, in time linear in the
 word, whatever its length.
 
-The tokenizer's own normaliser and word splitting come from its library; the merges are
-run here. Where words never cross white space (told by a probe on the driver), texts are
-cut at white space first. Each task keeps a table of the pieces it has met, which starts
-afresh beyond ``TABLE`` entries or ``TABLE_BYTES`` bytes: memory is bounded and results
-do not depend on it. The driver derives how each token of the vocabulary is merged, once;
+The tokenizer's own normaliser and word splitting come from its library (Latin letters
+below U+0250, which no composition changes, are lower-cased and split here by the
+tokenizer's own pattern, where that is all it does); the merges are run here. Where words
+never cross white space (told by a probe), texts are cut at white space first. Each
+Python worker keeps a table of the pieces it has met, in two generations of ``TABLE``
+entries or ``TABLE_BYTES`` bytes at most, of which the older goes: memory is bounded and
+results do not depend on it. The driver derives how each token of the vocabulary is merged, once;
 its size is that of the vocabulary file.
 
 Defined results
@@ -35,6 +37,7 @@ from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -42,10 +45,11 @@ from tokenizers import Tokenizer
 from tidemark.llm import storage
 
 TABLE = 200_000
-TABLE_BYTES = 64_000_000
+TABLE_BYTES = 80_000_000
 BATCH = 64  # texts whose new pieces are encoded together
 LONG = 256  # longer pieces are encoded without being kept
 PAIRS = 500_000  # remembered compatibility tests
+LATIN = "\u0250"  # the first letter that the library normalises
 END = "\0"  # stands for the mark at a word's end; byte symbols never hold it
 NOT_SPACE = "\x1c\x1d\x1e\x1f"  # split() takes these for white space, tokenizers do not
 PROBE = " a  b's\tc1 2\n ① ﬁ Å\r\n..x !? 'tis 'S　z "
@@ -96,6 +100,23 @@ class Vocabulary:
         return [*token[:-2], token[-2:]] if token.endswith(END) else [*token]
 
 
+def _plain_split(tokenizer: dict) -> regex.Pattern | None:
+    """The pattern that finds words, if a tokenizer does no more than compose, lower-case and find them."""
+    before = (tokenizer.get("normalizer") or {}).get("normalizers", [])
+    steps = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    lower = [n["type"] for n in before] == ["NFC", "Replace", "Lowercase"] and before[1]["pattern"] == {"Regex": r"\s+"} and before[1]["content"] == " "
+    found = [p["type"] for p in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and "Regex" in steps[0]["pattern"]
+    plain = found and not steps[1]["add_prefix_space"] and not steps[1].get("use_regex", True)
+    return regex.compile(steps[0]["pattern"]["Regex"]) if lower and plain else None
+
+
+def byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte: itself where it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary and one table of pieces."""
 
@@ -107,12 +128,14 @@ class Encoder:
         self.rank = {(v.ids[a], v.ids[b]): n for (a, b), n in v.rank.items() if a in v.ids and b in v.ids}
         self.parts = {v.ids[t]: (v.ids[a], v.ids[b]) for t, (a, b) in v.parts.items() if t in v.ids}
         self.made = {t: self.rank[p] for t, p in self.parts.items()}
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.whole = ahocorasick.Automaton(), {}
+        self.width, self.sizes = max(name) + 1, [0] * (max(name) + 1)
         for token, i in v.ids.items():
             if i in self.parts or len(v.symbols(token)) == 1:  # what no merge makes is never emitted
-                self.automaton.add_word(token, (len(token), i))
+                self.automaton.add_word(token, i)
+                self.whole[token], self.sizes[i] = [i], len(token)
         self.automaton.make_automaton()
-        self.size = len(name)
+        self.split, self.symbol = _plain_split(json.loads(v.text)), byte_symbols()
         added = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.lib.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that are normalised or strip white space are not supported")
@@ -121,17 +144,19 @@ class Encoder:
         self.by_space = self.lib.encode(PROBE, add_special_tokens=False).ids == [*chain.from_iterable(self.lib.encode(c, add_special_tokens=False).ids for c in PROBE.split())]
         self.words: dict[str, list[int]] = {}
         self.table: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.bytes = 0
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.shown: dict[int, str] = {}
+        self.pairs: dict[int, bool] = {}
+        self.shown = [self.lib.id_to_token(i) or "" for i in range(self.lib.get_vocab_size())]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens as they are when they stand side by side."""
-        known = self.pairs.get((left, right))
+        key = left * self.width + right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._seam_holds(left, right)
+            known = self.pairs[key] = self._seam_holds(left, right)
         return known
 
     def _seam_holds(self, left: int, right: int) -> bool:
@@ -153,21 +178,30 @@ class Encoder:
 
     def of_word(self, word: str) -> list[int]:
         """The ids of one word of byte symbols."""
-        known = self.words.get(word)
+        text = word + END if self.mark else word
+        known = self.whole.get(text) or self.words.get(word)
         if known is not None:
             return known
-        text = word + END if self.mark else word
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)  # token and its length, by end of prefix
-        for at, (size, token) in self.automaton.iter(text):
-            end, start = at + 1, at + 1 - size
-            if last[end] is None and (start == 0 or (last[start] is not None and self.compatible(last[start][0], token))):
-                last[end] = (token, size)
+        last, sizes, compatible, pairs, width = [-1] * (len(text) + 1), self.sizes, self.compatible, self.pairs, self.width
+        for at, token in self.automaton.iter(text):  # every token that ends here, the longest first
+            if last[at + 1] < 0:
+                start = at + 1 - sizes[token]
+                if start:
+                    left = last[start]
+                    if left < 0:
+                        continue
+                    fits = pairs.get(left * width + token)
+                    if fits is None:
+                        fits = compatible(left, token)
+                    if not fits:
+                        continue
+                last[at + 1] = token
         ids, end = [], len(text)
         while end:
-            if last[end] is None:
+            if last[end] < 0:
                 raise ValueError(f"the vocabulary lacks a symbol of {word[:40]!r}")
-            ids.append(last[end][0])
-            end -= last[end][1]
+            ids.append(last[end])
+            end -= sizes[last[end]]
         ids.reverse()
         if len(word) <= LONG:
             if len(self.words) >= TABLE:
@@ -175,31 +209,34 @@ class Encoder:
             self.words[word] = ids
         return ids
 
-    def _plain(self, text: str) -> Iterator[int]:
+    def _words(self, text: str) -> list[str]:
+        """The words of a text as byte symbols."""
+        if self.split and text and max(text) < LATIN:
+            text = text.lower()
+            found = [text] if text.isalpha() else self.split.findall(text)
+            return found if text.isascii() and text.isprintable() else [w.encode().decode("latin-1").translate(self.symbol) for w in found]
         text = self.lib.normalizer.normalize_str(text) if self.lib.normalizer else text
-        for word, _ in self.lib.pre_tokenizer.pre_tokenize_str(text):
-            yield from self.of_word(word)
+        return [word for word, _ in self.lib.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _plain(self, text: str) -> list[int]:
+        words = self._words(text)
+        return self.of_word(words[0]) if len(words) == 1 else [i for w in words for i in self.of_word(w)]
 
     def _ids(self, text: str) -> list[int]:
         """The ids of a text, by words; special tokens are cut out first."""
         if self.special is None or not self.special.search(text):
-            return [*self._plain(text)]
+            return self._plain(text)
         return [i for part in self.special.split(text) if part for i in ([self.added[part]] if part in self.added else self._plain(part))]
 
-    def token(self, i: int) -> str:
-        if i not in self.shown:
-            self.shown[i] = self.lib.id_to_token(i)
-        return self.shown[i]
-
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode of all ids; a vocabulary without decoder shows its tokens, parted by spaces."""
         if self.lib.decoder is not None:
             return self.lib.decode([*ids], skip_special_tokens=False)
-        return " ".join(map(self.token, ids))
+        return " ".join(map(self.shown.__getitem__, ids))
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
         ids = self._ids(piece)
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.token, ids))
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.shown.__getitem__, ids))
 
     def _pieces(self, text: str) -> list[str]:
         if any(c in text for c in NOT_SPACE):
@@ -215,12 +252,11 @@ class Encoder:
     def _looked_up(self, split: list[list[str]]) -> list[list[tuple[int, str, str]]]:
         """For each text the table's entries of its pieces: number of ids, ids and tokens as text."""
         if len(self.table) >= TABLE or self.bytes > TABLE_BYTES:
-            self.table.clear()
-            self.bytes = 0
+            self.table, self.older, self.bytes = {}, self.table, 0
         long = {}
         for p in set().union(*split).difference(self.table):
             if len(p) <= LONG:
-                entry = self.table[p] = self._piece(p)
+                entry = self.table[p] = self.older.get(p) or self._piece(p)
                 self.bytes += 2 * len(p) + len(entry[1]) + 2 * len(entry[2]) + 300
             else:
                 long[p] = self._piece(p)
