@@ -1,10 +1,13 @@
 """URL filters: fixed host/path rules, and association rules mined from labels.
 
 Spark's FP-growth mines combinations of URL tokens that go with the block label.
+Tokens that occur in exactly the same labelled pages are one class: they are mined as one
+item, so a long URL, whose parts come together, is not a power set of its parts. A page
+has a class if it has one of its tokens, which says the same as rules of single tokens.
 Rules are pruned by support, by confidence, and where a shorter rule is at least as
-sure. Matching is by inverted index: a rule is filed under one of its tokens (the
-rarest), each distinct token set looks its tokens up there, and the whole rule is
-then tested against the set.
+sure: each rule looks all its parts up. Matching is by inverted index: a rule is filed
+under one of its classes (the rarest), each distinct token set looks its classes up
+there, and the whole rule is then tested against the set.
 
 Tokens: every host label (top-level domain, first label, or a label between) and
 every path segment (first, last, or between), and besides the last two labels, the
@@ -26,10 +29,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import storage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
+MIN_PAGES = 2  # blocked pages that a rule needs at least, however few pages have labels
+SMALL = 100_000  # rows of a table that is broadcast
 
 
 def host(url: Column) -> Column:
@@ -60,26 +67,76 @@ def tokens(url: Column) -> Column:
     return F.when(known, F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """items, confidence, support: pruned rules, from tokens (array) and blocked (boolean)."""
-    baskets = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCK)).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    # A rule is redundant if leaving out one or more of its tokens is at least as sure.
-    part = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
-    filed = rules.select("items", "confidence", F.explode("items").alias("token"))
-    wider = part.withColumn("token", F.element_at("part", 1)).join(filed, "token").where(
-        (F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("sure") >= F.col("confidence")))
-    return rules.join(wider.select("items").distinct(), "items", "left_anti")
+def _at_least(labelled: DataFrame, min_support: float, min_pages: int) -> float:
+    n = labelled.count()
+    return min(1.0, max(min_support, (min_pages - 0.5) / max(n, 1)))
+
+
+def classes(labelled: DataFrame) -> DataFrame:
+    """token, cls: tokens that occur in the same labelled pages share a class, named after its first token.
+
+    Pages are told by two 64-bit hashes of their baskets, summed exactly over the pages of a token.
+    """
+    basket = labelled.select("tokens", F.xxhash64("tokens", "blocked").cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), "tokens", "blocked").cast("decimal(38,0)").alias("b"))
+    seen = basket.select(F.explode("tokens").alias("token"), "a", "b").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n"))
+    return seen.groupBy("a", "b", "n").agg(F.sort_array(F.collect_list("token")).alias("token")).select(F.explode("token").alias("token"), F.col("token")[0].alias("cls"))
 
 
-def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens, confidence: distinct token sets that some rule fits, with the surest rule's confidence."""
-    spread = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
-    common = spread.groupBy("token").count()
-    filed = rules.select("items", "confidence", F.explode("items").alias("token")).join(common, "token", "left").groupBy("items", "confidence").agg(
-        F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    return spread.join(filed, "token").where(F.size(F.array_except("items", "tokens")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def in_classes(sets: DataFrame, classed: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, items: the sorted classes of each row's tokens; rows without any are left out."""
+    each = sets.select(*keys, F.explode("tokens").alias("token")).join(_small(classed), "token")
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_set("cls")).alias("items"))
+
+
+def mine_classes(labelled: DataFrame, classed: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """items (classes), confidence, support: pruned rules, from tokens (array) and blocked (boolean)."""
+    support = _at_least(labelled, min_support, min_pages)
+    pages = labelled.groupBy("tokens", "blocked").agg(F.count("*").alias("pages"))
+    sets = in_classes(pages, classed, "tokens", "blocked", "pages")
+    baskets = sets.select(F.when(F.col("blocked"), F.array_append("items", BLOCK)).otherwise(F.col("items")).alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("pages").cast("int"))).alias("page")).select("items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
+    # A rule is redundant if leaving out one or more of its items is at least as sure: it looks its proper parts up.
+    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("items")).cast("long") - 2)
+    part = lambda m: F.filter("items", lambda x, i: F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1)
+    parts = rules.where(F.size("items") > 1).select("items", F.col("confidence").alias("own"), F.explode(F.transform(masks, part)).alias("part"))
+    surer = parts.join(rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure")), "part").where(F.col("sure") >= F.col("own"))
+    return rules.join(surer.select("items").distinct(), "items", "left_anti")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """items (tokens), confidence, support: the rules with every choice of one token for each class."""
+    classed = classes(labelled)
+    out = mine_classes(labelled, classed, min_support, min_confidence, min_pages).withColumn("rule", F.col("items"))
+    each = out.select("rule", "confidence", "support", F.posexplode("items").alias("at", "cls")).join(classed, "cls")
+    of = each.groupBy("rule", "confidence", "support", "at").agg(F.collect_list("token").alias("tokens"))
+    lists = of.groupBy("rule", "confidence", "support").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"]).alias("lists"))
+    none = F.array(F.array().cast("array<string>"))
+    grown = F.aggregate("lists", none, lambda made, more: F.flatten(F.transform(made, lambda m: F.transform(more, lambda t: F.array_append(m, t)))))
+    return lists.select(F.explode(grown).alias("items"), "confidence", "support").withColumn("items", F.array_sort("items"))
+
+
+def match(sets: DataFrame, rules: DataFrame, classed: DataFrame | None = None) -> DataFrame:
+    """tokens, confidence: distinct token sets that some rule fits, with the surest rule's confidence.
+
+    With ``classed`` the rules are of classes, else of tokens.
+    """
+    distinct = sets.select("tokens").distinct()
+    if classed is None:
+        classed = rules.select(F.explode("items").alias("token")).distinct().select("token", F.col("token").alias("cls"))
+    else:
+        classed = classed.join(rules.select(F.explode("items").alias("cls")).distinct(), "cls", "left_semi").select("token", "cls")
+    known = in_classes(distinct, classed, "tokens")
+    spread = known.select("tokens", F.col("items").alias("has"), F.explode("items").alias("item"))
+    common = spread.groupBy("item").count()
+    filed = rules.select("items", "confidence", F.explode("items").alias("item")).join(common, "item", "left").groupBy("items", "confidence").agg(
+        F.min_by("item", F.struct(F.coalesce("count", F.lit(0)), "item")).alias("item"))
+    return spread.join(filed, "item").where(F.size(F.array_except("items", "has")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
 def fixed_rule(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -96,15 +153,17 @@ def fixed_rule(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> Colum
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]],
-          min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+          min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, path, rule, verdict for every page (page_id, url).
 
     ``labels`` (page_id, blocked) covers some pages; fixed rules go before mined ones.
     """
     said = pages.select("page_id", "url").withColumn("tokens", tokens(F.col("url")))
     told = labels.groupBy("page_id").agg(F.max("blocked").alias("blocked"))
-    mined = mine(said.select("page_id", "tokens").join(told, "page_id").where(F.size("tokens") > 0), min_support, min_confidence)
-    fits = match(said, mined)
+    labelled = storage.materialize(said.select("page_id", "tokens").join(told, "page_id").where(F.size("tokens") > 0), "labelled-pages")
+    classed = storage.materialize(classes(labelled), "token-classes")
+    mined = storage.materialize(mine_classes(labelled, classed, min_support, min_confidence, min_pages), "url-rules")
+    fits = match(said, mined, classed)
     out = said.join(fits, "tokens", "left").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
     mined_says = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", mined_says).alias("verdict"))
