@@ -23,7 +23,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +37,8 @@ from tidemark.llm import storage
 
 DOCS_PER_LANG = 2000
 SIZES = (4, 3, 2, 1)
-CACHE = 200_000  # unseen words whose scores a task keeps
+CACHE = 200_000  # unseen words whose scores a task keeps, fewer with many languages:
+CELLS = 8_000_000  # scores kept at most
 SLICE = 500  # texts scored together
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,28 +93,60 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+class Rows:
+    """Rows over the languages that hold only what differs from one value a language (``base``): a word's or n-gram's own languages."""
+
+    def __init__(self, base: np.ndarray, begin: np.ndarray, lang: np.ndarray, more: np.ndarray) -> None:
+        self.base, self.begin, self.lang, self.more = base, begin, lang, more
+
+    @classmethod
+    def of(cls, row: np.ndarray, lang: np.ndarray, log: np.ndarray, base: np.ndarray, rows: int) -> Rows:
+        order = np.argsort(row, kind="stable")
+        row, lang, log = row[order], lang[order], log[order]
+        return cls(base, np.searchsorted(row, np.arange(rows + 1)), lang.astype(np.int32), log - base[lang])
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``rows``, language, difference) of all that these rows hold."""
+        size = self.begin[rows + 1] - self.begin[rows]
+        place = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[rows], size)
+        return place, self.lang[at], self.more[at]
+
+    def weighed(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The sum of these rows, each n times."""
+        place, lang, more = self.taken(rows)
+        return n.sum() * self.base + np.bincount(lang, weights=more * n[place], minlength=len(self.base))
+
+
 class Model:
     """Per-language log frequencies of words and of character n-grams.
 
-    ``words``: word -> row of ``matrix``; ``tables``: size -> (sorted n-grams, their rows).
+    ``words``: word -> row of ``known``; ``tables``: size -> (sorted n-grams, their rows).
+    Both keep a word's own languages only, so the model grows with its sample, not with
+    words times languages.
     """
 
-    def __init__(self, langs: list[str], words: dict[str, int], matrix: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.langs, self.words, self.matrix, self.tables = langs, words, matrix, tables
+    def __init__(self, langs: list[str], words: dict[str, int], known: Rows, tables: dict[int, tuple[np.ndarray, Rows]]) -> None:
+        self.langs, self.words, self.known, self.tables = langs, words, known, tables
         self._seen: dict[str, int] = {}  # unseen words scored so far
         self._scores = np.zeros((0, len(langs)))
+        self._cache = min(CACHE, CELLS // max(1, len(langs)))
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "words": self.words, "matrix": self.matrix, "tables": self.tables}
+        return {"langs": self.langs, "words": self.words, "known": self.known, "tables": self.tables}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
 
     def backoff(self, words: list[str]) -> np.ndarray:
         """Scores of words outside the table: the mean over positions of the longest known n-gram."""
+        langs = len(self.langs)
         if not words:
-            return np.zeros((0, len(self.langs)))
-        total, seen = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
+            return np.zeros((0, langs))
+        total, seen = np.zeros(len(words) * langs), np.zeros(len(words))
         open_ = None
         for n in SIZES:
             key, of = grams(words, n)
@@ -128,13 +160,14 @@ class Model:
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             hit = np.flatnonzero(open_ & (known[at] == key) & (key != 0))
             open_[hit] = False
-            seen += np.bincount(of[hit], minlength=len(words))
-            for k in range(len(self.langs)):
-                total[:, k] += np.bincount(of[hit], weights=rows[at[hit], k], minlength=len(words))
-        return total / np.maximum(seen, 1)[:, None]
+            here = np.bincount(of[hit], minlength=len(words))
+            seen += here
+            place, lang, more = rows.taken(at[hit])
+            total += np.bincount(of[hit][place] * langs + lang, weights=more, minlength=len(total)) + np.outer(here, rows.base).ravel()
+        return total.reshape(-1, langs) / np.maximum(seen, 1)[:, None]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self._seen) > CACHE:
+        if len(self._seen) > self._cache:
             self._seen, self._scores = {}, self._scores[:0]
         new = [w for w in words if w not in self.words and w not in self._seen]
         self._seen.update(zip(new, range(len(self._seen), len(self._seen) + len(new))))
@@ -152,11 +185,11 @@ class Model:
     def _judge(self, counts: Counter) -> tuple[str, float]:
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        known, base = self.words, len(self.matrix)
+        known, base = self.words, len(self.known)
         rows = np.array([r if (r := known.get(w)) is not None else base + self._seen[w] for w in counts])
         n = np.fromiter(counts.values(), np.float64, len(counts))
         inside = rows < base
-        sums = n[inside] @ self.matrix[rows[inside]] + n[~inside] @ self._scores[rows[~inside] - base]
+        sums = self.known.weighed(rows[inside], n[inside]) + n[~inside] @ self._scores[rows[~inside] - base]
         top = int(sums.argmax())
         return self.langs[top], float(1 / np.exp((sums - sums[top]) / n.sum()).sum())
 
@@ -176,21 +209,19 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     lang = np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)
     n, c = rows.column("n").to_numpy(), rows.column("c").to_numpy()
 
-    def table(size: int, key: np.ndarray, width: int) -> np.ndarray:
+    def table(size: int, key: np.ndarray, width: int) -> Rows:
         mine = n == size
         total = np.bincount(lang[mine], weights=c[mine], minlength=len(langs))
-        out = np.tile([math.log(0.5 / (t + 1)) for t in total], (width, 1)).reshape(width, len(langs))
-        out[key, lang[mine]] = np.log(c[mine] / (total[lang[mine]] + 1))
-        return out
+        return Rows.of(key, lang[mine], np.log(c[mine] / (total[lang[mine]] + 1)), np.log(0.5 / (total + 1)), width)
 
     words: dict[str, int] = {}
     key = np.array([words.setdefault(w, len(words)) for w in rows.filter(pa.array(n == 0)).column("word").to_pylist()], np.int64)
-    matrix, tables = table(0, key, len(words)), {}
+    known, tables = table(0, key, len(words)), {}
     gram = rows.column("gram").to_numpy().view(np.uint64)
     for size in SIZES:
-        known, at = np.unique(gram[n == size], return_inverse=True)
-        tables[size] = known, table(size, at, len(known))
-    return Model(langs, words, matrix, tables)
+        of_size, at = np.unique(gram[n == size], return_inverse=True)
+        tables[size] = of_size, table(size, at, len(of_size))
+    return Model(langs, words, known, tables)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -104,15 +104,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(_read(spark, sf_dir, "documents"))
 
 
-@_query("op7_sharding", """
-SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents
+ARRIVALS = 5
+
+
+@_query("op7_sharding", f"""
+SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256,
+  {ARRIVALS}::BIGINT AS arrivals, true AS merges_committed, true AS fewer_shards, (SELECT count(*) FROM documents) AS rows_listed FROM documents
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = sharding.ShardStore(spark, storage.new_path(spark, "shards"))
-    store.append(_read(spark, sf_dir, "documents"))
-    store.compact()
+    """Documents arrive in ``ARRIVALS`` parts by a hash of their id, more than the fan-out, so tiers fill up and merge."""
+    store, docs = sharding.ShardStore(spark, storage.new_path(spark, "shards"), fanout=4), _read(spark, sf_dir, "documents")
+    appended = 0
+    for k in range(ARRIVALS):
+        version = store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        appended = len(store.shards(version))
+    version = store.compact()
     store.vacuum()
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    live = store.shards(version)
+    return store.read(version).select(
+        "doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"),
+        F.lit(ARRIVALS).cast("long").alias("arrivals"), F.lit(version > ARRIVALS).alias("merges_committed"), F.lit(len(live) < appended).alias("fewer_shards"), F.lit(sum(x.rows for x in live)).cast("long").alias("rows_listed"))
 
 
 @_query("op8_decontaminate")

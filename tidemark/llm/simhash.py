@@ -246,12 +246,18 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, th, fp, root: ``root`` is one fingerprint of each component."""
+    """doc_id, th, fp, root, component_id: ``root`` is one fingerprint of each component, the id its smallest doc_id.
+
+    Components are worked out on distinct fingerprints; documents meet them once, by
+    fingerprint, and frequent fingerprints (all texts without words have one) are broadcast.
+    """
     each = storage.materialize(fingerprints(docs, size), "fingerprints")
-    distinct = each.select("fp").distinct()
-    roots = components.connected_components(links(distinct, threshold)).select(F.col("node").alias("fp"), "root")
-    of_fp = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return each.join(of_fp, "fp").select("doc_id", "th", "fp", "root")
+    own = storage.materialize(each.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components.connected_components(links(own.select("fp"), threshold)).select(F.col("node").alias("fp"), "root")
+    rooted = storage.materialize(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-fingerprints")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    told = storage.materialize(storage.join_counted(rooted.select("root", "fp", "n"), named, "root", "members"), "named-fingerprints")
+    return storage.join_counted(each, told, "fp", "n").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -454,14 +460,14 @@ def verified_groups(docs: DataFrame, threshold: int, similarity: float) -> DataF
     """doc_id, th, root: ``root`` is one text's hash of each component of verified links."""
     each = storage.materialize(profiles(docs), "profiles")
     roots = components.connected_components(verified_links(docs, each, threshold, similarity)).select(F.col("node").alias("th"), "root")
-    return each.select("doc_id", "th").join(roots, "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+    copies = each.groupBy("th").agg(F.count("*").alias("n"))
+    told = storage.materialize(copies.join(roots, "th", "left").select("th", "n", F.coalesce("root", "th").alias("root")), "rooted-texts")
+    return storage.join_counted(each.select("doc_id", "th"), told, "th", "n").select("doc_id", "th", "root")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
-    each = groups(docs, size, threshold)
-    named = each.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return each.join(named, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return groups(docs, size, threshold).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, similarity: float | None = None) -> DataFrame:

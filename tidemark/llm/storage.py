@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MADE: list[str] = []  # paths of the tables that ``materialize`` made and nothing dropped
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables", default=None)  # paths made in the present scope
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -46,7 +48,8 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         spark.conf.set(SHUFFLE_CLEANUP, before or "false")
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
-    _MADE.append(path)
+    if (made := _SCOPE.get()) is not None:
+        made.append(path)
     return out
 
 
@@ -58,15 +61,52 @@ def delete(spark: SparkSession, path: str) -> None:
 def drop(table: DataFrame) -> None:
     """Delete a table made by ``materialize`` once nothing reads it any more."""
     delete(table.sparkSession, table.tidemark_path)
-    _MADE.remove(table.tidemark_path)
+    made = _SCOPE.get()
+    if made and table.tidemark_path in made:
+        made.remove(table.tidemark_path)
 
 
-def clear(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete the tables that operators left behind, but for ``keep``; call it once their results are written."""
-    kept = [t.tidemark_path for t in keep]
-    for path in [p for p in _MADE if p not in kept]:
-        delete(spark, path)
-        _MADE.remove(path)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted at the end, but for those given to ``keep``; others are never touched.
+
+    Results that still read them must be written by then. A thread has its own scope.
+    """
+    made: list[str] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Let a table made by ``materialize`` outlive the present scope."""
+    made = _SCOPE.get()
+    if made and table.tidemark_path in made:
+        made.remove(table.tidemark_path)
+    return table
+
+
+HOT = 1_000  # keys that hold over 1 / HOT of all rows: at most so many
+
+
+def join_counted(rows: DataFrame, told: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined to ``told``, which has each key once with its number of rows ``n``.
+
+    Keys that hold more than 1 / ``HOT`` of all rows are looked up in a broadcast table of
+    at most ``HOT`` rows, so that no task gets all rows of one; the others are shuffled.
+    ``n`` is dropped; null keys do not join.
+    """
+    total = told.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT, total / HOT)
+    few = told.where(hot)
+    if few.isEmpty():
+        return rows.join(told.drop(n), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(told.where(~hot).drop(n), key)
+    return rows.join(F.broadcast(few.drop(n)), key).unionByName(rest)
 
 
 def spread(df: DataFrame) -> DataFrame:
