@@ -2,8 +2,9 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 every stage as Parquet in the shared folder and reads it back as the next input, so
-a lost executor costs at most one stage. Tables of earlier stages are deleted once the
-next one is written.
+a lost executor costs at most one stage. The tables that a stage makes on its way are
+deleted once it is written, its result once the next stage is; other tables are not
+touched, so results of other runs and queries stay readable.
 
 1. language ID: documents without a language (null, empty or letterless text), or
    whose best language has less than ``MIN_LANGUAGE_SCORE`` of the weight, go
@@ -65,8 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = storage.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        storage.clear(spark, docs)
+        with storage.scope(spark):
+            docs = storage.keep(storage.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before is not None:
+            storage.drop(before)
+        before = docs
     return docs
