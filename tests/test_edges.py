@@ -407,3 +407,21 @@ def test_running_values_leave_other_columns_alone(spark):
     df = spark.createDataFrame([(i, i % 3, "u", "v") for i in range(6)], "i long, v long, `__chunk` string, `___c` string")
     for out in (running.numbered(df, (), ("i",), "n", 2), running.running_max(df, (), ("i",), {"m": F.col("v")}, chunk=2), running.running_sum(df, (), ("i",), F.col("v"), "s", 2), running.previous(df, (), ("i",), "v", "p", 2)):
         assert {(r["__chunk"], r["___c"]) for r in out.collect()} == {("u", "v")}
+
+
+def test_row_numbers_with_outliers_and_one_common_time(spark):
+    rows = [(at(-9e8), 0)] + [(at(5), i) for i in range(1, 700)] + [(at(i), i) for i in range(700, 1000)] + [(None, 2000)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, event_id long").withColumn("position", F.lit("x")).repartition(4)
+    got = sorted((r["row_number"], r["event_id"], r["position"]) for r in select.numbered(df).collect())
+    assert got == [(1, 2000, "x")] + [(i + 2, i, "x") for i in range(1000)]
+    plan = select.numbered(df)
+    assert plan.columns == ["timestamp", "event_id", "position", "row_number"]
+    assert select.numbered(df.limit(0)).collect() == []
+    same = df.withColumn("timestamp", F.lit(T0).cast("timestamp_ntz"))
+    assert sorted(r["row_number"] for r in select.numbered(same).collect()) == list(range(1, 1002))
+
+
+def test_chosen_fields_are_parsed_alone(spark):
+    raw = spark.createDataFrame([('{"type":"match","product_id":"B-U","price":"1.5","size":"2","side":"buy","time":"2024-01-01T00:00:01.000001Z","sequence":1}',)], "raw string")
+    whole, part = feed.parse(raw), feed.parse(raw, fields=feed.MATCH)
+    assert "bids" not in part.columns and feed.matches_to_trades(whole).collect() == feed.matches_to_trades(part).collect()

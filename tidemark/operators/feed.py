@@ -19,16 +19,21 @@ ROUTES = {"ticker": "ticker", "match": "trade", "last_match": "trade", "snapshot
 IGNORED = ("activate", "subscriptions")
 
 
-def parse(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """One column for each known field, and ``route``: trade, ticker, book, order, ignored or invalid.
+#: The fields that ``matches_to_trades`` reads.
+MATCH = ("sequence", "product_id", "price", "size", "side", "time", "trade_id", "maker_order_id", "taker_order_id")
+
+
+def parse(messages: DataFrame, raw: str = "raw", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One column for each known field (or each of ``fields``), and ``route``: trade, ticker, book, order, ignored or invalid.
 
     The route comes from the message's type alone, so a filter on it goes before the
     parsing of all fields.
     """
+    schema = SCHEMA if fields is None else ", ".join(f for f in SCHEMA.split(", ") if f.split()[0] in fields)
     kind = F.get_json_object(raw, "$.type")
     routes = F.create_map(*[F.lit(x) for kv in (ROUTES | dict.fromkeys(IGNORED, "ignored")).items() for x in kv])
     route = F.coalesce(F.try_element_at(routes, kind), F.lit("invalid"))
-    return messages.select("*", route.alias("route"), F.from_json(raw, SCHEMA).alias("m")).select(*messages.columns, "route", "m.*")
+    return messages.select("*", route.alias("route"), F.from_json(raw, schema).alias("m")).select(*messages.columns, "route", "m.*")
 
 
 def rejects(messages: DataFrame, raw: str = "raw") -> DataFrame:

@@ -27,12 +27,13 @@ def position(df: DataFrame, order: str) -> Column:
     raise ValueError(f"{order} is {kind.simpleString()}, neither a number nor a timestamp")
 
 
-def _cut(df: DataFrame, order: tuple[str, ...], chunk: int) -> tuple[DataFrame, str]:
-    """``df`` with the chunk of each row, and a prefix that none of its columns has."""
+def _cut(df: DataFrame, order: tuple[str, ...], chunk: int | Column) -> tuple[DataFrame, str]:
+    """``df`` with the chunk of each row (a width of the first order column, or a number that grows with the order), and a prefix that none of its columns has."""
     p = "__"
     while any(c.startswith(p) for c in df.columns):
         p += "_"
-    return df.withColumn(f"{p}chunk", F.coalesce(F.floor(position(df, order[0]) / chunk), F.lit(-(2**62)))), p
+    at = chunk if isinstance(chunk, Column) else F.floor(position(df, order[0]) / chunk)
+    return df.withColumn(f"{p}chunk", F.coalesce(at, F.lit(-(2**62)))), p
 
 
 def _carry(cut: DataFrame, tops: DataFrame, keys: tuple[str, ...], carried: dict[str, Column], p: str) -> DataFrame:
@@ -76,7 +77,7 @@ def previous(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value
     return told.withColumn(f"{p}p", F.coalesce(inside, f"{p}c")).withColumn(name, F.col(f"{p}p").getField(value)).drop(f"{p}chunk", f"{p}c", f"{p}p")
 
 
-def numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], name: str, chunk: int = CHUNK) -> DataFrame:
+def numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], name: str, chunk: int | Column = CHUNK) -> DataFrame:
     """The 1-based row number of each row among its key's rows in ``order``.
 
     Ties beyond ``order`` are numbered in any order.

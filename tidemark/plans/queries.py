@@ -380,7 +380,7 @@ _MATCH = "FROM trades WHERE event_id % 20 < 10"
 
 @_query("matches_to_trades", X.TRADES_SQL, f"SELECT timestamp, 'COINBASE' AS exchange, symbol, price, size, CASE WHEN side = 'buy' THEN 'sell' ELSE 'buy' END AS side, trade_id {_MATCH}")
 def _(spark, d):
-    return feed.matches_to_trades(feed.parse(X.messages(spark, d))).select(*schemas.TRADES.fieldNames())
+    return feed.matches_to_trades(feed.parse(X.messages(spark, d), fields=feed.MATCH)).select(*schemas.TRADES.fieldNames())
 
 
 _SECONDS = "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 0 ELSE epoch_us(timestamp) / 1e6 END"
