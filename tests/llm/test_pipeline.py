@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm import storage
 from tidemark.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, `__th` int"
@@ -40,5 +43,42 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert got[35][0] < 20 and got[36][0] < len(sp.encode(docs[36])) / 1.5
 
 
-def test_all_ten_are_registered():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+def small_corpus(spark, folder):
+    r = random.Random(8)
+    vocab = {"en": ["the", "and", "thing", "wheat", "stone", "under"], "fr": ["les", "quai", "léger", "eaux", "fois", "sous"]}
+    rows = [(i, " ".join(r.choice(vocab[k]) + r.choice(["", "s", "ly"]) for _ in range(60)), k, "s", 1) for i, k in enumerate(["en", "fr"] * 15)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "no such passage anywhere in here")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_results_of_other_runs_stay_readable(spark, tmp_path):
+    small_corpus(spark, str(tmp_path))
+    other = QUERIES["op2_simhash"](spark, str(tmp_path))  # built, not yet read
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    second = corpus_pipeline.run(spark, str(tmp_path))
+    rows = lambda df: sorted((x["doc_id"], x["ids_sha256"]) for x in df.collect())
+    assert rows(first) == rows(second) and len(rows(first)) == 30 and other.count() == 30
+
+
+def test_scopes_delete_their_own_tables(spark):
+    outside = storage.materialize(spark.range(3), "outside")
+    with storage.scope(spark):
+        inner = storage.materialize(spark.range(5), "inner")
+        kept = storage.keep(storage.materialize(inner, "kept"))
+        gone = storage.materialize(spark.range(2), "gone")
+        storage.drop(gone)
+    assert kept.count() == 5 and outside.count() == 3
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):
+        spark.read.parquet(inner.tidemark_path).count()
+    storage.drop(kept)
+
+
+def test_hot_keys_are_joined_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(1 if i < 700 else i, i) for i in range(900)] + [(None, 5)], "k long, v long")
+    told = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 2)
+    for hot in (1_000, 50):  # none is hot, one is
+        monkeypatch.setattr(storage, "HOT", hot)
+        got = storage.join_counted(rows, told, "k", "n")
+        assert sorted(got.columns) == ["k", "name", "v"] and got.count() == 900 and got.where("name = 2").count() == 700
+    assert storage.join_counted(rows.limit(0), told.limit(0), "k", "n").count() == 0

@@ -406,3 +406,35 @@ def test_mined_rules_equal_a_brute_force_miner(spark):
     for b, _ in baskets:
         fits = [s for c, s in got.items() if c <= b]
         assert best.get(b) == (max(fits) if fits else None)
+
+
+def test_long_urls_are_not_power_sets(spark):
+    """Parts that come together are one class: URLs of 40 segments, shared by five pages or by one."""
+    part = lambda i: "/".join(f"p{i}s{k}" for k in range(40))
+    rows = [(i, f"https://h{i // 5 % 3}.example.org/{part(i // 5)}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i // 5 % 8 == 0) for i, _ in rows if i % 5], "page_id long, blocked boolean")
+    got = {r["page_id"] for r in urls.judge(pages, labels, [("allow", "nowhere.test", "/")]).where("verdict = 'block'").collect()}
+    assert got == {i for i, _ in rows if i // 5 % 8 == 0}
+    labelled = pages.join(labels, "page_id").select("page_id", urls.tokens(F.col("url")).alias("tokens"), "blocked")
+    classed = urls.classes(labelled)
+    assert classed.where("token like 'segment=p3s%'").select("cls").distinct().count() == 1
+    single = urls.mine(labelled).where(F.size("items") == 1)
+    assert single.where("items[0] like 'segment=p0s%'").count() == 38
+
+
+def test_shards_of_several_arrivals_are_merged(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(50)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op7_sharding"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(50)) and {(r["arrivals"], r["merges_committed"], r["fewer_shards"], r["rows_listed"]) for r in rows} == {(5, True, True, 50)}
+
+
+def test_many_languages_take_sparse_rows(spark):
+    name = lambda k: "abcdefgh"[k // 8] + "klmnopqr"[k % 8]
+    rows = [(i, f"word{name(i % 60)}x common{name(i % 7)} zz{name(i % 60)}", f"l{i % 60:02}") for i in range(240)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 60 and len(model.known.more) < len(model.known) * 4
+    said = model.predict([f"word{name(3)}x zz{name(3)}", f"common{name(1)}", "", f"unseenword{name(3)}x"])
+    assert said[0][0] == "l03" and said[2] == ("und", 0.0) and all(0 < s <= 1 for _, s in (said[0], said[1], said[3]))
