@@ -1,6 +1,7 @@
 """Whitening, spelling variants and BPE against plain computations and the library."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -138,6 +139,7 @@ def test_variants_equal_brute_force(spark, most, monkeypatch):
     """With small nodes the trie grows over all its families before tasks search it."""
     monkeypatch.setattr(variants, "LEAF", 2 if most == 3 else 16)
     monkeypatch.setattr(variants, "QUERIES", 5 if most == 3 else 16_384)
+    monkeypatch.setattr(variants, "STEP", 16)
     r = random.Random(3)
     words = {}
     for _ in range(60):
@@ -150,6 +152,7 @@ def test_variants_equal_brute_force(spark, most, monkeypatch):
             words["".join(w)] = r.choice([3, 4, 6, 7, 12, 30, 100])
     words |= {"".join(r.sample("abcdefgh", 8)): 3 for _ in range(80)}  # anagrams
     words |= {w: n for w, n in [("a" * 150, 3), ("a" * 151, 9), ("a" * 152, 20), ("b" + "a" * 150, 4), ("èèèèè", 5), ("éèèèè", 5), ("êèèèè", 5), ("aaaaa", 3), ("aaaab", 6), ("aaabb", 12)]}
+    words |= {"abcdefgh" + "".join(p): 3 + i % 9 for end in ("rstu", "rsta") for i, p in enumerate(itertools.permutations(end))}  # alike at all levels
     words = {w: n for w, n in words.items() if len(w) >= 5}
     df = spark.createDataFrame(list(words.items()), "word string, n long")
     assert told(variants.group(df, most=most)) == brute_groups(words)

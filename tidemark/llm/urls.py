@@ -25,6 +25,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ BLOCK = "label=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 MIN_PAGES = 2  # blocked pages that a rule needs at least, however few pages have labels
-SMALL = 100_000  # rows of a table that is broadcast
+SMALL = 20_000  # rows of a table that is broadcast
 
 
 def host(url: Column) -> Column:
@@ -67,18 +69,20 @@ def tokens(url: Column) -> Column:
     return F.when(known, F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<string>"))
 
 
-def _at_least(labelled: DataFrame, min_support: float, min_pages: int) -> float:
-    n = labelled.count()
-    return min(1.0, max(min_support, (min_pages - 0.5) / max(n, 1)))
+def least_pages(labelled: DataFrame, min_support: float, min_pages: int) -> int:
+    """How many labelled pages a rule needs at least."""
+    return max(1, min_pages, math.ceil(min_support * labelled.count() - 1e-9))
 
 
-def classes(labelled: DataFrame) -> DataFrame:
-    """token, cls: tokens that occur in the same labelled pages share a class, named after its first token.
+def classes(labelled: DataFrame, least: int = 1) -> DataFrame:
+    """token, cls: tokens that occur in the same labelled pages, at least ``least``, share a class, named after its first token.
 
-    Pages are told by two 64-bit hashes of their baskets, summed exactly over the pages of a token.
+    Pages are told by two 64-bit hashes of their baskets, summed exactly over the pages of
+    a token. Rarer tokens can be in no rule; those left are at most the mean number of
+    tokens a page over the support.
     """
     basket = labelled.select("tokens", F.xxhash64("tokens", "blocked").cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), "tokens", "blocked").cast("decimal(38,0)").alias("b"))
-    seen = basket.select(F.explode("tokens").alias("token"), "a", "b").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n"))
+    seen = basket.select(F.explode("tokens").alias("token"), "a", "b").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n")).where(F.col("n") >= least)
     return seen.groupBy("a", "b", "n").agg(F.sort_array(F.collect_list("token")).alias("token")).select(F.explode("token").alias("token"), F.col("token")[0].alias("cls"))
 
 
@@ -93,14 +97,14 @@ def in_classes(sets: DataFrame, classed: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.sort_array(F.collect_set("cls")).alias("items"))
 
 
-def mine_classes(labelled: DataFrame, classed: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """items (classes), confidence, support: pruned rules, from tokens (array) and blocked (boolean)."""
-    support = _at_least(labelled, min_support, min_pages)
+def mine_classes(labelled: DataFrame, classed: DataFrame, least: int, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """items (classes), confidence, pages (blocked ones with all items): pruned rules, from tokens (array) and blocked (boolean)."""
     pages = labelled.groupBy("tokens", "blocked").agg(F.count("*").alias("pages"))
     sets = in_classes(pages, classed, "tokens", "blocked", "pages")
     baskets = sets.select(F.when(F.col("blocked"), F.array_append("items", BLOCK)).otherwise(F.col("items")).alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("pages").cast("int"))).alias("page")).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
+    n = max(1, baskets.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("items"), "confidence", F.round(F.col("support") * n).cast("long").alias("pages"))
     # A rule is redundant if leaving out one or more of its items is at least as sure: it looks its proper parts up.
     masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("items")).cast("long") - 2)
     part = lambda m: F.filter("items", lambda x, i: F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1)
@@ -110,15 +114,16 @@ def mine_classes(labelled: DataFrame, classed: DataFrame, min_support: float = M
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """items (tokens), confidence, support: the rules with every choice of one token for each class."""
-    classed = classes(labelled)
-    out = mine_classes(labelled, classed, min_support, min_confidence, min_pages).withColumn("rule", F.col("items"))
-    each = out.select("rule", "confidence", "support", F.posexplode("items").alias("at", "cls")).join(classed, "cls")
-    of = each.groupBy("rule", "confidence", "support", "at").agg(F.collect_list("token").alias("tokens"))
-    lists = of.groupBy("rule", "confidence", "support").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"]).alias("lists"))
+    """items (tokens), confidence, pages: the rules with every choice of one token for each class."""
+    least = least_pages(labelled, min_support, min_pages)
+    classed = classes(labelled, least)
+    out = mine_classes(labelled, classed, least, min_confidence).withColumn("rule", F.col("items"))
+    each = out.select("rule", "confidence", "pages", F.posexplode("items").alias("at", "cls")).join(classed, "cls")
+    of = each.groupBy("rule", "confidence", "pages", "at").agg(F.collect_list("token").alias("tokens"))
+    lists = of.groupBy("rule", "confidence", "pages").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"]).alias("lists"))
     none = F.array(F.array().cast("array<string>"))
     grown = F.aggregate("lists", none, lambda made, more: F.flatten(F.transform(made, lambda m: F.transform(more, lambda t: F.array_append(m, t)))))
-    return lists.select(F.explode(grown).alias("items"), "confidence", "support").withColumn("items", F.array_sort("items"))
+    return lists.select(F.explode(grown).alias("items"), "confidence", "pages").withColumn("items", F.array_sort("items"))
 
 
 def match(sets: DataFrame, rules: DataFrame, classed: DataFrame | None = None) -> DataFrame:
@@ -161,8 +166,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     said = pages.select("page_id", "url").withColumn("tokens", tokens(F.col("url")))
     told = labels.groupBy("page_id").agg(F.max("blocked").alias("blocked"))
     labelled = storage.materialize(said.select("page_id", "tokens").join(told, "page_id").where(F.size("tokens") > 0), "labelled-pages")
-    classed = storage.materialize(classes(labelled), "token-classes")
-    mined = storage.materialize(mine_classes(labelled, classed, min_support, min_confidence, min_pages), "url-rules")
+    least = least_pages(labelled, min_support, min_pages)
+    classed = storage.materialize(classes(labelled, least), "token-classes")
+    mined = storage.materialize(mine_classes(labelled, classed, least, min_confidence), "url-rules")
     fits = match(said, mined, classed)
     out = said.join(fits, "tokens", "left").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
     mined_says = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")

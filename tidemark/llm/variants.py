@@ -336,7 +336,8 @@ def near_words(words: DataFrame, most: int = NODE) -> DataFrame:
     rows = keyed.mapInArrow(_placed, NODES)
     sizes = keyed.select("key", F.lit("").alias("path")).groupBy("key", "path").agg(F.count("*").alias("members"))
     done: list[DataFrame] = []
-    for level in range(FIRST, LEVELS + 1, STEP):
+    level = FIRST
+    while True:
         nodes = storage.materialize(sizes, "variant-nodes")
         large = nodes.where(F.col("members") > most)
         if level >= LEVELS or large.isEmpty():
@@ -344,9 +345,10 @@ def near_words(words: DataFrame, most: int = NODE) -> DataFrame:
             break
         done.append(rows.join(large, ["key", "path"], "left_anti"))
         rows = rows.join(large, ["key", "path"], "left_semi")
-        for k in range(level, min(level + STEP, LEVELS)):
+        further = min(level + STEP, LEVELS)
+        for k in range(level, further):
             rows = rows.select(*[f.split()[0] for f in NODES.split(", ")]).mapInArrow(_grown(k), NODES)
-        rows = storage.materialize(rows, "variant-grown")
+        rows, level = storage.materialize(rows, "variant-grown"), further
         sizes = rows.where("member").groupBy("key", "path").agg(F.count("*").alias("members"))
     dealt = reduce(DataFrame.unionByName, done).repartition("key", "path").sortWithinPartitions("key", "path", F.desc("member"))
     parts = dealt.select(*[f.split()[0] for f in NODES.split(", ")]).mapInArrow(_searched, FOUND)
