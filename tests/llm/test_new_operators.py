@@ -207,8 +207,10 @@ def test_whitening_of_few_and_flat_vectors(spark):
     assert len(short) == 4
     equal = of([(i, [float(i >> k & 1) for k in range(3)]) for i in range(8)])  # three equal eigenvalues
     assert len(equal) == 24 and equal[0]["identity_error"] < 1e-9 and all(math.isclose(x["explained"], 1 / 3) for x in equal)
-    far = of([(1, [2.0**29, 0.0]), (2, [-(2.0**29), 1.0]), (3, [0.0, 0.5])])  # deviations beyond 64 bits are null
-    assert {x["deviation"] for x in far if x["vec_id"] == 1} == {None} or all(x["deviation"] < 2**63 for x in far)
+    rows = [(1, [2.0**29 - 1, 0.0]), (2, [-(2.0**29), 1.0]), (3, [0.0, 0.5])]  # deviations beyond 64 bits are null
+    far = {x["vec_id"]: x["deviation"] for x in of(rows)}
+    n, deviation, *_ = brute_whitening([v for _, v in rows])
+    assert far == {i: d if d < 2**63 else None for (i, _), d in zip(rows, deviation)} and None in far.values() and far[3] is not None
     with pytest.raises(Exception, match="exceeds"):
         of([(1, [1e300]), (2, [0.0])])
 

@@ -207,8 +207,8 @@ def whiten(vectors: DataFrame, count: int = 8, vec_col: str = "embedding", id_co
     spark = vectors.sparkSession
     rows = vectors.where(usable(storage.col(vec_col))).select(storage.col(id_col).alias("vec_id"), storage.col(vec_col).alias("embedding"))
     kind = rows.schema["vec_id"].dataType
-    n, d = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    d = d or 0
+    n, d, top = rows.agg(F.count("*"), F.max(F.size("embedding")), F.max(F.greatest(F.abs(F.array_max("embedding")), F.abs(F.array_min("embedding")))).cast("double")).first()
+    d, top = d or 0, SCALE * (top or 0.0) + OFFSET + 1
     sums = _summed(rows, d, lambda x: [x[at : at + 1024].sum(0) for at in range(0, len(x), 1024)], d) if d else []
     v = covariance(rows, d, n, sums) if d else np.zeros((0, 0))
     parts = leading(v, count)
@@ -217,15 +217,19 @@ def whiten(vectors: DataFrame, count: int = 8, vec_col: str = "embedding", id_co
     basis = np.stack([u / math.sqrt(e) for e, u in parts], 1)
     shares = [e / float(np.trace(v)) for e, _ in parts]
     k, exact_sums = len(parts), np.array(sums, object)
-    fits = all(abs(s) < 2**62 for s in sums) and n * LIMIT < 2**62
+    fits = n * top < 2.0**62  # whole numbers of 64 bits hold n * x and S
 
     def projected(b: pa.RecordBatch) -> tuple[np.ndarray, list[int | None]]:
         x = _whole(b, d)
         far = x * n - np.array(sums, np.int64) if fits else x.astype(object) * n - exact_sums
-        if fits and d * float(np.abs(far).max(initial=0)) ** 2 < FAR:
-            deviation = (far * far).sum(1).tolist()
-        else:
-            deviation = [int(s) if (s := sum(int(c) * int(c) for c in r)) < 2**63 else None for r in far]
+        about = (far.astype(float) ** 2).sum(1)
+        # A sum below 2^63 is exact in 64-bit arithmetic, whatever wraps on the way.
+        exact = (far * far).sum(1).tolist() if fits else [int(s) for s in (far * far).sum(1)]
+        deviation = []
+        for i, (total, rough) in enumerate(zip(exact, (about / 2.0**63).tolist())):
+            if abs(rough - 1) < 1e-9:
+                total = sum(int(c) ** 2 for c in far[i])
+            deviation.append(total if rough < 1 + 1e-9 and 0 <= total < 2**63 else None)
         return (far.astype(float) / n) @ basis, deviation
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
