@@ -29,36 +29,43 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", lower)
 
 
-def model(train):
-    words, after, pairs = Counter(), {}, Counter()
+def model(train, order):
+    """words, their total, and P(last of gram | the rest) by the definition's recursion."""
+    words, counts, after = Counter(), {k: Counter() for k in range(2, order + 1)}, {}
     for t in train:
-        code = ["<s>", *tokens(t), "</s>"]
-        words.update(code[1:])
-        pairs.update(zip(code, code[1:]))
-    for (v, w), n in pairs.items():
-        after.setdefault(v, {})[w] = n
-    total, uni, bi = sum(words.values()), good_turing(words.values()), good_turing(pairs.values())
+        code = tokens(t) + ["</s>"]
+        words.update(code)
+        for k in counts:
+            padded = ["<s>"] * (k - 1) + code
+            counts[k].update(tuple(padded[i : i + k]) for i in range(len(code)))
+    for k in counts:
+        for g, n in counts[k].items():
+            after.setdefault(g[:-1], {})[g[-1]] = n
+    total, factor = sum(words.values()), {k: good_turing(counts[k].values()) for k in counts}
+    uni = good_turing(words.values())
     known = {w: c * uni(c) / total for w, c in words.items()}
     unseen = 1 - sum(known.values())
     if unseen < 1e-12:  # nothing taken off: one more token
         known, unseen = {w: c / (total + 1) for w, c in words.items()}, 1 / (total + 1)
-    p1 = lambda w: known.get(w, unseen)
 
-    def p2(v, w):
-        if v not in after:
-            return p1(w)
-        n, seen = sum(after[v].values()), {x: c * bi(c) for x, c in after[v].items()}
+    def p(gram):
+        context, w = gram[:-1], gram[-1]
+        if not context:
+            return known.get(w, unseen)
+        if context not in after:
+            return p(gram[1:])
+        n, seen = sum(after[context].values()), {x: c * factor[len(gram)](c) for x, c in after[context].items()}
         share = sum(seen.values()) / n
         if share > 1 - 1e-9:  # as above, for this context
             seen = {x: c * n / (n + 1) for x, c in seen.items()}
             share = n / (n + 1)
-        return seen[w] / n if w in seen else (1 - share) * p1(w) / (1 - sum(map(p1, seen)))
+        return seen[w] / n if w in seen else (1 - share) * p(gram[1:]) / (1 - sum(p((*context[1:], x)) for x in seen))
 
-    return words, total, p2
+    return words, total, p
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_equals_direct_evaluation_and_sums_to_one(spark, monkeypatch, hot):
+@pytest.mark.parametrize("order, hot", [(2, True), (2, False), (3, True), (4, True), (4, False)])
+def test_equals_direct_evaluation_and_sums_to_one(spark, monkeypatch, order, hot):
     monkeypatch.setattr(katz, "BLOCK_BYTES", 150)
     monkeypatch.setattr(katz, "PART_BYTES", 90)
     if hot:
@@ -67,21 +74,28 @@ def test_equals_direct_evaluation_and_sums_to_one(spark, monkeypatch, hot):
     texts += ["same same same same same same same same", "", None, "the the the", "only in held out", "the cat sat", None]
     rows = [(i, t, i % 4 == 3) for i, t in enumerate(texts)] + [(None, "the cat", False), (2, texts[2], False)]
     df = spark.createDataFrame(rows, "doc_id long, text string, out boolean").withColumn("ids", F.lit("clash"))
-    got = sorted((tuple(r) for r in katz.score(df, F.col("out")).collect()), key=str)
-    words, total, p = model([t for _, t, out in rows if not out])
-    for v in ["<s>", "unseen", *words]:
-        assert math.isclose(sum(p(v, w) for w in [*words, "never seen"]), 1, rel_tol=1e-9), v
+    got = sorted((tuple(r) for r in katz.score(df, F.col("out"), order).collect()), key=str)
+    words, total, p = model([t for _, t, out in rows if not out], order)
+    for v in [["<s>"], ["unseen"], *[[w] for w in words], ["the", "cat"], ["<s>", "the"], ["on", "the"], ["sat", "on", "the"]]:
+        context = (["<s>"] * order + v)[-(order - 1) :]
+        assert math.isclose(sum(p((*context, w)) for w in [*words, "never seen"]), 1, rel_tol=1e-9), context
     want = []
     for i, t, out in rows:
-        code = ["<s>", *tokens(t), "</s>"]
-        base = sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in code[1:])
-        want.append((i, out, len(code) - 1, sum(words[w] > 0 for w in code[1:]), total, base, sum(math.log10(p(v, w)) for v, w in zip(code, code[1:]))))
+        code = ["<s>"] * (order - 1) + tokens(t) + ["</s>"]
+        said = code[order - 1 :]
+        base = sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in said)
+        want.append((i, out, len(said), sum(words[w] > 0 for w in said), total, base, sum(math.log10(p(tuple(code[j : j + order]))) for j in range(len(said)))))
     want.sort(key=str)
     key = lambda r: (str(r[:5]), round(r[5], 6))
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_the_order_is_at_least_two(spark):
+    with pytest.raises(ValueError):
+        katz.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), F.lit(False), 1)
+
+
 def test_empty_tables_and_no_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score(empty, F.lit(False)).collect() == []
