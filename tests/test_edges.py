@@ -425,3 +425,22 @@ def test_chosen_fields_are_parsed_alone(spark):
     raw = spark.createDataFrame([('{"type":"match","product_id":"B-U","price":"1.5","size":"2","side":"buy","time":"2024-01-01T00:00:01.000001Z","sequence":1}',)], "raw string")
     whole, part = feed.parse(raw), feed.parse(raw, fields=feed.MATCH)
     assert "bids" not in part.columns and feed.matches_to_trades(whole).collect() == feed.matches_to_trades(part).collect()
+
+
+def test_waiting_trades_are_stored_packed(spark, tmp_path):
+    rows = [(at(i), f"o{i % 3}" if i % 7 else None, i, None if i % 5 == 0 else f"t{i}", f"k{i}" if i % 5 == 0 else None) for i in range(400)]
+    df = spark.createDataFrame([*rows, (None, "o1", 9, "timeless", None)], "timestamp timestamp_ntz, id string, sequence long, trade_id string, order_type string")
+    stream = arriving(spark, str(tmp_path / "s"), df, "sequence < 200", "sequence between 200 and 398", "sequence = 399")
+    trades_ = stream.where("trade_id is not null").withColumnRenamed("id", "taker_order_id")
+    heard = stream.where("trade_id is null").withColumnRenamed("id", "order_id")
+    with keyed.rocksdb(spark):
+        q = live.run_once(keyed.order_types(trades_, heard, "50s", "1d", 1), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = {r["trade_id"]: r["order_type"] for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    said, want = {}, {}
+    for _, order, n, trade, kind in rows:
+        if trade is None:
+            said[order] = kind
+        elif n <= 399 - 50:
+            want[trade] = said.get(order) if order else None
+    assert got == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < 30  # one value a batch, not one a trade

@@ -627,29 +627,34 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return live.live_table(spark, d, schemas.EVENTS, pattern="events.parquet").transform(X.trades_from)
 
 
-FILES = 4  # of each part of a growing folder
+FILES = 4  # of each part of a growing folder, at least
+ROWS = 200_000  # of a file, about: files grow in number, so that writing and reading a part spread
 
 
-def _in_parts(rows: DataFrame, order: str, path: str, parts: int = 4, newest_first: bool = False) -> None:
-    """Append ``rows`` to a growing folder in ``parts`` even spans of ``order``, one part after the other, ``FILES`` files each."""
-    top = (rows.agg(F.max(order)).first()[0] or 0) + 1
-    at = F.floor(F.col(order) * parts / top)
+def _in_parts(rows: DataFrame, order: str, path: str, parts: int = 4, newest_first: bool = False, build: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
+    """Append ``rows`` to a growing folder in ``parts`` even spans of ``order``, one part after the other; the number of files of each part.
+
+    ``build`` makes the stored rows once they are dealt to files, so that its columns are not shuffled.
+    """
+    last, n = rows.agg(F.max(order), F.count("*")).first()
+    at, files = F.floor(F.col(order) * parts / ((last or 0) + 1)), max(FILES, -(-n // (parts * ROWS)))
     for k in reversed(range(parts)) if newest_first else range(parts):
-        rows.where(at == k).repartition(FILES).write.mode("append").parquet(path)
+        build(rows.where(at == k).repartition(files)).write.mode("append").parquet(path)
+    return files
 
 
 def _growing(spark: SparkSession, d: str, newest_first: bool = False) -> DataFrame:
     """Trades as a stream of four micro-batches, from events that arrived in four parts."""
     path = _scratch(spark, "events")
-    _in_parts(X.events(spark, d), "event_id", path, newest_first=newest_first)
-    return live.live_table(spark, path, schemas.EVENTS, max_files=FILES).transform(X.trades_from)
+    files = _in_parts(X.events(spark, d), "event_id", path, newest_first=newest_first)
+    return live.live_table(spark, path, schemas.EVENTS, max_files=files).transform(X.trades_from)
 
 
-def _arriving(spark: SparkSession, name: str, rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` as a stream of four micro-batches in ``order``."""
+def _arriving(spark: SparkSession, name: str, rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What ``build`` makes of ``rows``, as a stream of four micro-batches in ``order``."""
     path = _scratch(spark, name)
-    _in_parts(rows, order, path)
-    return live.live_table(spark, path, rows.schema, max_files=FILES)
+    files = _in_parts(rows, order, path, build=build)
+    return live.live_table(spark, path, build(rows).schema, max_files=files)
 
 
 def _ran(spark: SparkSession, name: str, df: DataFrame, mode: str) -> DataFrame:
@@ -741,7 +746,8 @@ def _(spark, d):
   FROM (SELECT * FROM trades WHERE event_id % 20 < 10 AND epoch_us(timestamp) <= (SELECT (max(epoch_us(timestamp)) // 1000 - 10000) * 1000 FROM trades WHERE event_id % 20 < 10 OR event_id % 20 = 15)) t
   LEFT JOIN (SELECT * FROM trades WHERE event_id % 20 = 15) r ON r.event_id % 300 = (t.event_id * 11) % 300 AND r.event_id < t.event_id GROUP BY 1""")
 def _(spark, d):
-    parsed = feed.parse(_arriving(spark, "messages", X.messages(spark, d), "receipt"))
+    messages = _arriving(spark, "messages", X.events(spark, d), "event_id", lambda events: X.messages_from(X.trades_from(events)))
+    parsed = feed.parse(messages, fields=(*feed.MATCH, "type", "order_id", "order_type"))
     said = parsed.where("route = 'order' and type = 'received'").withColumn("timestamp", feed.event_time(F.col("time")))
     with keyed.rocksdb(spark):
         return _ran(spark, "order_types", keyed.order_types(feed.matches_to_trades(parsed), said), "append").select("trade_id", "order_type")

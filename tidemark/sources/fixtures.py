@@ -105,8 +105,11 @@ KINDS = ("match",) * 10 + ("ticker",) * 2 + ("l2update",) * 2 + ("snapshot", "re
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw (JSON text), receipt (arrival number): one exchange message for each event."""
-    t = trades(spark, sf_dir)
+    return messages_from(trades(spark, sf_dir))
+
+
+def messages_from(t: DataFrame) -> DataFrame:
+    """raw (JSON text), receipt (arrival number): one exchange message for each trade."""
     kind = _pick(KINDS, F.col("event_id") % 20)
     kind = F.when(kind == "other", F.when(F.col("event_id") % 40 == 19, "subscriptions").otherwise("mystery")).otherwise(kind)
     text = lambda c: c.cast("string")

@@ -8,12 +8,12 @@ for what bounds the rest. The state store must be RocksDB (``rocksdb`` sets it f
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -44,8 +44,24 @@ def _rows(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
 
 
+def _pack(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
+    """``frame`` as one Arrow stream: the state store moves it as one value, not row by row."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_pandas(frame, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(packed)).read_pandas()
+
+
 # Order types --------------------------------------------------------------------------------
 
+WAITING = pa.schema([("order_id", pa.string()), ("trade_id", pa.string()), ("sequence", pa.int64()), ("micros", pa.int64())])
+PACKED = 50_000  # rows at most in one value of the state
+
+
 class _OrderTypes(StatefulProcessor):
     """What ``received`` messages said of each order of a bucket, and trades that wait for the watermark."""
 
@@ -55,7 +71,7 @@ class _OrderTypes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.said = handle.getMapState("said", "order_id string", "sequences array<long>, types array<string>, micros array<long>")
-        self.waiting = handle.getListState("waiting", "order_id string, trade_id string, sequence long, micros long")
+        self.waiting = handle.getListState("waiting", "least long, most long, packed binary")  # rows of WAITING and the span of their micros
         self.swept = handle.getValueState("swept", "micros long")
 
     def _known(self, order: str) -> tuple[list, list, list]:
@@ -71,32 +87,41 @@ class _OrderTypes(StatefulProcessor):
             self.said.updateValue((order,), tuple(map(list, zip(*told))))
         trades = batch[~received]
         if len(trades):
-            self.waiting.appendList([*zip(*(trades[c].tolist() for c in ("order_id", "trade_id", "sequence", "micros")))])
+            self.waiting.appendList(self._parts(trades))
             self.handle.registerTimer(-(-int(trades["micros"].min()) // 1000))
         return iter(())
 
+    @staticmethod
+    def _parts(trades: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+        by_time = trades.sort_values("micros", kind="stable")[WAITING.names]
+        parts = [by_time.iloc[at:at + PACKED] for at in range(0, len(by_time), PACKED)]
+        return [(int(p["micros"].iloc[0]), int(p["micros"].iloc[-1]), _pack(p, WAITING)) for p in parts]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Trades up to the watermark are answered: nothing that they could hear of is still to come."""
         now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = [*self.waiting.get()] if self.waiting.exists() else []
-        ready, later = [w for w in waiting if w[3] <= now], [w for w in waiting if w[3] > now]
-        if not ready:
+        due, later = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
+        if not due:
             return
+        trades = pd.concat([_unpack(packed) for *_, packed in due], ignore_index=True)
+        if max(w[1] for w in due) > now:
+            later += self._parts(trades[trades["micros"] > now])
+            trades = trades[trades["micros"] <= now]
         self.waiting.put(later) if later else self.waiting.clear()
         if later:
-            self.handle.registerTimer(-(-min(w[3] for w in later) // 1000))
-        of = {order: self._known(order) for order in {w[0] for w in ready} if order is not None}
-        answer = []
-        for order, trade, sequence, _ in ready:
-            sequences, types, _ = of.get(order, ([], [], []))
-            at = bisect_right(sequences, sequence - 1)
-            answer.append((trade, sequence, types[at - 1] if at else None))
+            self.handle.registerTimer(-(-min(w[0] for w in later) // 1000))
+        of, told = {}, np.full(len(trades), None, object)
+        numbers = trades["sequence"].to_numpy()
+        for order, rows in trades.groupby("order_id", sort=False).indices.items():
+            sequences, types, _ = of[order] = self._known(order)
+            told[rows] = np.array([None, *types], object)[np.searchsorted(np.array(sequences, np.int64), numbers[rows], "left")]
         for order, (sequences, types, micros) in of.items():  # of what is past only the latest can be asked for again
             past = max((i for i, m in enumerate(micros) if m <= now), default=0)
             if past:
                 self.said.updateValue((order,), (sequences[past:], types[past:], micros[past:]))
         self._sweep(now)
-        yield pd.DataFrame(answer, columns=["trade_id", "sequence", "order_type"])
+        yield trades[["trade_id", "sequence"]].assign(order_type=told)
 
     def _sweep(self, now: int) -> None:
         last = self.swept.get()
@@ -117,10 +142,11 @@ def order_types(trades: DataFrame, received: DataFrame, delay: str = "10s", keep
     trades: timestamp, trade_id, taker_order_id, sequence; received: timestamp, order_id,
     sequence, order_type. A trade comes out once the watermark (``delay`` behind the newest
     row) has passed it, with null where nothing was said; later messages of its time are
-    late. What was said of an order is forgotten ``keep`` of event time after, so
-    state is bounded by the orders of that span.
+    late; a trade without a time never does. What was said of an order is forgotten ``keep``
+    of event time after, so state is bounded by the orders of that span. Waiting trades are
+    packed: a batch moves a few values a bucket to and from the store, not one a trade.
     """
-    asks = trades.select("timestamp", F.col("taker_order_id").alias("order_id"), "sequence", "trade_id", F.lit(None).cast("string").alias("order_type"), F.lit(False).alias("received"))
+    asks = trades.where("timestamp is not null").select("timestamp", F.col("taker_order_id").alias("order_id"), "sequence", "trade_id", F.lit(None).cast("string").alias("order_type"), F.lit(False).alias("received"))
     says = received.where("order_id is not null").select("timestamp", "order_id", "sequence", F.lit(None).cast("string").alias("trade_id"), "order_type", F.lit(True).alias("received"))
     rows = asks.unionByName(says).withColumn("micros", S.epoch_micros(F.col("timestamp"))).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     timed = rows.withWatermark("timestamp", f"interval {S.duration(delay)}")
