@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import scalar as S
 from tidemark.operators import book, feed, pages, quality, sample, select, summary
-from tidemark.sources import tables
+from tidemark.sources import fixtures, tables
 from tidemark.streaming import kept, keyed, live
 
 T0 = dt.datetime(2024, 1, 1)
@@ -444,3 +444,18 @@ def test_waiting_trades_are_stored_packed(spark, tmp_path):
             want[trade] = said.get(order) if order else None
     assert got == want
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < 30  # one value a batch, not one a trade
+
+
+def test_books_dealt_by_time_make_few_files(spark, tmp_path):
+    rows = [(at(60 * i), "K", "B", 100.0 + i, i) for i in range(60 * 30)]  # a row a minute for 30 hours
+    moments = spark.createDataFrame(rows, "timestamp timestamp_ntz, exchange string, symbol string, price double, event_id long")
+    whole, dealt = str(tmp_path / "whole"), str(tmp_path / "dealt")
+    tables.append_books(fixtures.books_from(moments), whole)
+    tables.append_books(fixtures.books_from(tables.by_time(moments, len(rows), "event_id", size=200)), dealt, dealt=True)
+    got, want = (spark.read.parquet(p).select("timestamp", "bids", "asks", "dt", "hour") for p in (dealt, whole))
+    assert got.count() == len(rows) and got.exceptAll(want).count() == 0
+    assert len([*(tmp_path / "dealt").rglob("*.parquet")]) <= 30 + 9  # hours and spans
+    plan = fixtures.books_from(tables.by_time(moments, len(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("bids") < plan.index("Exchange") and "bids" not in plan[plan.index("Exchange"):]  # made after the rows are dealt
+    assert tables.drop_expired_hours(spark, dealt, "3h", at(60 * 60 * 29)) == 26
+    assert sorted(r["timestamp"] for r in spark.read.parquet(dealt).collect()) == [at(60 * i) for i in range(60 * 26 + 1, 60 * 30)]

@@ -87,10 +87,11 @@ def _(spark, d):
   WHERE timestamp > (SELECT max(ts) FROM events) - INTERVAL 36 HOUR""")
 def _(spark, d):
     at = X.events(spark, d).select(F.col("event_id"), F.col("ts").alias("timestamp"))
-    books = X.orderbooks(spark, d).drop("timestamp").join(at, "event_id")
     path = _scratch(spark, "books")
-    tables.append_books(books, path)
-    tables.drop_expired_hours(spark, path, "36h", at.agg(F.max("timestamp")).first()[0])
+    newest, n = at.agg(F.max("timestamp"), F.count("*")).first()
+    moments = X.trades(spark, d).drop("timestamp").join(at, "event_id")
+    tables.append_books(X.books_from(tables.by_time(moments, n, "event_id")), path, dealt=True)
+    tables.drop_expired_hours(spark, path, "36h", newest)
     kept = select.best_quotes(spark.read.parquet(path))
     return kept.select("timestamp", "symbol", F.round((F.col("best_bid") + F.col("best_ask")) / 2, 6).alias("mid"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,20 @@ def append_trades(df: DataFrame, path: str) -> None:
     with_partitions(df.select(*schemas.TRADES.fieldNames())).write.mode("append").partitionBy("dt").parquet(path)
 
 
-def append_books(df: DataFrame, path: str) -> None:
-    with_partitions(df.select(*schemas.ORDERBOOKS.fieldNames()), hourly=True).repartition("dt", "hour", F.minute("timestamp")).write.mode("append").partitionBy("dt", "hour").parquet(path)
+def by_time(df: DataFrame, rows: int, *ties: str, size: int = 100_000) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by spans of time of about ``size`` rows; ``ties`` part rows of one moment."""
+    return df.repartitionByRange(max(1, -(-rows // size)), "timestamp", *ties)
+
+
+def append_books(df: DataFrame, path: str, dealt: bool = False) -> None:
+    """Append books by day and hour.
+
+    ``dealt``: the rows lie by time already, as ``by_time`` deals them; an hour then has as
+    many files as spans. It costs least before the 20 levels are made. Other rows are
+    dealt here, as whole books.
+    """
+    books = with_partitions(df.select(*schemas.ORDERBOOKS.fieldNames()), hourly=True)
+    (books if dealt else books.repartition("dt", "hour", F.minute("timestamp"))).write.mode("append").partitionBy("dt", "hour").parquet(path)
 
 
 def read_between(spark: SparkSession, path: str, schema: T.StructType, start: dt.datetime, end: dt.datetime) -> DataFrame:
@@ -130,21 +143,29 @@ def drop_expired_hours(spark: SparkSession, path: str, keep: str, as_of: dt.date
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for left in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{CUT}*")):
         _Cut(spark, path, left.getPath().getName().removeprefix(CUT).replace("+", "/").replace("~", "=")).finish()
-    gone = 0
-    for day in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "dt=*")):
-        date = dt.date.fromisoformat(day.getPath().getName()[3:])
-        for hour in fs.listStatus(day.getPath()):
+
+    def drop(day) -> tuple[int, list[str]]:
+        """Hours of a day that were deleted, and the one that the cut falls into."""
+        gone, split, date = 0, [], dt.date.fromisoformat(day.getName()[3:])
+        for hour in fs.listStatus(day) if date <= cut.date() else ():
             of = hour.getPath().getName().removeprefix("hour=")
-            if date > cut.date() or not of.isdigit() or (date == cut.date() and int(of) > cut.hour):
+            if not of.isdigit() or (date == cut.date() and int(of) > cut.hour):
                 continue
             if (date, int(of)) == (cut.date(), cut.hour):
-                replaced = _Cut(spark, path, f"{day.getPath().getName()}/{hour.getPath().getName()}")
-                replaced.prepare(cut)
-                replaced.finish()
+                split.append(f"{day.getName()}/{hour.getPath().getName()}")
             else:
                 fs.delete(hour.getPath(), True)
                 gone += 1
-    return gone
+        return gone, split
+
+    days = [day.getPath() for day in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "dt=*"))]
+    with ThreadPoolExecutor(16) as pool:  # each folder waits for the file system
+        done = [*pool.map(drop, days)]
+    for hour in (h for _, split in done for h in split):
+        replaced = _Cut(spark, path, hour)
+        replaced.prepare(cut)
+        replaced.finish()
+    return sum(gone for gone, _ in done)
 
 
 def export(df: DataFrame, limit: int):
