@@ -459,3 +459,22 @@ def test_books_dealt_by_time_make_few_files(spark, tmp_path):
     assert plan.index("bids") < plan.index("Exchange") and "bids" not in plan[plan.index("Exchange"):]  # made after the rows are dealt
     assert tables.drop_expired_hours(spark, dealt, "3h", at(60 * 60 * 29)) == 26
     assert sorted(r["timestamp"] for r in spark.read.parquet(dealt).collect()) == [at(60 * i) for i in range(60 * 26 + 1, 60 * 30)]
+
+
+def test_book_changes_are_reduced_before_the_state(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    row = lambda i, price, amount, reset=False: {"exchange": "K", "symbol": None, "side": "bid", "bucket": 0, "price": price, "reset": reset, "ignored": not reset and not (amount or -1) >= 0, "micros": i, "event_id": i, "amount": amount}
+    rows = [row(i, float(i % 10), 1.0 + i) for i in range(1000)] + [row(2000, 3.0, None), row(1500, 0.0, 0.0, True)]
+    monkeypatch.setattr(keyed, "CHUNK", 50)
+    told = [r for b in keyed._newest(iter(pa.RecordBatch.from_pylist(rows[k:k + 30], keyed.CHANGES) for k in reversed(range(0, 1002, 30)))) for r in b.to_pylist()]
+    assert sorted((r["price"], r["micros"], r["reset"]) for r in told) == sorted([(float(p), 990 + p, False) for p in range(10)] + [(3.0, 2000, False), (0.0, 1500, True)])
+    assert [*keyed._newest(iter(()))] == []
+    changes = [(at(i), i, "K", "B", "bid", float(i % 3), 1.0 + i) for i in range(60)]
+    changes += [(at(100), 100, "K", "B", "bid", 0.0, -1.0), (at(101), 101, "K", "B", "bid", 1.0, float("nan")), (at(102), 102, "K", "B", "bid", 2.0, None)]
+    df = spark.createDataFrame(changes, CHANGE)
+    with keyed.rocksdb(spark):
+        levels = keyed.book_levels(arriving(spark, str(tmp_path / "s"), df, "event_id < 40", "event_id >= 40"), delay="60s")
+        assert "MapInArrow" in levels._jdf.queryExecution().analyzed().toString()
+        kept.keep_levels(levels, str(tmp_path / "b"), str(tmp_path / "c"))
+    assert sorted((r["price"], r["amount"]) for r in kept.Versions(spark, str(tmp_path / "b")).read().collect()) == [(0.0, 58.0), (1.0, 59.0), (2.0, 60.0)]

@@ -14,6 +14,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -226,6 +227,29 @@ def order_transitions(events: DataFrame, keep: str = "7d", delay: str = "10s", b
 
 # Book levels --------------------------------------------------------------------------------
 
+CHANGES = pa.schema([("exchange", pa.string()), ("symbol", pa.string()), ("side", pa.string()), ("bucket", pa.int64()), ("price", pa.float64()), ("reset", pa.bool_()), ("ignored", pa.bool_()), ("micros", pa.int64()), ("event_id", pa.int64()), ("amount", pa.float64())])
+LEVEL = CHANGES.names[:7]
+CHUNK = 200_000  # rows of a task that are reduced at a time
+
+
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The newest row of each level of a task: no older one of the same micro-batch changes a book.
+
+    Memory holds one chunk and the levels seen. Marks and ignored rows stay apart from changes.
+    """
+    def reduced(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts).sort_by([("micros", "ascending"), ("event_id", "ascending")])
+        last = [(c, "last", pc.ScalarAggregateOptions(skip_nulls=False)) for c in CHANGES.names[7:]]
+        return table.group_by(LEVEL, use_threads=False).aggregate(last).rename_columns(CHANGES.names).cast(CHANGES)
+
+    kept, held = CHANGES.empty_table(), []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]).select(CHANGES.names).cast(CHANGES))
+        if sum(map(len, held)) >= max(CHUNK, len(kept)):
+            kept, held = reduced([kept, *held]), []
+    yield from (reduced([kept, *held]) if held else kept).to_batches()
+
+
 class _Levels(StatefulProcessor):
     """The standing levels of one side and bucket of a pair, and deletions that the watermark has not passed."""
 
@@ -295,7 +319,8 @@ def book_levels(changes: DataFrame, snapshots: DataFrame | None = None, delay: s
     ``delay``, older rows are late. snapshots has the same columns, one row a level: the
     levels of one (timestamp, event_id) replace all older ones of the pair. State holds
     the standing levels, and deleted ones until the watermark has passed them. A level is one
-    of ``buckets`` keys of its pair and side.
+    of ``buckets`` keys of its pair and side. Tasks send on only the newest row of each level,
+    so shuffle and state take levels, not rows.
     """
     columns = ("timestamp", "event_id", "exchange", "symbol", "side", "price", "amount")
     own = F.pmod(F.xxhash64("price"), F.lit(buckets))
@@ -306,7 +331,9 @@ def book_levels(changes: DataFrame, snapshots: DataFrame | None = None, delay: s
         marks = snapshots.select("timestamp", "event_id", "exchange", "symbol", places.alias("at")).select(
             "timestamp", "event_id", "exchange", "symbol", "at.side", F.lit(0.0).alias("price"), F.lit(0.0).alias("amount"), F.lit(True).alias("reset"), "at.bucket")
         rows = rows.unionByName(levels).unionByName(marks)
-    timed = rows.withColumn("micros", S.epoch_micros(F.col("timestamp"))).withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", f"interval {S.duration(delay)}")
+    rows = rows.withColumns({"micros": S.epoch_micros(F.col("timestamp")), "ignored": ~F.col("reset") & F.coalesce((F.col("amount") < 0) | F.isnan("amount"), F.lit(True))})
+    newest = rows.select(*CHANGES.names).mapInArrow(_newest, "exchange string, symbol string, side string, bucket long, price double, reset boolean, ignored boolean, micros long, event_id long, amount double")
+    timed = newest.drop("ignored").withColumn("timestamp", F.timestamp_micros("micros")).withWatermark("timestamp", f"interval {S.duration(delay)}")
     return timed.groupBy("exchange", "symbol", "side", "bucket").transformWithStateInPandas(
         _Levels(), "exchange string, symbol string, side string, price double, amount double, micros long, event_id long", "Append", "EventTime")
 
