@@ -1,12 +1,15 @@
 import hashlib
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from tidemark.llm import storage
+from tidemark.llm import langid, storage
 from tidemark.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, `__th` int"
@@ -82,3 +85,38 @@ def test_hot_keys_are_joined_once(spark, monkeypatch):
         got = storage.join_counted(rows, told, "k", "n")
         assert sorted(got.columns) == ["k", "name", "v"] and got.count() == 900 and got.where("name = 2").count() == 700
     assert storage.join_counted(rows.limit(0), told.limit(0), "k", "n").count() == 0
+
+
+def test_tasks_work_on_small_parts_of_a_batch(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), b.column(0).slice(0, 1)], names=["n", "first"])
+
+    rows = spark.range(1_203).coalesce(1).select(F.col("id").alias("a.b"))  # one Arrow batch
+    got = storage.mapped(rows, sizes, T.StructType.fromDDL("n long, first long")).collect()
+    assert [(r["n"], r["first"]) for r in got] == [(500, 0), (500, 500), (203, 1_000)]
+    assert storage.mapped(rows.limit(0), sizes, T.StructType.fromDDL("n long, first long")).collect() == []
+
+
+def test_ngrams_are_counted_in_parts(monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 6))) for _ in range(20)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y"] * 20), pa.array(texts)], names=["lang", "text"])
+    made = []
+
+    def grams(words, n, counted=langid.grams):
+        made.append(len(words))
+        return counted(words, n)
+
+    def counts():
+        out = Counter()
+        for b in langid._count(iter([batch])):
+            for row in b.to_pylist():
+                out[row["lang"], row["n"], row["word"], row["gram"]] += row["c"]
+        return out
+
+    monkeypatch.setattr(langid, "grams", grams)
+    whole = counts()
+    made.clear()
+    monkeypatch.setattr(langid, "WORDS", 7, raising=False)
+    assert counts() == whole and max(made) <= 7

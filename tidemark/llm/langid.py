@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ SIZES = (4, 3, 2, 1)
 CACHE = 200_000  # unseen words whose scores a task keeps, fewer with many languages:
 CELLS = 8_000_000  # scores kept at most
 SLICE = 500  # texts scored together
+WORDS = 50_000  # words whose n-grams are counted together
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -74,10 +76,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in counts.items():
             words, c = list(found), np.fromiter(found.values(), np.int64, len(found))
             yield batch(lang, 0, words, np.zeros(len(words), np.int64), c)
-            for n in SIZES:
-                key, of = grams(words, n)
+            for n, k in product(SIZES, range(0, len(words), WORDS)):
+                key, of = grams(words[k : k + WORDS], n)
                 known, at = np.unique(key, return_inverse=True)
-                total = np.bincount(at, weights=c[of], minlength=len(known)).astype(np.int64)
+                total = np.bincount(at, weights=c[k : k + WORDS][of], minlength=len(known)).astype(np.int64)
                 keep = known != 0
                 yield batch(lang, n, [None] * int(keep.sum()), known[keep].view(np.int64), total[keep])
         counts.clear()
@@ -85,7 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(lang: str, n: int, words: list, keys: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(np.full(len(c), n, np.int32)), pa.array(words, pa.string()), pa.array(keys), pa.array(c)], names=["lang", "n", "word", "gram", "c"])
 
-    for b in batches:
+    for b in storage.parts(batches):
         for lang, text in zip(b.column(0), b.column(1)):
             counts.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
         if sum(map(len, counts.values())) > 500_000:

@@ -126,12 +126,28 @@ def fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
 
+ROWS = 500  # rows of a batch that a task works on at once
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` in parts of at most ``ROWS`` rows.
+
+    A batch can be a whole partition, so what is made of it in one piece fills the Python
+    worker, and once more the JVM that reads it. Workers outlive their tasks: memory that
+    Arrow kept of earlier ones is given back first.
+    """
+    pa.default_memory_pool().release_unused()
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` for columns of any name; ``run`` sees and gives the real names."""
+    """``df.mapInArrow(run, schema)`` for columns of any name; ``run`` sees and gives the real names, in ``parts``."""
     real, made = df.columns, [f"c{i}" for i in range(len(schema))]
 
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in run(pa.RecordBatch.from_arrays(b.columns, names=real) for b in batches):
+        for b in run(pa.RecordBatch.from_arrays(b.columns, names=real) for b in parts(batches)):
             yield pa.RecordBatch.from_arrays(b.columns, names=made)
 
     plain = T.StructType([T.StructField(m, f.dataType) for m, f in zip(made, schema)])
